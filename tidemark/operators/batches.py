@@ -43,6 +43,11 @@ def log_rows(rows: DataFrame, entity: str, key: Column, op: Column | str, at: Co
         F.col("version").cast("bigint").alias("version"), at.alias("changed_at"))
 
 
+def _check_counts(values: list[int], row_limit: int | None) -> None:
+    if any(v < 0 or (row_limit is not None and v > row_limit) for v in values):
+        raise ValueError(f"invalid_count: row counts lie within 0-{row_limit}")
+
+
 def _no_log(log: DataFrame) -> DataFrame:
     return log.select(LOG_COLUMNS).limit(0)
 
@@ -107,7 +112,7 @@ def reset(spark: SparkSession, table: Table, n: int, seed, batch_ts: Column, par
 def run_batch(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[str, DataFrame],
               log: DataFrame, batch_ts: Column, mode: str = "append", entities: list[str] | None = None,
               counts: Mapping[str, int] | None = None, count: int | None = None, seed=0,
-              confirm: bool = False) -> tuple[dict[str, DataFrame], DataFrame, list[dict]]:
+              confirm: bool = False, row_limit: int | None = MAX_ROWS_PER_REQUEST) -> tuple[dict[str, DataFrame], DataFrame, list[dict]]:
     """Append to, replace or reset the named tables, parents first.
 
     Returns the new tables, the new whole log, and the counts per table. Replace and
@@ -121,8 +126,7 @@ def run_batch(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[st
     if unknown:
         raise ValueError(f"unknown_entity: {unknown}")
     asked = [*counts.values(), *([] if count is None else [count])]
-    if any(not 0 <= v <= MAX_ROWS_PER_REQUEST for v in asked):
-        raise ValueError(f"invalid_count: row counts lie within 0-{MAX_ROWS_PER_REQUEST}")
+    _check_counts(asked, row_limit)
     chosen = set(named) if mode == "append" else with_dependents(dict(tables), named)
     targets = [t for t in load_order(dict(tables)) if t in chosen]
     stray = sorted(set(counts) - set(targets))
@@ -267,16 +271,14 @@ def change_batch(spark: SparkSession, table: Table, rows: DataFrame, log: DataFr
 def run_changes(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[str, DataFrame],
                 log: DataFrame, batch_ts: Column, seed=0, entities: list[str] | None = None,
                 inserts: int | None = None, updates: int | None = None, deletes: int | None = None,
-                ) -> tuple[dict[str, DataFrame], DataFrame, list[dict], list[str]]:
+                row_limit: int | None = MAX_ROWS_PER_REQUEST) -> tuple[dict[str, DataFrame], DataFrame, list[dict], list[str]]:
     """One change batch over several tables, parents first.
 
     New child rows point only at parents that are live by then: those inserted earlier in
     the request count, those deleted earlier do not. A changed parent's live keys are
     stored once, so children do not redo the parent's batch.
     """
-    for value in (inserts, updates, deletes):
-        if value is not None and not 0 <= value <= MAX_ROWS_PER_REQUEST:
-            raise ValueError(f"invalid_count: sizes lie within 0-{MAX_ROWS_PER_REQUEST}")
+    _check_counts([v for v in (inserts, updates, deletes) if v is not None], row_limit)
     unknown = sorted(set(entities or []) - set(tables))
     if unknown:
         raise ValueError(f"unknown_entity: {unknown}")

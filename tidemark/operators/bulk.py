@@ -15,7 +15,9 @@ from tidemark.operators.feed import entity_next
 from tidemark.operators.generate import check_new_keys, generate, new_keys
 from tidemark.operators.ranking import index_by_integer
 from tidemark.operators.skew import join_unique
-from tidemark.operators.validation import first_failure, keys_of, request_size, validate
+from tidemark.operators.validation import (
+    MAX_BULK_ROWS, first_failure, keys_of, request_size, validate,
+)
 from tidemark.schema import Table
 
 
@@ -40,9 +42,11 @@ def with_given(payloads: DataFrame, table: Table) -> DataFrame:
     return out.drop("_values", "_keys")
 
 
-def check_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None) -> int:
+def check_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None,
+                row_limit: int | None = MAX_BULK_ROWS) -> int:
     """Refuse the batch if it is too large or holds a bad row; otherwise its row count."""
-    size = request_size(payloads, rows.count() if table.max_rows is not None else 0, table.max_rows).first()
+    size = request_size(payloads, rows.count() if table.max_rows is not None else 0,
+                        table.max_rows, row_limit).first()
     if size["status"] != "ok":
         raise InvalidBatch(f"{size['status']}: {size['rows_after']} rows")
     worst = first_failure(validate(payloads, table, parents)).first()
@@ -52,9 +56,10 @@ def check_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None
 
 
 def create_rows(spark: SparkSession, table: Table, rows: DataFrame, log: DataFrame, payloads: DataFrame,
-                seed, batch_ts: Column, parents=None, check: bool = True) -> Mutation:
+                seed, batch_ts: Column, parents=None, check: bool = True,
+                row_limit: int | None = MAX_BULK_ROWS) -> Mutation:
     """One new row per payload: given fields as given, the rest generated. All or nothing."""
-    n = check_batch(payloads, table, rows, parents) if check else payloads.count()
+    n = check_batch(payloads, table, rows, parents, row_limit) if check else payloads.count()
     first = entity_next(rows, log, table.name)
     if check:
         check_new_keys(new_keys(spark, table, n, seed), rows, table.pk)

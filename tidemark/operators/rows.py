@@ -54,7 +54,7 @@ def page_directory(df: DataFrame, pk: str, soft_delete: str | None, size: int) -
 def latest_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The ``n`` rows of each group with the highest ``order``. Spark cuts every partition to
     ``n`` per group before the shuffle, so a hot group arrives as tasks x n rows."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order))).cast("bigint")
     return df.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 

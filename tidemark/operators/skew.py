@@ -11,7 +11,7 @@ SKETCH_SIZE = 10_000   # counters in the heavy-hitter sketch
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a DataFrame."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(df: DataFrame) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -126,6 +128,33 @@ def file_into_groups(configs: DataFrame, system_group: str = "prj_system_example
 
 
 # --------------------------------------------------------------------- throttle
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Regroup sorted batches so that no (key, segment) group is cut in two."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        cut = int(np.flatnonzero(_group_starts(batch))[-1])
+        last = held[-1].iloc[-1] if held else None
+        first = batch.iloc[0]
+        if cut == 0 and held and (last["key"], last["segment"]) == (first["key"], first["segment"]):
+            held.append(batch)
+            continue
+        whole = held + ([batch.iloc[:cut]] if cut else [])
+        if whole:
+            yield pd.concat(whole, ignore_index=True)
+        held = [batch.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _group_starts(pdf: pd.DataFrame) -> np.ndarray:
+    keys, segments = pdf["key"].to_numpy(), pdf["segment"].to_numpy()
+    starts = np.ones(len(pdf), dtype=bool)
+    starts[1:] = (keys[1:] != keys[:-1]) | (segments[1:] != segments[:-1])
+    return starts
+
+
 def throttled_uses(uses: DataFrame, key: str, at: str, minutes: int = REFRESH_MINUTES,
                    segment_minutes: int = 60) -> DataFrame:
     """The uses that refresh a key's last-used time: the first, then each first use more than
@@ -134,61 +163,80 @@ def throttled_uses(uses: DataFrame, key: str, at: str, minutes: int = REFRESH_MI
     The rule is sequential per key, so each key's time line is cut into segments. A segment
     is reduced to a step function (last kept time before it -> last kept time after it); the
     short list of steps is walked per key; then all segments pick their kept uses at once.
-    No task sees more than one segment of a key, and a step list holds one row per segment.
+    A task holds one segment of a key at a time, and a key's walk sees a few rows a segment.
     """
     gap, span = minutes * 60_000_000, segment_minutes * 60_000_000
-    timed = uses.select(
-        F.col(key).alias("key"), micros_of(F.col(at)).alias("us")
-    ).withColumn("segment", F.floor(F.col("us") / span).cast("bigint"))
+    width = 2 * (span + gap)
+    timed = uses.select(F.col(key).alias("key"), micros_of(F.col(at)).alias("us")).filter(
+        "key IS NOT NULL AND us IS NOT NULL").withColumn(
+        "segment", F.floor(F.col("us") / span).cast("bigint"))
     key_type = timed.schema["key"].dataType.simpleString()
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
-        start = int(pdf["segment"].iloc[0]) * span
-        # entry i is taken when the last kept use lies before uppers[i] (and not before uppers[i-1])
-        n = 1 + int(np.searchsorted(t[:-1], start + gap, "left"))
-        here = np.arange(n)
-        while True:
-            after = np.searchsorted(t, t[here] + gap, "right")
-            more = after < len(t)
-            if not more.any():
-                break
-            here = np.where(more, np.minimum(after, len(t) - 1), here)
-        uppers, exits = t[:n] - gap, t[here]
-        last_of_run = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame({
-            "key": [pdf["key"].iloc[0]], "segment": [pdf["segment"].iloc[0]],
-            "uppers": [uppers[last_of_run]], "exits": [exits[last_of_run]]})
-
-    steps = timed.groupBy("key", "segment").applyInPandas(
-        step, f"key {key_type}, segment bigint, uppers array<bigint>, exits array<bigint>")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment")
-        before, last = [], None
-        for uppers, exits in zip(pdf["uppers"], pdf["exits"]):
-            before.append(last)
-            i = 0 if last is None else int(np.searchsorted(uppers, last, "right"))
-            if i < len(exits):
-                last = int(exits[i])
-        return pd.DataFrame({"key": pdf["key"], "segment": pdf["segment"],
-                             "before": pd.array(before, dtype="Int64")})
-
-    entered = steps.groupBy("key").applyInPandas(walk, f"key {key_type}, segment bigint, before bigint")
-
-    def keep(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
-        last = entry["before"].iloc[0]
-        i = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + gap, "right"))
-        kept = []
-        while i < len(t):
-            kept.append(int(t[i]))
-            i = int(np.searchsorted(t, t[i] + gap, "right"))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(kept), "us": kept})
-
-    chosen = timed.groupBy("key", "segment").cogroup(entered.groupBy("key", "segment")).applyInPandas(
-        keep, f"key {key_type}, us bigint")
-    return chosen.select(F.col("key").alias(key), wall_time(F.col("us")).alias(at))
+    def chains(pdf: pd.DataFrame):
+        """Group number, start of group, a line on which groups never meet, and each use's
+        next kept use (itself if there is none in its segment)."""
+        starts = _group_starts(pdf)
+        group = np.cumsum(starts) - 1
+        line = group * width + (pdf["us"].to_numpy() - pdf["segment"].to_numpy() * span)
+        ahead = np.searchsorted(line, line + gap, "right")
+        ends = np.append(np.flatnonzero(starts)[1:], len(pdf))[group]
+        return starts, group, line, np.where(ahead < ends, ahead, np.arange(len(pdf)))
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches):
+            starts, group, line, ahead = chains(pdf)
+            last = ahead
+            while (last != last[last]).any():
+                last = last[last]
+            us = pdf["us"].to_numpy()
+            exits = us[last]
+            # a use can be the first kept one only if the use before it lies within the gap
+            entry = starts.copy()
+            entry[1:] |= ~starts[1:] & (line[:-1] - group[:-1] * width < gap)
+            same_next = np.zeros(len(pdf), dtype=bool)
+            same_next[:-1] = entry[1:] & ~starts[1:] & (exits[1:] == exits[:-1])
+            keep = entry & ~same_next
+            yield pd.DataFrame({"key": pdf["key"][keep], "segment": pdf["segment"][keep],
+                                "upper": us[keep] - gap, "exit": exits[keep]})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, before, last, settled = (None, None), None, None, True
+        for pdf in batches:
+            entered = []
+            for k, segment, upper, exit_ in zip(pdf["key"], pdf["segment"], pdf["upper"], pdf["exit"]):
+                if (k, segment) != here:
+                    before = last if k == here[0] else None
+                    here, last, settled = (k, segment), before, False
+                    entered.append((k, segment, before))
+                if not settled and (before is None or upper > before):
+                    last, settled = exit_, True
+            out = pd.DataFrame(entered, columns=["key", "segment", "before"])
+            yield out.astype({"before": "Int64"})
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches):
+            starts, group, line, ahead = chains(pdf)
+            firsts = np.flatnonzero(starts)
+            since = pdf["before"].to_numpy(dtype="float64", na_value=np.nan)[firsts]
+            entry = pdf["segment"].to_numpy()[firsts] * span
+            waits = np.where(np.isnan(since), -1, np.maximum(np.nan_to_num(since) + gap - entry, -1))
+            at_ = np.searchsorted(line, np.arange(len(firsts)) * width + waits.astype("int64"), "right")
+            at_ = at_[at_ < np.append(firsts[1:], len(pdf))]
+            kept = np.zeros(len(pdf), dtype=bool)
+            while len(at_):
+                kept[at_] = True
+                following = ahead[at_]
+                at_ = following[following != at_]
+            yield pdf.loc[kept, ["key", "us"]]
+
+    placed = timed.repartition("key", "segment").sortWithinPartitions("key", "segment", "us")
+    stepped = placed.mapInPandas(steps, f"key {key_type}, segment bigint, upper bigint, exit bigint")
+    entered = stepped.repartition("key").sortWithinPartitions("key", "segment", "upper").mapInPandas(
+        walk, f"key {key_type}, segment bigint, before bigint")
+    again = timed.join(entered, ["key", "segment"]).repartition("key", "segment").sortWithinPartitions(
+        "key", "segment", "us")
+    return again.select("key", "segment", "us", "before").mapInPandas(pick, f"key {key_type}, us bigint").select(
+        F.col("key").alias(key), wall_time(F.col("us")).alias(at))
 
 
 # -------------------------------------------------------------------- reporting

@@ -169,14 +169,15 @@ def first_failure(checked: DataFrame) -> DataFrame:
 
 
 def request_size(payloads: DataFrame, existing_rows: Column | int, max_rows: int | None,
-                 limit: int = MAX_BULK_ROWS) -> DataFrame:
+                 limit: int | None = MAX_BULK_ROWS) -> DataFrame:
     """Row limit and quota of a bulk request in one row."""
     rows = F.count(F.lit(1))
     after = rows + existing_rows
     over = F.lit(False) if max_rows is None else after > max_rows
+    too_many = F.lit(False) if limit is None else rows > limit
     return payloads.agg(
         rows.alias("n_rows"), after.alias("rows_after"),
-        F.when(rows > limit, "too_many_rows").when(over, "quota_exceeded").otherwise("ok").alias("status"))
+        F.when(too_many, "too_many_rows").when(over, "quota_exceeded").otherwise("ok").alias("status"))
 
 
 # ----------------------------------------------------------------------- audit

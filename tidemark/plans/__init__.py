@@ -1,6 +1,6 @@
 """Registered queries: every operator over the given tables, with its SQL counterpart."""
 
-from tidemark.plans import values  # noqa: F401
+from tidemark.plans import feeds, reports, values, writes  # noqa: F401
 from tidemark.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
