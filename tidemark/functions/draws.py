@@ -32,7 +32,7 @@ MAIL_DOMAINS = ["example.com", "example.org", "example.net"]
 
 def digest(seed, table: str, field: str, row: Column) -> Column:
     """32 hex digits, uniform over (seed, table, field, row)."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(table), F.lit(field), row.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|{table}|{field}|"), row.cast("string")))
 
 
 def number(hex_digits: Column) -> Column:

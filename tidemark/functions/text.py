@@ -54,9 +54,10 @@ def iso_text(ts: Column, sep: str = "T") -> Column:
 
 
 _ISO = (
-    r"^(\d{4}-\d{2}-\d{2})"
-    r"(?:[T ](\d{2}:\d{2})(:\d{2}(?:[.,]\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    r"^\d{4}-\d{2}-\d{2}"
+    r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)?)?$"
 )
+_ISO_OFFSET = r"[+-](\d{2}):?(\d{2})$"
 
 
 def parse_iso(text: Column) -> Column:
@@ -65,20 +66,14 @@ def parse_iso(text: Column) -> Column:
     Independent of the session time zone: an offset is subtracted, ``Z`` is zero, and
     text without an offset is taken as it stands.
     """
-    day = F.regexp_extract(text, _ISO, 1)
-    minutes = F.regexp_extract(text, _ISO, 2)
-    seconds = F.regexp_replace(F.regexp_extract(text, _ISO, 3), ",", ".")
-    offset = F.regexp_extract(text, _ISO, 4)
-    wall = F.concat(
-        day, F.lit(" "), F.when(minutes == "", F.lit("00:00")).otherwise(minutes),
-        F.when(seconds == "", F.lit(":00")).otherwise(seconds),
-    ).try_cast("timestamp_ntz")
-    sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
-    hours = F.coalesce(F.substring(offset, 2, 2).try_cast("int"), F.lit(0))
-    mins = F.coalesce(F.substring(offset, -2, 2).try_cast("int"), F.lit(0))
-    shift = F.make_dt_interval(F.lit(0), -sign * hours, -sign * mins)
-    good_offset = (offset == "") | (offset == "Z") | ((hours < 24) & (mins < 60))
-    return F.when(text.rlike(_ISO) & good_offset, wall + shift)
+    shaped = F.when(text.rlike(_ISO), F.translate(text, ",", "."))
+    wall = F.regexp_replace(shaped, "(Z|[+-]\\d{2}:?\\d{2})$", "").try_cast("timestamp_ntz")
+    hours = F.regexp_extract(shaped, _ISO_OFFSET, 1).cast("int")
+    minutes = F.regexp_extract(shaped, _ISO_OFFSET, 2).cast("int")
+    ahead = F.make_dt_interval(F.lit(0), hours, minutes)
+    east = F.substring(F.regexp_extract(shaped, _ISO_OFFSET, 0), 1, 1) == "+"
+    has_offset = (F.length(shaped) > 10) & shaped.rlike(_ISO_OFFSET)
+    return F.when(~has_offset, wall).when(east, wall - ahead).otherwise(wall + ahead)
 
 
 # ------------------------------------------------------------------- rendering

@@ -19,6 +19,7 @@ from tidemark.operators.validation import (
     MAX_BULK_ROWS, first_failure, keys_of, request_size, validate,
 )
 from tidemark.schema import Table
+from tidemark.session import pin
 
 
 class InvalidBatch(ValueError):
@@ -109,7 +110,7 @@ def update_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFra
     several requests name one row, each field ends at its last given value: a max_by per
     field, combined map-side, so a row updated by a third of the requests is no hot spot.
     """
-    judged = update_outcomes(requests, table, rows, parents)
+    judged = pin(update_outcomes(requests, table, rows, parents), "judged")  # read three times
     base = entity_next(rows, log, table.name) - 1
     accepted = index_by_integer(judged.filter(F.col("error_code").isNull()).drop("error_code"), "row_pos")
     accepted = accepted.withColumn("version", F.col("idx") + F.lit(base))

@@ -43,13 +43,18 @@ def read_only_keys(payload: Column, table: Table) -> Column:
     return F.array_intersect(keys_of(payload), F.array(*fixed))
 
 
+def parsed_fields(payload: Column, table: Table) -> Column:
+    """The payload's fields as a struct of variants: one parse, JSON types kept."""
+    return F.from_json(payload, ", ".join(f"`{c}` variant" for c in table.columns))
+
+
 def json_type(parsed: Column, name: str) -> Column:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID for null, NULL if absent."""
-    return F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    return F.schema_of_variant(parsed[name])
 
 
-def json_text(payload: Column, name: str) -> Column:
-    return F.get_json_object(payload, f"$.{name}")
+def json_text(parsed: Column, name: str) -> Column:
+    return F.try_variant_get(parsed[name], "$", "string")
 
 
 def is_null_in_required(parsed: Column, field: StructField) -> Column:
@@ -73,99 +78,97 @@ def has_wrong_type(parsed: Column, field: StructField) -> Column:
     return F.coalesce((found != "VOID") & ~fits, F.lit(False))
 
 
-def is_not_listed(payload: Column, field: StructField) -> Column:
-    text = json_text(payload, field.name)
+def is_not_listed(parsed: Column, field: StructField) -> Column:
+    text = json_text(parsed, field.name)
     return F.coalesce(~text.isin(list(field.metadata["values"])), F.lit(False))
 
 
-def is_not_a_time(payload: Column, field: StructField) -> Column:
-    text = json_text(payload, field.name)
+def is_not_a_time(parsed: Column, field: StructField) -> Column:
+    text = json_text(parsed, field.name)
     return text.isNotNull() & parse_iso(text).isNull()
 
 
-def _problem(field: StructField, payload: Column, parsed: Column) -> Column:
+def _problem(field: StructField, parsed: Column) -> Column:
     """Error code of one field's value, references aside."""
     bad = is_null_in_required(parsed, field) | has_wrong_type(parsed, field)
     if field.metadata["type"] == "enum":
-        bad = bad | is_not_listed(payload, field)
+        bad = bad | is_not_listed(parsed, field)
     if field.metadata["type"] == "timestamp":
-        bad = bad | is_not_a_time(payload, field)
+        bad = bad | is_not_a_time(parsed, field)
     return F.when(bad, INVALID)
 
 
-def with_known_parents(payloads: DataFrame, table: Table,
+def with_known_parents(parsed: DataFrame, table: Table,
                        parents: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Adds ``_ok_<ref>``: the reference names an existing parent row."""
-    out = payloads
+    """Adds ``_lost_<ref>``: the reference in ``_parsed`` names no parent row."""
+    out = parsed
     for ref, parent in table.refs.items():
         keys, pk = parents[parent]
         known = keys.select(F.col(pk).cast("string").alias("_known"))
         out = join_unique(
-            out.withColumn("_wanted", json_text(F.col("payload"), ref)), known, "_wanted", "_known")
-        out = out.withColumn(f"_ok_{ref}", F.col("_known").isNotNull()).drop("_wanted", "_known")
+            out.withColumn("_wanted", json_text(F.col("_parsed"), ref)), known, "_wanted", "_known")
+        lost = F.col("_wanted").isNotNull() & F.col("_known").isNull()
+        out = out.withColumn(f"_lost_{ref}", lost).drop("_wanted", "_known")
     return out
 
 
+def _message(code: Column, field: Column, table: Table) -> Column:
+    expected = F.lit(None).cast("string")
+    for f in table.schema.fields:
+        expected = F.when(field == f.name, _EXPECTED[f.metadata["type"]]).otherwise(expected)
+    return (
+        F.when(code == UNKNOWN, F.concat(field, F.lit(" is not a field of this table")))
+        .when(code == READ_ONLY, F.concat(field, F.lit(" is set by the system")))
+        .when(code == BAD_REF, F.concat(field, F.lit(" names no existing row")))
+        .when(code == BAD_JSON, F.lit("the payload is not a JSON object"))
+        .when(code == INVALID, F.concat(field, F.lit(" must be "), expected)))
+
+
 def validate(payloads: DataFrame, table: Table,
              parents: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
     """Each payload with its first error in key order: ``error_code``, ``error_field`` and
-    ``message``, all NULL when the payload is good."""
-    checked = with_known_parents(payloads, table, parents) if table.refs else payloads
-    checked = checked.withColumn("_parsed", F.try_parse_json("payload")).withColumn(
-        "_keys", keys_of(F.col("payload")))
-    payload, parsed = F.col("payload"), F.col("_parsed")
+    ``message``, all NULL when the payload is good.
+
+    Every field contributes (position in the payload, code, name) if it is wrong, and the
+    least of these is the verdict: plain columns, no lambdas, one parse per payload.
+    """
+    checked = payloads.withColumn("_parsed", parsed_fields(F.col("payload"), table)).withColumn(
+        "_keys", F.when(F.try_parse_json("payload").isNotNull(), keys_of(F.col("payload"))))
+    if table.refs:
+        checked = with_known_parents(checked, table, parents)
+    parsed, keys = F.col("_parsed"), F.col("_keys")
     writable = {f.name for f in table.writable}
 
-    def code(f: StructField) -> Column:
+    def error_at(place: Column, code: Column, name: Column) -> Column:
+        wrong = (place > 0) & code.isNotNull()
+        return F.when(wrong, F.struct(place.alias("place"), code.alias("code"), name.alias("field")))
+
+    def code_of(f: StructField) -> Column:
         if f.name not in writable:
             return F.lit(READ_ONLY)
-        problem = _problem(f, payload, parsed)
+        problem = _problem(f, parsed)
         if f.name in table.refs:
-            dangling = json_text(payload, f.name).isNotNull() & ~F.col(f"_ok_{f.name}")
-            problem = F.coalesce(problem, F.when(dangling, BAD_REF))
+            problem = F.coalesce(problem, F.when(F.col(f"_lost_{f.name}"), BAD_REF))
         return problem
 
-    names = F.array(*[F.lit(c) for c in table.columns])
-    codes = F.array(*[code(f).cast("string") for f in table.schema.fields])
-    checked = checked.withColumn("_codes", codes)
-
-    def verdict(key: Column) -> Column:
-        place = F.array_position(names, key).cast("int")
-        found = F.when(place == 0, UNKNOWN).otherwise(
-            F.element_at(F.col("_codes"), F.greatest(place, F.lit(1))))
-        return F.struct(found.alias("code"), key.alias("field"))
-
-    errors = F.filter(F.transform("_keys", verdict), lambda e: e["code"].isNotNull())
-    # get(), not [0]: out of range is NULL even under ANSI rules
-    checked = checked.withColumn("_first", F.get(errors, F.lit(0)))
-    not_json = F.col("_keys").isNull() | parsed.isNull()
-    error_code = F.when(not_json, BAD_JSON).otherwise(F.col("_first.code"))
-    error_field = F.when(~not_json, F.col("_first.field"))
-    expected = F.element_at(
-        F.array(*[F.lit(_EXPECTED[f.metadata["type"]]) for f in table.schema.fields]),
-        F.greatest(F.array_position(names, error_field), F.lit(1)).cast("int"))
-    message = (
-        F.when(error_code == UNKNOWN, F.concat(error_field, F.lit(" is not a field of this table")))
-        .when(error_code == READ_ONLY, F.concat(error_field, F.lit(" is set by the system")))
-        .when(error_code == BAD_REF, F.concat(error_field, F.lit(" names no existing row")))
-        .when(error_code == BAD_JSON, F.lit("the payload is not a JSON object"))
-        .when(error_code == INVALID, F.concat(error_field, F.lit(" must be "), expected))
-    )
-    return checked.select(
-        *payloads.columns, error_code.alias("error_code"), error_field.alias("error_field"),
-        message.alias("message"))
+    stranger = F.get(F.array_except(keys, F.array(*[F.lit(c) for c in table.columns])), F.lit(0))
+    errors = [error_at(F.array_position(keys, stranger), F.lit(UNKNOWN), stranger)]
+    errors += [error_at(F.array_position(keys, f.name), code_of(f), F.lit(f.name)) for f in table.schema.fields]
+    first = F.when(keys.isNull(), F.struct(
+        F.lit(0).cast("bigint").alias("place"), F.lit(BAD_JSON).alias("code"),
+        F.lit(None).cast("string").alias("field"))).otherwise(F.least(*errors))
+    verdict = checked.select(*payloads.columns, first.alias("_first")).select(
+        *payloads.columns, F.col("_first.code").alias("error_code"), F.col("_first.field").alias("error_field"))
+    return verdict.withColumn("message", _message(F.col("error_code"), F.col("error_field"), table))
 
 
 def first_failure(checked: DataFrame) -> DataFrame:
-    """The verdict on a whole batch: its first bad row, or nothing wrong."""
+    """The verdict on a whole batch in one pass: its first bad row, or nothing wrong."""
     bad = F.when(F.col("error_code").isNotNull(), F.col("row_pos"))
-    worst = checked.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(bad).alias("n_bad"), F.min(bad).alias("_pos"))
-    named = checked.filter(F.col("error_code").isNotNull()).select(
-        F.col("row_pos").alias("_pos"), "error_code",
-        F.concat(F.lit("rows["), F.col("row_pos").cast("string"), F.lit("]: "), F.col("message")).alias("message"))
-    return F.broadcast(worst).join(named, "_pos", "left").select(
-        "n_rows", "n_bad", F.col("_pos").alias("first_bad"), "error_code", "message")
+    where = F.concat(F.lit("rows["), F.col("row_pos").cast("string"), F.lit("]: "), F.col("message"))
+    return checked.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(bad).alias("n_bad"), F.min(bad).alias("first_bad"),
+        F.min_by("error_code", bad).alias("error_code"), F.min_by(where, bad).alias("message"))
 
 
 def request_size(payloads: DataFrame, existing_rows: Column | int, max_rows: int | None,
