@@ -68,9 +68,10 @@ def uniform_cents(h: Column, low: float, high: float) -> Column:
 
 
 def letters(h: Column, length: int = TEXT_LENGTH) -> Column:
-    """Lowercase letters, read off one draw in base 26 (length 12 at most)."""
-    digits = [F.call_function("div", h, F.lit(26 ** j).cast("bigint")) % 26 for j in range(length)]
-    return F.concat(*[F.char(F.lit(97).cast("bigint") + d) for d in digits])
+    """Lowercase letters: the last ``length`` (12 at most) base-26 digits of one draw."""
+    digits = F.conv(h % F.lit(26 ** length).cast("bigint"), 10, 26)
+    return F.translate(
+        F.lpad(digits, length, "0"), "0123456789ABCDEFGHIJKLMNOP", "abcdefghijklmnopqrstuvwxyz")
 
 
 def pick(h: Column, values: list[str]) -> Column:

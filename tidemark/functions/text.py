@@ -57,7 +57,16 @@ _ISO = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)?)?$"
 )
-_ISO_OFFSET = r"[+-](\d{2}):?(\d{2})$"
+
+
+def _wall(text: Column) -> Column:
+    """The clock reading of ISO text, its offset set aside; NULL for impossible dates."""
+    return F.regexp_replace(
+        F.translate(text, ",", "."), r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+
+
+def is_iso(text: Column) -> Column:
+    return text.rlike(_ISO) & _wall(text).isNotNull()
 
 
 def parse_iso(text: Column) -> Column:
@@ -66,14 +75,12 @@ def parse_iso(text: Column) -> Column:
     Independent of the session time zone: an offset is subtracted, ``Z`` is zero, and
     text without an offset is taken as it stands.
     """
-    shaped = F.when(text.rlike(_ISO), F.translate(text, ",", "."))
-    wall = F.regexp_replace(shaped, "(Z|[+-]\\d{2}:?\\d{2})$", "").try_cast("timestamp_ntz")
-    hours = F.regexp_extract(shaped, _ISO_OFFSET, 1).cast("int")
-    minutes = F.regexp_extract(shaped, _ISO_OFFSET, 2).cast("int")
-    ahead = F.make_dt_interval(F.lit(0), hours, minutes)
-    east = F.substring(F.regexp_extract(shaped, _ISO_OFFSET, 0), 1, 1) == "+"
-    has_offset = (F.length(shaped) > 10) & shaped.rlike(_ISO_OFFSET)
-    return F.when(~has_offset, wall).when(east, wall - ahead).otherwise(wall + ahead)
+    # a plain date ends in "-31": only text with a clock part can carry an offset
+    offset = F.when(F.length(text) > 10, F.regexp_extract(text, r"([+-]\d{2}:?\d{2})$", 1)).otherwise("")
+    sign = F.when(offset.startswith("-"), 1).otherwise(-1)
+    minutes = F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, -2, 2).cast("int")
+    moved = F.timestamp_add("MINUTE", sign * minutes, _wall(text))
+    return F.when(text.rlike(_ISO), F.when(offset == "", _wall(text)).otherwise(moved))
 
 
 # ------------------------------------------------------------------- rendering

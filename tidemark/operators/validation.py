@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructField
 
-from tidemark.functions.text import parse_iso
+from tidemark.functions.text import is_iso
 from tidemark.operators.skew import join_unique
 from tidemark.schema import Table
 
@@ -57,45 +57,35 @@ def json_text(parsed: Column, name: str) -> Column:
     return F.try_variant_get(parsed[name], "$", "string")
 
 
-def is_null_in_required(parsed: Column, field: StructField) -> Column:
-    if field.metadata.get("nullable"):
-        return F.lit(False)
-    return F.coalesce(json_type(parsed, field.name) == "VOID", F.lit(False))
+# The rules below see one field as two columns: ``found``, its JSON type, and ``text``.
+def is_null_in_required(found: Column, field: StructField) -> Column:
+    return F.lit(False) if field.metadata.get("nullable") else F.coalesce(found == "VOID", F.lit(False))
 
 
-def has_wrong_type(parsed: Column, field: StructField) -> Column:
+def has_wrong_type(found: Column, field: StructField) -> Column:
     """The JSON type does not fit the declared one. Integers take no booleans and no 7.0."""
-    found = json_type(parsed, field.name)
-    kind = field.metadata["type"]
-    if kind == "int":
-        fits = found == "BIGINT"
-    elif kind == "float":
-        fits = (found == "BIGINT") | found.startswith("DECIMAL") | (found == "DOUBLE") | (found == "FLOAT")
-    elif kind == "bool":
-        fits = found == "BOOLEAN"
-    else:
-        fits = found == "STRING"
-    return F.coalesce((found != "VOID") & ~fits, F.lit(False))
-
-
-def is_not_listed(parsed: Column, field: StructField) -> Column:
-    text = json_text(parsed, field.name)
+    fits = {
+        "int": "^(VOID|BIGINT)$", "float": r"^(VOID|BIGINT|DECIMAL.*|DOUBLE|FLOAT)$",
+        "bool": "^(VOID|BOOLEAN)$",
+    }.get(field.metadata["type"], "^(VOID|STRING)$")
+    return F.coalesce(~found.rlike(fits), F.lit(False))
+
+
+def is_not_listed(text: Column, field: StructField) -> Column:
     return F.coalesce(~text.isin(list(field.metadata["values"])), F.lit(False))
 
 
-def is_not_a_time(parsed: Column, field: StructField) -> Column:
-    text = json_text(parsed, field.name)
-    return text.isNotNull() & parse_iso(text).isNull()
+def is_not_a_time(text: Column, field: StructField) -> Column:
+    return text.isNotNull() & ~is_iso(text)
 
 
-def _problem(field: StructField, parsed: Column) -> Column:
-    """Error code of one field's value, references aside."""
-    bad = is_null_in_required(parsed, field) | has_wrong_type(parsed, field)
+def _wrong_value(found: Column, text: Column, field: StructField) -> Column:
+    bad = is_null_in_required(found, field) | has_wrong_type(found, field)
     if field.metadata["type"] == "enum":
-        bad = bad | is_not_listed(parsed, field)
+        bad = bad | is_not_listed(text, field)
     if field.metadata["type"] == "timestamp":
-        bad = bad | is_not_a_time(parsed, field)
-    return F.when(bad, INVALID)
+        bad = bad | is_not_a_time(text, field)
+    return bad
 
 
 def with_known_parents(parsed: DataFrame, table: Table,
@@ -137,23 +127,30 @@ def validate(payloads: DataFrame, table: Table,
     if table.refs:
         checked = with_known_parents(checked, table, parents)
     parsed, keys = F.col("_parsed"), F.col("_keys")
+    # one projection per step, so that no later expression repeats an earlier one
+    checked = checked.withColumns({
+        **{f"_type_{f.name}": json_type(parsed, f.name) for f in table.writable},
+        **{f"_text_{f.name}": json_text(parsed, f.name) for f in table.writable
+           if f.metadata["type"] in ("enum", "timestamp")},
+        **{f"_at_{c}": F.array_position(keys, c) for c in table.columns},
+        "_stranger": F.get(F.array_except(keys, F.array(*[F.lit(c) for c in table.columns])), F.lit(0))})
+
+    def code_of(f: StructField) -> Column:
+        code = F.when(_wrong_value(F.col(f"_type_{f.name}"), F.col(f"_text_{f.name}"), f), INVALID)
+        return F.coalesce(code, F.when(F.col(f"_lost_{f.name}"), BAD_REF)) if f.name in table.refs else code
+
     writable = {f.name for f in table.writable}
+    checked = checked.withColumns({f"_code_{f.name}": code_of(f) for f in table.writable} | {
+        "_at": F.array_position(keys, F.col("_stranger"))})
 
     def error_at(place: Column, code: Column, name: Column) -> Column:
-        wrong = (place > 0) & code.isNotNull()
-        return F.when(wrong, F.struct(place.alias("place"), code.alias("code"), name.alias("field")))
+        return F.when((place > 0) & code.isNotNull(), F.struct(
+            place.alias("place"), code.alias("code"), name.alias("field")))
 
-    def code_of(f: StructField) -> Column:
-        if f.name not in writable:
-            return F.lit(READ_ONLY)
-        problem = _problem(f, parsed)
-        if f.name in table.refs:
-            problem = F.coalesce(problem, F.when(F.col(f"_lost_{f.name}"), BAD_REF))
-        return problem
-
-    stranger = F.get(F.array_except(keys, F.array(*[F.lit(c) for c in table.columns])), F.lit(0))
-    errors = [error_at(F.array_position(keys, stranger), F.lit(UNKNOWN), stranger)]
-    errors += [error_at(F.array_position(keys, f.name), code_of(f), F.lit(f.name)) for f in table.schema.fields]
+    errors = [error_at(F.col("_at"), F.lit(UNKNOWN), F.col("_stranger"))]
+    errors += [
+        error_at(F.col(f"_at_{c}"), F.col(f"_code_{c}") if c in writable else F.lit(READ_ONLY), F.lit(c))
+        for c in table.columns]
     first = F.when(keys.isNull(), F.struct(
         F.lit(0).cast("bigint").alias("place"), F.lit(BAD_JSON).alias("code"),
         F.lit(None).cast("string").alias("field"))).otherwise(F.least(*errors))

@@ -235,7 +235,7 @@ def uuid_sql(seed, table: str, field: str, row: str) -> str:
 
 
 def letters_sql(h: str, length: int = 8) -> str:
-    return " || ".join(f"chr(CAST(97 + ({h} // {26 ** j}) % 26 AS INTEGER))" for j in range(length))
+    return " || ".join(f"chr(CAST(97 + ({h} // {26 ** j}) % 26 AS INTEGER))" for j in reversed(range(length)))
 
 
 def name_sql(seed, table: str, field: str, row: str) -> str:

@@ -101,12 +101,11 @@ def _(t):
     return named.filter("read_only IS NOT NULL")
 
 
-def _flag(t: Roles, rule, field: str):
+def _flag(t: Roles, rule, field: str, of=validation.json_type):
     """One rule on one field; rows without that field pass."""
-    payloads = _payloads(t)
     parsed = validation.parsed_fields(F.col("payload"), ORDERS)
-    return payloads.withColumn("_parsed", parsed).select(
-        "row_pos", F.coalesce(rule(F.col("_parsed"), ORDERS.schema[field]), F.lit(False)).alias("is_bad"))
+    seen = _payloads(t).withColumn("_seen", of(parsed, field))
+    return seen.select("row_pos", rule(F.col("_seen"), ORDERS.schema[field]).alias("is_bad"))
 
 
 def _flag_sql(condition: str) -> str:
@@ -141,13 +140,13 @@ def _(t):
 
 @query("v5_enum_membership", _flag_sql("json_extract_string(payload, '$.status') NOT IN ('F', 'O', 'P')"))
 def _(t):
-    return _flag(t, validation.is_not_listed, "status")
+    return _flag(t, validation.is_not_listed, "status", validation.json_text)
 
 
 @query("v6_not_a_time", _flag_sql(
     "json_extract_string(payload, '$.placed_at') IS NOT NULL AND try_cast(json_extract_string(payload, '$.placed_at') AS TIMESTAMPTZ) IS NULL"))
 def _(t):
-    return _flag(t, validation.is_not_a_time, "placed_at")
+    return _flag(t, validation.is_not_a_time, "placed_at", validation.json_text)
 
 
 @query("v7_invalid_references", f"""

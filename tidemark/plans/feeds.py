@@ -238,8 +238,10 @@ def _(t):
 @query("c11_assigned_parents", f"""
 WITH {CUST}, live AS (SELECT customer_id FROM cust WHERE deleted_at IS NULL),
 idx AS (SELECT customer_id, row_number() OVER (ORDER BY md5(customer_id)) AS no FROM live)
-SELECT o_orderkey, customer_id FROM orders
-JOIN idx ON no = {draw_sql(11, 'orders', 'customer_id', 'o_orderkey')} % (SELECT count(*) FROM live) + 1""")
+SELECT o_orderkey, customer_id
+FROM (SELECT o_orderkey, {draw_sql(11, 'orders', 'customer_id', 'o_orderkey')} % n + 1 AS want
+      FROM orders, (SELECT count(*) AS n FROM live))
+JOIN idx ON no = want""")
 def _(t):
     children = t.tab("orders").select("o_orderkey")
     keys = rows.live_keys(t.customers, "customer_id", "deleted_at")

@@ -53,9 +53,10 @@ def _pointers(t: Roles):
 
 
 @query("g1_not_targeted", f"""
-WITH {CUST}, {ORD} SELECT customer_id, name FROM cust WHERE customer_id NOT IN (SELECT customer_id FROM ord)""")
+WITH {CUST}, {ORD} SELECT customer_id, name FROM cust
+WHERE customer_id NOT IN (SELECT customer_id FROM ord WHERE amount > 400000)""")
 def _(t):
-    return graph.difference(t.customers.select("customer_id", "name"), t.orders, "customer_id")
+    return graph.difference(t.customers.select("customer_id", "name"), t.orders.filter("amount > 400000"), "customer_id")
 
 
 @query("g1_union_of_keys", f"WITH {CUST}, {ORD} SELECT customer_id FROM cust UNION SELECT customer_id FROM ord")

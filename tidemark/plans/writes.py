@@ -31,8 +31,9 @@ def new_orders_sql(seed, n: str, version: str, index: str = "pidx", row_ts: str
     SELECT i, {v['order_id']} AS order_id, parent AS customer_id, {v['amount']} AS amount, {v['status']} AS status,
            {v['priority']} AS priority, {v['urgent']} AS urgent, {v['note']} AS note, {row_ts} AS placed_at,
            {row_ts} AS updated_at, CAST(NULL AS TIMESTAMP) AS deleted_at, {version} AS version
-    FROM (SELECT unnest(range({n})) AS i)
-    JOIN {index} ON no = {draw_sql(seed, 'orders', 'customer_id', 'i')} % (SELECT count(*) FROM {index}) + 1"""
+    FROM (SELECT i, {draw_sql(seed, 'orders', 'customer_id', 'i')} % n + 1 AS want
+          FROM (SELECT unnest(range({n})) AS i), (SELECT count(*) AS n FROM {index}))
+    JOIN {index} ON no = want"""
 
 
 def new_customers_sql(seed, n: str, version: str) -> str:

@@ -20,6 +20,8 @@ def local_session(app: str = "tidemark", cores: str = "8", **settings: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the JVM never compiles methods above 8000 bytes; let Spark split such projections
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
