@@ -110,7 +110,8 @@ def cursor_status(cursors: DataFrame, log: DataFrame) -> DataFrame:
     """Every consumer cursor (entity, since) with its lag, or the stale-cursor code."""
     latest = F.coalesce("latest_version", F.lit(0))
     ahead = F.col("since") > latest
-    return cursors.join(F.broadcast(latest_versions(log)), "entity", "left").select(
+    newest = latest_versions(log).withColumnRenamed("entity", "_entity")
+    return join_unique(cursors, newest, "entity", "_entity").select(
         *cursors.columns, latest.alias("latest_version"),
         F.when(ahead, STALE_CURSOR).otherwise("ok").alias("status"),
         F.when(~ahead, latest - F.col("since")).alias("lag"))
@@ -141,8 +142,9 @@ def replay(snapshot: DataFrame, changes: DataFrame, pk: str) -> DataFrame:
     """The table after applying enriched ``changes`` to a snapshot. Idempotent: only the last
     change of a key counts, so overlapping or repeated input gives the same table."""
     values = [c for c in snapshot.columns if c not in (pk, "version")]
-    last = last_change(changes, pk)
-    newest = changes.drop("op").dropDuplicates([pk, "version"]).join(last, [pk, "version"])
+    last = last_change(changes, pk).select(pk, "version")
+    # the join leaves rows placed by (key, version), so dropping repeats there is free
+    newest = changes.join(last, [pk, "version"], "left_semi").dropDuplicates([pk, "version"])
     theirs = newest.select(
         F.col(pk).alias("_pk"), F.col("version").alias("_version"), F.col("op").alias("_op"),
         *[F.col(c).alias(f"_new_{c}") for c in values])

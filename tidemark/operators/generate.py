@@ -86,7 +86,7 @@ def updated_values(table: Table, seed, batch_ts: Column) -> dict[str, Column]:
 
 def row_plan(tables: DataFrame, counts: DataFrame, count: int | None) -> DataFrame:
     """Rows to make per table: its own count, else the common one, else the declared one."""
-    return tables.join(F.broadcast(counts.withColumnRenamed("n", "_n")), "entity", "left").select(
+    return tables.join(counts.withColumnRenamed("n", "_n"), "entity", "left").select(
         "entity",
         F.coalesce("_n", F.lit(count).cast("bigint"), "initial_count").cast("bigint").alias("n"))
 

@@ -30,7 +30,9 @@ def hot_keys(df: DataFrame, key: str) -> list:
         F.call_function("approx_top_k", F.col(key), F.lit(HOT_KEYS), F.lit(SKETCH_SIZE)).alias("top"),
     ).first()
     least = max(2.0, found["n"] * HOT_SHARE)
-    return [item["item"] for item in found["top"] if item["count"] >= least]
+    # the sketch may list NULL; as an IN-list value it would make the negated filter drop rows
+    return [item["item"] for item in found["top"]
+            if item["item"] is not None and item["count"] >= least]
 
 
 def join_unique(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

@@ -215,9 +215,11 @@ def throttled_uses(uses: DataFrame, key: str, at: str, minutes: int = REFRESH_MI
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches):
+            is_use = pdf["is_use"].to_numpy()
+            since = pdf.loc[~is_use, "before"].to_numpy(dtype="float64", na_value=np.nan)
+            pdf = pdf[is_use].reset_index(drop=True)
             starts, group, line, ahead = chains(pdf)
             firsts = np.flatnonzero(starts)
-            since = pdf["before"].to_numpy(dtype="float64", na_value=np.nan)[firsts]
             entry = pdf["segment"].to_numpy()[firsts] * span
             waits = np.where(np.isnan(since), -1, np.maximum(np.nan_to_num(since) + gap - entry, -1))
             at_ = np.searchsorted(line, np.arange(len(firsts)) * width + waits.astype("int64"), "right")
@@ -233,9 +235,12 @@ def throttled_uses(uses: DataFrame, key: str, at: str, minutes: int = REFRESH_MI
     stepped = placed.mapInPandas(steps, f"key {key_type}, segment bigint, upper bigint, exit bigint")
     entered = stepped.repartition("key").sortWithinPartitions("key", "segment", "upper").mapInPandas(
         walk, f"key {key_type}, segment bigint, before bigint")
-    again = timed.join(entered, ["key", "segment"]).repartition("key", "segment").sortWithinPartitions(
-        "key", "segment", "us")
-    return again.select("key", "segment", "us", "before").mapInPandas(pick, f"key {key_type}, us bigint").select(
+    # the entry time of a segment travels as its first row: one shuffle of the uses, no join
+    entries = entered.select("key", "segment", F.lit(0).cast("bigint").alias("us"), "before", F.lit(False).alias("is_use"))
+    both = timed.select(
+        "key", "segment", "us", F.lit(None).cast("bigint").alias("before"), F.lit(True).alias("is_use")
+    ).unionByName(entries).repartition("key", "segment").sortWithinPartitions("key", "segment", "is_use", "us")
+    return both.mapInPandas(pick, f"key {key_type}, us bigint").select(
         F.col("key").alias(key), wall_time(F.col("us")).alias(at))
 
 

@@ -86,10 +86,12 @@ def sql_statements(df: DataFrame, name: str, order: str, dialect: str = "sqlite"
 
 
 # ----------------------------------------------------------------------- sinks
-def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
-    """Count what passes through, without a second pass."""
+def counted(df: DataFrame, rows: Column | None = None) -> tuple[DataFrame, Observation]:
+    """Count what passes through, without a second pass. Place it last before the write:
+    only there does Spark count each row once whatever is sampled or recomputed upstream."""
     seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+    n = F.count(F.lit(1)) if rows is None else F.coalesce(F.sum(rows), F.lit(0))
+    return df.observe(seen, n.alias("rows")), seen
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -102,10 +104,13 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     _iso_times(df).write.option("ignoreNullFields", "false").json(path)
 
 
-def write_sql(df: DataFrame, path: str, name: str, order: str, dialect: str = "sqlite") -> None:
+def write_sql(df: DataFrame, path: str, name: str, order: str, dialect: str = "sqlite") -> int:
+    """Writes INSERT statements; returns the number of rows in them."""
     statements = sql_statements(df, name, order, dialect).orderBy("statement_no")
+    statements, seen = counted(statements, F.col("n_rows"))
     note = F.when(F.col("statement_no") == 0, F.lit(f"-- {name}: INSERT statements ({dialect})\n")).otherwise("")
     statements.select(F.concat(note, F.col("statement"))).write.text(path)
+    return seen.get["rows"]
 
 
 @dataclass(frozen=True)
@@ -141,14 +146,12 @@ def export_table(table: Table, rows: DataFrame, log: DataFrame, path: str, fmt:
         out = snapshot(rows, table, include_deleted)
     else:
         out = delta(log, rows, table.name, table.pk, since, upto).select("op", *table.columns)
+    if fmt == "sql":
+        return Exported("snapshot", write_sql(out, path, table.name, table.pk, dialect), None, upto)
     # a change export is ordered by version, a snapshot by key
-    out, seen = counted(out.orderBy(table.pk if since is None else "version") if fmt != "sql" else out)
-    if fmt == "csv":
-        write_csv(out, path)
-    elif fmt == "ndjson":
-        write_ndjson(out, path)
-    else:
-        write_sql(out, path, table.name, table.pk, dialect)
+    out, seen = counted(out.orderBy(table.pk if since is None else "version"))
+    write = write_csv if fmt == "csv" else write_ndjson
+    write(out, path)
     return Exported("snapshot" if since is None else "changes", seen.get["rows"], since, upto)
 
 
