@@ -106,7 +106,7 @@ class Store:
     def publish(self, data, log):
         def stored(df, label):
             path = self.scratch(label)
-            df.write.parquet(path)
+            df.coalesce(2).write.parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
 
         fresh = {n: stored(df, n) if df is not self.data[n] else df for n, df in data.items()}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,8 +20,6 @@ from tidemark.operators.feed import last_change, op_code, op_name
 from tidemark.operators.tenancy import REFRESH_MINUTES
 from tidemark.schema import CADENCES
 
-SALTS = 16
-
 
 def follow(spark: SparkSession, path: str, schema: StructType, name_glob: str | None = None,
            files_per_batch: int | None = None) -> DataFrame:
@@ -87,15 +86,20 @@ def interval_counts(log: DataFrame, cadence: str = "daily", delay: str | None =
              "n_changes", "inserted", "updated", "deleted")
 
 
-def key_states(log: DataFrame, salts: int = SALTS) -> DataFrame:
+def key_states(log: DataFrame) -> DataFrame:
     """Last change per key as a stateful stream: each batch emits the keys that moved on.
 
-    State is one number per key and salt. The salt comes from the version, so a key that
-    makes up much of the log is spread over ``salts`` groups; ``current_states`` folds them.
+    State is one number per key: version and op packed as in ``last_change``. Each Arrow
+    batch is cut to one row per key before the shuffle, so a key that makes up much of the
+    log reaches its state as a few rows.
     """
     packed = log.select(
-        "entity", "pk_value", (F.col("version") % salts).cast("int").alias("salt"),
-        (F.col("version") * 4 + op_code(F.col("op"))).cast("bigint").alias("packed"))
+        "entity", "pk_value", (F.col("version") * 4 + op_code(F.col("op"))).cast("bigint").alias("packed"))
+    shape = "entity string, pk_value string, packed bigint"
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby(["entity", "pk_value"], as_index=False)["packed"].max()
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get[0] if state.exists else -1
@@ -104,9 +108,8 @@ def key_states(log: DataFrame, salts: int = SALTS) -> DataFrame:
             state.update((new,))
             yield pd.DataFrame({"entity": [key[0]], "pk_value": [key[1]], "packed": [new]})
 
-    return packed.groupBy("entity", "pk_value", "salt").applyInPandasWithState(
-        advance, "entity string, pk_value string, packed bigint", "packed bigint",
-        "append", GroupStateTimeout.NoTimeout)
+    return packed.mapInPandas(combine, shape).groupBy("entity", "pk_value").applyInPandasWithState(
+        advance, shape, "packed bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def current_states(emitted: DataFrame) -> DataFrame:
@@ -118,16 +121,21 @@ def current_states(emitted: DataFrame) -> DataFrame:
 
 def refreshed_uses(uses: DataFrame, key: str, at: str, minutes: int = REFRESH_MINUTES) -> DataFrame:
     """Streaming form of the throttled last-used rule: state is the last kept time of a key.
-    Uses must arrive in time order across batches."""
+
+    Uses must arrive in time order across triggers. One task holds the candidate times of a
+    key within one trigger (8 bytes each); ``files_per_batch`` of ``follow`` bounds that.
+    Bulk history belongs to the batch form, which splits a key's time line.
+    """
     gap = minutes * 60_000_000
     timed = uses.select(F.col(key).alias("key"), micros_of(F.col(at)).alias("us"))
     key_type = timed.schema["key"].dataType.simpleString()
 
     def keep(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        times = pd.concat([b["us"] for b in batches]).sort_values().to_numpy()
-        kept = []
-        i = 0 if last is None else int(times.searchsorted(last + gap, "right"))
+        # what lies within the gap of the last kept use can never be kept: drop it on arrival
+        floor = -(1 << 62) if last is None else last + gap
+        times = np.sort(np.concatenate([t[t > floor] for t in (b["us"].to_numpy() for b in batches)]))
+        kept, i = [], 0
         while i < len(times):
             kept.append(int(times[i]))
             i = int(times.searchsorted(times[i] + gap, "right"))
