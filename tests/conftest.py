@@ -16,7 +16,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from tidemark.session import local_session
 
-    session = local_session("tests", cores="8", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session("tests", cores="8", **{
+        "spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"})
     yield session
     session.stop()
 

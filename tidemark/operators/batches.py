@@ -137,11 +137,12 @@ def run_batch(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[st
 
     out, entries, stats = dict(data), [], []
     history = forget(log, targets) if mode == "reset" else log
+    needed = {p for t in targets for p in tables[t].parents}
+    keys = {p: data[p].select(tables[p].pk) for p in needed}
     for name in targets:
         table = tables[name]
         n = counts.get(name, table.initial_count if count is None else count)
-        parents = {p: (out[p], tables[p].pk) for p in table.parents} if n else {
-            p: (data[p], tables[p].pk) for p in table.parents}
+        parents = {p: (keys[p], tables[p].pk) for p in table.parents}
         if n == 0:
             made = _empty_batch(table, mode, out[name], log, batch_ts)
         elif mode == "append":
@@ -151,6 +152,8 @@ def run_batch(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[st
         else:
             made = reset(spark, table, n, seed, batch_ts, parents)
         out[name] = made.rows
+        if name in needed:  # stored once, so that children do not redo the parent's batch
+            keys[name] = pin(made.rows.select(table.pk), f"keys-{name}")
         entries.append(made.log)
         stats.append(made.stats)
     whole = history.select(LOG_COLUMNS)
