@@ -66,10 +66,10 @@ def quoted_name(name: str) -> str:
     return name if plain else '"' + name.replace('"', '""') + '"'
 
 
-def sql_tuples(df: DataFrame, dialect: str = "sqlite", keep: list[str] = ()) -> DataFrame:
-    """One parenthesised VALUES tuple per row."""
+def sql_tuple(df: DataFrame, dialect: str = "sqlite") -> Column:
+    """The parenthesised VALUES tuple of a row of ``df``."""
     literals = [sql_literal(F.col(f.name), f.dataType, dialect) for f in df.schema.fields]
-    return df.select(*keep, F.concat(F.lit("("), F.concat_ws(", ", *literals), F.lit(")")).alias("tuple"))
+    return F.concat(F.lit("("), F.concat_ws(", ", *literals), F.lit(")"))
 
 
 def sql_statements(df: DataFrame, name: str, order: str, dialect: str = "sqlite",
@@ -77,11 +77,12 @@ def sql_statements(df: DataFrame, name: str, order: str, dialect: str = "sqlite"
     """INSERT statements of at most ``size`` rows in ``order``: the groups are cut by a dense
     index, so each one is small whatever the data."""
     head = f"INSERT INTO {quoted_name(name)} ({', '.join(map(quoted_name, df.columns))}) VALUES\n"
-    tuples = sql_tuples(df, dialect, keep=[F.col(order).alias("_order")])
-    indexed = chunked(index_sorted(tuples, ["_order"]), size, out="statement_no")
-    in_order = F.array_sort(F.collect_list(F.struct("idx", "tuple")))
+    numbered = chunked(index_sorted(df, [order], out="_idx"), size, idx="_idx", out="statement_no")
+    # rendered after the sort: it then runs once per row, on every partition
+    lines = numbered.select("statement_no", "_idx", sql_tuple(df, dialect).alias("tuple"))
+    in_order = F.array_sort(F.collect_list(F.struct("_idx", "tuple")))
     body = F.array_join(F.transform(in_order, lambda t: t["tuple"]), ",\n")
-    return indexed.groupBy("statement_no").agg(
+    return lines.groupBy("statement_no").agg(
         F.concat(F.lit(head), body, F.lit(";")).alias("statement"), F.count(F.lit(1)).alias("n_rows"))
 
 
