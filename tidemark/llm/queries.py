@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_dup
+import corpus_pipeline
+from tidemark.llm import aliases, bitpack, decontaminate, divergence, language, mixing_lm, near_dup, packing, pii, quality
+from tidemark.llm.tokenizers_path import definition
+from tidemark.session import scratch_path
 
 LLM_QUERIES, LLM_SQL = {}, {}
 
@@ -21,3 +24,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    bitpack.write(_table(spark, sf_dir, "documents"), path, definition("byte_bpe_50k.json"))
+    return bitpack.digests(spark, path)
+
+
+@_query
+def op7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), definition("word_bpe_49k.json"))
+
+
+@_query
+def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.scored(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judged(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aliases.judged(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -68,13 +68,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, docs: int = BLOCK_DOCS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, delimiting positions) of runs of whole documents."""
     data, ends = utf8(column)
     at, n = 0, len(ends) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
-        to = min(to, n, at + BLOCK_DOCS)
+        to = min(to, n, at + docs)
         yield at, to, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         at = to
 
@@ -138,3 +138,25 @@ def counted(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarra
     where = np.flatnonzero(new)
     keys = keys[where]
     return keys & np.uint64((1 << 44) - 1), (keys >> np.uint64(44)).astype(np.int64), np.diff(np.append(where, len(new)))
+
+
+def gram_counts(data: np.ndarray, ends: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """Counts of hashed byte n-grams (n <= 4) per document: documents x buckets, a power of two, float32."""
+    docs, size = len(ends) - 1, len(data) - n + 1
+    if size <= 0:
+        return np.zeros((docs, buckets), np.float32)
+    gram = np.zeros(size, np.uint32)
+    for j in range(n):
+        gram |= data[j : j + size].astype(np.uint32) << np.uint32(8 * j)
+    gram = (gram * np.uint32(2654435761)) ^ (gram >> np.uint32(15))
+    gram = (gram * np.uint32(2246822519)) >> np.uint32(32 - int(buckets).bit_length() + 1)
+    doc = np.repeat(np.arange(docs), np.diff(ends))[:size]
+    whole = ends[1:][doc] - np.arange(size) >= n
+    cells = doc[whole] * buckets + gram[whole].astype(np.int64)
+    return np.bincount(cells, minlength=docs * buckets).reshape(docs, buckets).astype(np.float32)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length; zero rows stay zero."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length > 0, length, 1)
