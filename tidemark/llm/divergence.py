@@ -23,7 +23,7 @@ COMMON, LEAST = 0.01, 0.001
 WINDOW = 5
 LEAST_WORDS, REPEATED = 10, 20  # base rule: words, per cent of words in repeated windows
 WORDS_GUARD, CHARS_GUARD = 50, 250  # least items of a histogram that is judged
-WORD_LIMIT, CHAR_LIMIT = 0.55, 0.25
+WORD_LIMIT, CHAR_LIMIT = 0.45, 0.32
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 ALL = ""  # name of the reference of the whole corpus; an empty lang is none

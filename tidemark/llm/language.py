@@ -56,15 +56,16 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def machine(x: np.ndarray, sign: np.ndarray, ridge: float = 1e-4, rounds: int = 200) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss; both signs weigh the same."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-    w = ahead = np.zeros(x.shape[1])
-    step, t = 1 / (4 + ridge), 1.0
+    sign = sign.astype(np.float32)
+    weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
+    w = ahead = np.zeros(x.shape[1], np.float32)
+    step, t = np.float32(1 / (4 + ridge)), 1.0
     for _ in range(rounds):  # accelerated gradient
         lack = np.maximum(0, 1 - sign * (x @ ahead))
-        after = ahead - step * (ridge * ahead - 2 * (x.T @ (weight * lack * sign)))
-        t_after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        w, ahead, t = after, after + (t - 1) / t_after * (after - w), t_after
-    return w.astype(np.float32)
+        after = ahead - step * (np.float32(ridge) * ahead - 2 * ((weight * lack * sign) @ x))
+        t_after = float((1 + np.sqrt(1 + 4 * t * t)) / 2)
+        w, ahead, t = after, after + np.float32((t - 1) / t_after) * (after - w), t_after
+    return w
 
 
 class Model:
