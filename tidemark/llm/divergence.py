@@ -23,7 +23,7 @@ COMMON, LEAST = 0.01, 0.001
 WINDOW = 5
 LEAST_WORDS, REPEATED = 10, 20  # base rule: words, per cent of words in repeated windows
 WORDS_GUARD, CHARS_GUARD = 50, 250  # least items of a histogram that is judged
-WORD_LIMIT, CHAR_LIMIT = 0.45, 0.32
+WORD_LIMIT, CHAR_LIMIT = 0.45, 0.34
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 ALL = ""  # name of the reference of the whole corpus; an empty lang is none
@@ -55,39 +55,50 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, counted).otherwise(0)
 
 
+def classes(column: str, symbols: Column) -> Column:
+    """Character classes of a text without white space: capitals, digits, symbols, other ASCII marks, the bytes that
+    non-ASCII characters take beyond their first, and the rest. They sum to the bytes."""
+    without = lambda pattern: F.length(column) - F.length(F.regexp_replace(column, pattern, ""))
+    return let(F.struct(without("[A-Z]").alias("upper"), without("[0-9]").alias("digits"), without(r"[!-/:-@\[-`{-~]").alias("marks"),
+                        F.length(column).alias("n"), F.octet_length(column).alias("bytes")), lambda x: F.array(*[c.cast("double") for c in (
+        x["upper"], x["digits"], symbols, x["marks"] - symbols, x["bytes"] - x["n"], x["n"] - x["upper"] - x["digits"] - x["marks"])]))
+
+
+CLASSES = 6
+
+
+def symbols_in(column: str) -> Column:
+    return F.length(column) - F.length(F.translate(column, SYMBOLS, ""))
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, words, the base columns, and the character classes ``chars`` of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
-    without = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
     lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = let(F.struct(words_of(F.col("text")).alias("w"), lines(F.col("text")).alias("l")), lambda x: F.struct(
-        x["w"].alias("words"), repeated_words(x["w"]).alias("n_repeat"), (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).alias("n_dup")))
-    spaces, upper, digits, marks, foreign = (without(p).alias(n) for n, p in (
-        ("spaces", SPACE), ("upper", "[A-Z]"), ("digits", "[0-9]"), ("marks", r"[!-/:-@\[-`{-~]"), ("foreign", r"[^\x00-\x7F]")))
-    symbols = F.length("text") - F.length(F.translate("text", SYMBOLS, ""))
-    found = rows.select("doc_id", "lang", both.alias("b"), F.length("text").alias("n"), spaces, upper, digits, marks, foreign, symbols.alias("n_symbols"))
-    classes = F.array(*[F.col(c).cast("double") for c in ("spaces", "upper", "digits", "n_symbols", "foreign")], (F.col("marks") - F.col("n_symbols")).cast("double"),
-                      F.greatest(F.col("n") - F.col("spaces") - F.col("upper") - F.col("digits") - F.col("marks") - F.col("foreign"), F.lit(0)).cast("double"))
+        x["w"].alias("words"), F.array_join(x["w"], "").alias("joined"), repeated_words(x["w"]).alias("n_repeat"),
+        (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).alias("n_dup")))
+    found = rows.select("doc_id", "lang", both.alias("b")).select("doc_id", "lang", "b.words", "b.joined", "b.n_repeat", "b.n_dup")
+    found = found.withColumn("n_symbols", symbols_in("joined"))  # none is white space
     return found.select(
-        "doc_id", "lang", F.col("b.words").alias("words"), F.size("b.words").cast("long").alias("n_words"), (F.col("n") - F.col("spaces")).cast("long").alias("word_chars"),
-        F.col("n_symbols").cast("long").alias("n_symbols"), F.col("b.n_dup").cast("long").alias("n_dup_lines"), F.col("b.n_repeat").cast("long").alias("n_repeat_words"),
-        classes.alias("chars"))
-
-
-CLASSES = 7
+        "doc_id", "lang", "words", F.size("words").cast("long").alias("n_words"), F.length("joined").cast("long").alias("word_chars"),
+        F.col("n_symbols").cast("long").alias("n_symbols"), F.col("n_dup").cast("long").alias("n_dup_lines"), F.col("n_repeat").cast("long").alias("n_repeat_words"),
+        classes("joined", F.col("n_symbols")).alias("chars"))
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """(ref, common, of_words, of_chars) of each language with LEAST of all words, and of the whole corpus."""
+    """(ref, common, of_words, of_chars) of each language with LEAST of all words, and of the whole corpus.
+
+    Both kinds of sums come from one table of distinct words with their counts.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "doc_id", text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
     words = pin(rows.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    chars = counts(docs).groupBy("lang").agg(*[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(CLASSES)])
-    chars = pin(chars, "chars")
-    by_lang = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    total = by_lang.agg(F.sum("total")).first()[0] or 0
-    kept = by_lang.where((F.col("total") >= LEAST * total) & (F.col("lang") != "")).withColumnRenamed("lang", "ref")  # at most 1 / LEAST
+    per_word = words.select("lang", "n", classes("word", symbols_in("word")).alias("c"))
+    chars = pin(per_word.groupBy("lang").agg(F.sum("n").alias("total"), *[F.sum(F.col("n") * F.col("c")[i]).alias(f"c{i}") for i in range(CLASSES)]), "chars")
+    total = chars.agg(F.sum("total")).first()[0] or 0
+    kept = chars.where((F.col("total") >= LEAST * total) & (F.col("lang") != "")).select(F.col("lang").alias("ref"), "total")  # at most 1 / LEAST
     of_lang = words.withColumnRenamed("lang", "ref").join(F.broadcast(kept), "ref")
     of_all = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("ref"), "word", "n", F.lit(total).cast("long").alias("total"))
     share = F.col("n") / F.col("total")
