@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.feed import CursorAhead
 from tidemark.sources import export, tables
 
-HOSTILE = "O'Brien; DROP TABLE orders;-- \"quoted\", with a comma\nand a newline"
+HOSTILE = '5" nails, 7\' boards; "x"" y",\n--end\t;,\'\''
 
 
 def read_parts(path, pattern="part-*"):
@@ -57,10 +57,10 @@ def test_ndjson_keeps_null_fields(hostile, scratch):
 
 
 def test_sql_text_loads_with_foreign_keys(spark, store, scratch, ts):
-    store.batch(ts(), seed=1, counts={"customers": 620, "orders": 1100, "support_tickets": 10})
+    store.batch(ts(), seed=1, counts={"growers": 620, "plots": 1100, "harvests": 10})
     path = scratch("bundle")
     manifest = export.write_bundle(store.tables, store.data, store.log, path, fmt="sql")
-    assert manifest["load_order"] == ["customers", "orders", "support_tickets"]
+    assert manifest["load_order"] == ["growers", "plots", "harvests"]
     assert [f["rows"] for f in manifest["files"]] == [620, 1100, 10]
     db = sqlite3.connect(":memory:")
     db.execute("PRAGMA foreign_keys = ON")
@@ -79,37 +79,37 @@ def test_statements_hold_500_rows(spark):
     df = spark.range(1201).select(F.format_string("%05d", "id").alias("id"), F.lit(HOSTILE).alias("order"))
     out = export.sql_statements(df, "select", "id").orderBy("statement_no").collect()
     assert [r.n_rows for r in out] == [500, 500, 201]
-    assert out[0].statement.startswith('INSERT INTO "select" (id, "order") VALUES\n(\'00000\', \'O\'\'Brien')
+    assert out[0].statement.startswith('INSERT INTO "select" (id, "order") VALUES\n(\'00000\', \'5" nails, 7\'\' boards')
 
 
 def test_delta_equals_feed_and_catches_up(spark, store, scratch, ts):
     from tidemark.operators.feed import replay
 
     store.batch(ts(), seed=1)
-    snap = export.export_table(store.tables["customers"], store.data["customers"], store.log, scratch("s"), "ndjson",
+    snap = export.export_table(store.tables["growers"], store.data["growers"], store.log, scratch("s"), "ndjson",
                                include_deleted=True)
-    old = store.data["customers"]
-    store.changes(ts(), seed=2, entities=["customers"], inserts=4, updates=6, deletes=3)
+    old = store.data["growers"]
+    store.changes(ts(), seed=2, entities=["growers"], inserts=4, updates=6, deletes=3)
     path = scratch("d")
-    done = export.export_table(store.tables["customers"], store.data["customers"], store.log, path, "ndjson",
+    done = export.export_table(store.tables["growers"], store.data["growers"], store.log, path, "ndjson",
                                since=snap.to_cursor)
     assert (snap.rows, snap.kind, done.rows, done.kind, done.from_cursor, done.to_cursor) == (
-        30, "snapshot", 13, "changes", 30, 43)
+        36, "snapshot", 13, "changes", 36, 49)
     lines = [json.loads(line) for line in read_parts(path).splitlines()]
     assert [r["op"] for r in lines] == ["insert"] * 4 + ["update"] * 6 + ["delete"] * 3
-    assert [r["version"] for r in lines] == list(range(31, 44))
-    shape = f"op string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in store.tables['customers'].schema.fields)}"
+    assert [r["version"] for r in lines] == list(range(37, 50))
+    shape = f"op string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in store.tables['growers'].schema.fields)}"
     changes = spark.read.schema(shape).json(path)
-    got = {tuple(r) for r in replay(old, changes, "customer_id").select("customer_id", "name", "version").collect()}
-    live = store.data["customers"].filter("deleted_at IS NULL").select("customer_id", "name", "version")
+    got = {tuple(r) for r in replay(old, changes, "grower_id").select("grower_id", "contact", "version").collect()}
+    live = store.data["growers"].filter("left_at IS NULL").select("grower_id", "contact", "version")
     assert got == {tuple(r) for r in live.collect()}
 
 
 def test_refused_exports(store, scratch, ts):
     store.batch(ts(), seed=1)
-    table, rows = store.tables["customers"], store.data["customers"]
+    table, rows = store.tables["growers"], store.data["growers"]
     with pytest.raises(CursorAhead):
-        export.export_table(table, rows, store.log, scratch(), "csv", since=31)
+        export.export_table(table, rows, store.log, scratch(), "csv", since=37)
     for kw, code in (({"fmt": "xml"}, "invalid_format"), ({"dialect": "oracle"}, "invalid_dialect"),
                      ({"fmt": "sql", "since": 1}, "unsupported_format")):
         with pytest.raises(ValueError, match=code):
@@ -117,13 +117,13 @@ def test_refused_exports(store, scratch, ts):
     with pytest.raises(ValueError, match="unknown_entity"):
         export.write_bundle(store.tables, store.data, store.log, scratch(), entities=["nope"])
     with pytest.raises(ValueError, match="since_not_targeted"):
-        export.write_bundle(store.tables, store.data, store.log, scratch(), entities=["orders"], since={"customers": 1})
+        export.write_bundle(store.tables, store.data, store.log, scratch(), entities=["plots"], since={"growers": 1})
 
 
 def test_log_partitions_are_pruned(spark, store, scratch, ts):
     store.batch(ts(), seed=1)
     path = scratch("log")
     tables.append_log(store.log, path)
-    plan = tables.read_log(spark, path).filter("entity = 'orders' AND version > 10")._jdf.queryExecution().executedPlan().toString()
+    plan = tables.read_log(spark, path).filter("entity = 'plots' AND version > 10")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(entity" in plan and "GreaterThan(version,10)" in plan
-    assert tables.read_log(spark, path).filter("entity = 'orders' AND version > 10").count() == 40
+    assert tables.read_log(spark, path).filter("entity = 'plots' AND version > 10").count() == 54

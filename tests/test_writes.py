@@ -20,39 +20,39 @@ def dangling(store):
 
 def test_append_gives_contiguous_versions_and_sound_refs(store, ts):
     stats = store.batch(ts(), seed=1)
-    assert {n: s["inserted"] for n, s in stats.items()} == {"customers": 30, "orders": 50, "support_tickets": 20}
-    assert store.versions("orders") == list(range(1, 51))
-    again = store.batch(ts(), seed=2, entities=["orders"], count=7)
-    assert (again["orders"]["first_version"], again["orders"]["last_version"]) == (51, 57)
-    assert store.versions("orders") == list(range(1, 58))
-    assert store.data["orders"].count() == 57 and dangling(store) == 0
+    assert {n: s["inserted"] for n, s in stats.items()} == {"growers": 36, "plots": 64, "harvests": 90}
+    assert store.versions("plots") == list(range(1, 65))
+    again = store.batch(ts(), seed=2, entities=["plots"], count=7)
+    assert (again["plots"]["first_version"], again["plots"]["last_version"]) == (65, 71)
+    assert store.versions("plots") == list(range(1, 72))
+    assert store.data["plots"].count() == 71 and dangling(store) == 0
 
 
 def test_same_seed_same_rows(spark, scratch, ts):
     def rows():
         store = Store(spark, chain_tables(), scratch)
         store.batch(ts(), seed=5)
-        return {n: sorted(map(str, df.drop("created_at", "updated_at").collect())) for n, df in store.data.items()}
+        return {n: sorted(map(str, df.drop("joined", "touched").collect())) for n, df in store.data.items()}
 
     assert rows() == rows()
 
 
 def test_replace_leaves_tombstones_and_climbs(store, ts):
     store.batch(ts(), seed=1)
-    store.changes(ts(), seed=2, entities=["customers"], inserts=0, updates=0, deletes=10)
-    before = store.versions("customers")[-1]
-    stats = store.batch(ts(), mode="replace", entities=["customers"], count=4, seed=3, confirm=True)
-    assert set(stats) == {"customers", "orders", "support_tickets"}
-    assert stats["customers"]["deleted"] == 30  # soft-deleted rows get a tombstone too
-    assert store.versions("customers") == list(range(1, before + 30 + 4 + 1))
-    assert store.data["customers"].count() == 4 and dangling(store) == 0
+    store.changes(ts(), seed=2, entities=["growers"], inserts=0, updates=0, deletes=10)
+    before = store.versions("growers")[-1]
+    stats = store.batch(ts(), mode="replace", entities=["growers"], count=4, seed=3, confirm=True)
+    assert set(stats) == {"growers", "plots", "harvests"}
+    assert stats["growers"]["deleted"] == 36  # soft-deleted rows get a tombstone too
+    assert store.versions("growers") == list(range(1, before + 36 + 4 + 1))
+    assert store.data["growers"].count() == 4 and dangling(store) == 0
 
 
 def test_reset_restarts_at_one_and_keeps_other_history(store, ts):
     store.batch(ts(), seed=1)
-    store.batch(ts(), mode="reset", entities=["orders"], count=6, seed=3, confirm=True)
-    assert store.versions("orders") == list(range(1, 7))
-    assert store.versions("customers") == list(range(1, 31))
+    store.batch(ts(), mode="reset", entities=["plots"], count=6, seed=3, confirm=True)
+    assert store.versions("plots") == list(range(1, 7))
+    assert store.versions("growers") == list(range(1, 37))
 
 
 def test_batch_requests_refused(store, ts):
@@ -63,86 +63,86 @@ def test_batch_requests_refused(store, ts):
     refused("invalid_mode", mode="upsert")
     refused("unknown_entity", entities=["nope"])
     refused("invalid_count", count=-1)
-    refused("invalid_count", count=1_000_001)
-    refused("counts_not_targeted", entities=["customers"], counts={"orders": 3})
+    refused("invalid_count", count=501, row_limit=500)
+    refused("counts_not_targeted", entities=["growers"], counts={"plots": 3})
     refused("confirmation_required", mode="replace")
-    refused("missing_parent_rows", entities=["orders"], count=3)
+    refused("missing_parent_rows", entities=["plots"], count=3)
     assert store.log.count() == 0
 
 
 def test_replacing_parents_by_nothing_is_refused_whole(store, ts):
     store.batch(ts(), seed=1)
     with pytest.raises(generate.MissingParents):
-        store.batch(ts(), mode="replace", counts={"customers": 0, "orders": 2, "support_tickets": 0},
-                    entities=["customers"], confirm=True)
-    assert store.data["customers"].count() == 30
+        store.batch(ts(), mode="replace", counts={"growers": 0, "plots": 2, "harvests": 0},
+                    entities=["growers"], confirm=True)
+    assert store.data["growers"].count() == 36
 
 
 def test_reused_seed_collides(store, ts):
     store.batch(ts(), seed=1)
     with pytest.raises(generate.DuplicateKeys, match="duplicate_primary_key"):
-        store.batch(ts(), seed=1, entities=["customers"], count=10)
+        store.batch(ts(), seed=1, entities=["growers"], count=10)
 
 
 def test_change_batch_counts_and_order(store, ts):
     store.batch(ts(), seed=1)
-    before = {r.customer_id: r for r in store.data["customers"].collect()}
-    stats, notes = store.changes(ts("2024-06-02 00:00:00"), seed=9, entities=["customers"],
+    before = {r.grower_id: r for r in store.data["growers"].collect()}
+    stats, notes = store.changes(ts("2024-06-02 00:00:00"), seed=9, entities=["growers"],
                                  inserts=5, updates=7, deletes=3)
-    s = stats["customers"]
-    assert (s["inserted"], s["updated"], s["deleted"], s["live_rows"], s["total_rows"]) == (5, 7, 3, 32, 35)
-    assert (s["first_version"], s["last_version"]) == (31, 45) and notes == []
-    ops = [r.op for r in store.log.filter("entity = 'customers' AND version > 30").orderBy("version").collect()]
+    s = stats["growers"]
+    assert (s["inserted"], s["updated"], s["deleted"], s["live_rows"], s["total_rows"]) == (5, 7, 3, 38, 41)
+    assert (s["first_version"], s["last_version"]) == (37, 51) and notes == []
+    ops = [r.op for r in store.log.filter("entity = 'growers' AND version > 36").orderBy("version").collect()]
     assert ops == ["insert"] * 5 + ["update"] * 7 + ["delete"] * 3
-    after = {r.customer_id: r for r in store.data["customers"].collect()}
+    after = {r.grower_id: r for r in store.data["growers"].collect()}
     moved = [k for k in before if after[k].version != before[k].version]
-    gone = [k for k in moved if after[k].deleted_at is not None]
-    updated = [k for k in moved if after[k].deleted_at is None]
+    gone = [k for k in moved if after[k].left_at is not None]
+    updated = [k for k in moved if after[k].left_at is None]
     assert len(gone) == 3 and len(updated) == 7
-    assert all(after[k].created_at == before[k].created_at for k in before)
-    assert all(after[k].updated_at != before[k].updated_at for k in updated)
-    assert sum((after[k].name, after[k].email) != (before[k].name, before[k].email) for k in updated) >= 6
-    assert all(after[k].name == before[k].name for k in gone)
+    assert all(after[k].joined == before[k].joined for k in before)
+    assert all(after[k].touched != before[k].touched for k in updated)
+    assert sum((after[k].contact, after[k].mail) != (before[k].contact, before[k].mail) for k in updated) >= 6
+    assert all(after[k].contact == before[k].contact for k in gone)
 
 
 def test_updates_keep_references(store, ts):
     store.batch(ts(), seed=1)
-    before = {r.order_id: r.customer_id for r in store.data["orders"].collect()}
-    store.changes(ts(), seed=2, entities=["orders"], inserts=0, updates=50, deletes=0)
-    after = {r.order_id: r.customer_id for r in store.data["orders"].collect()}
+    before = {r.plot_id: r.grower_id for r in store.data["plots"].collect()}
+    store.changes(ts(), seed=2, entities=["plots"], inserts=0, updates=64, deletes=0)
+    after = {r.plot_id: r.grower_id for r in store.data["plots"].collect()}
     assert before == after
 
 
 def test_clamping_leaves_notes(store, ts):
     store.batch(ts(), seed=1)
-    stats, notes = store.changes(ts(), seed=2, entities=["customers"], inserts=0, updates=25, deletes=50)
-    assert (stats["customers"]["updated"], stats["customers"]["deleted"]) == (25, 5)
-    assert len(notes) == 1 and "customers: asked to delete 50" in notes[0]
+    stats, notes = store.changes(ts(), seed=2, entities=["growers"], inserts=0, updates=30, deletes=50)
+    assert (stats["growers"]["updated"], stats["growers"]["deleted"]) == (30, 6)
+    assert len(notes) == 1 and "growers: asked to delete 50" in notes[0]
 
 
 def test_default_sizes(store, ts):
-    store.batch(ts(), seed=1, counts={"customers": 200})
-    s = store.changes(ts(), seed=2, entities=["customers"])[0]["customers"]
-    assert 1 <= s["inserted"] <= 5 and s["updated"] == 10 and s["deleted"] == 1
+    store.batch(ts(), seed=1, counts={"growers": 200})
+    s = store.changes(ts(), seed=2, entities=["growers"])[0]["growers"]
+    assert 2 <= s["inserted"] <= 6 and s["updated"] == 8 and s["deleted"] == 3
 
 
 def test_new_children_point_at_live_parents(store, ts):
     store.batch(ts(), seed=1)
     store.changes(ts(), seed=4, inserts=20, updates=0, deletes=15)
-    old = {r.pk_value for r in store.log.filter("entity = 'orders' AND op = 'insert' AND version <= 50").collect()}
-    live = {r.customer_id for r in store.data["customers"].filter("deleted_at IS NULL").collect()}
-    new = [r for r in store.data["orders"].collect() if r.order_id not in old]
-    assert len(new) == 20 and all(r.customer_id in live for r in new)
+    old = {r.pk_value for r in store.log.filter("entity = 'plots' AND op = 'insert' AND version <= 64").collect()}
+    live = {r.grower_id for r in store.data["growers"].filter("left_at IS NULL").collect()}
+    new = [r for r in store.data["plots"].collect() if r.plot_id not in old]
+    assert len(new) == 20 and all(r.grower_id in live for r in new)
 
 
 def test_repeated_ticks_never_touch_deleted_rows(spark, store, ts):
-    store.batch(ts(), seed=1, counts={"customers": 100})
-    store.changes(ts(), seed=2, entities=["customers"], inserts=0, updates=0, deletes=60)
-    dead = {r.customer_id: r.version for r in store.data["customers"].filter("deleted_at IS NOT NULL").collect()}
+    store.batch(ts(), seed=1, counts={"growers": 100})
+    store.changes(ts(), seed=2, entities=["growers"], inserts=0, updates=0, deletes=60)
+    dead = {r.grower_id: r.version for r in store.data["growers"].filter("left_at IS NOT NULL").collect()}
     assert len(dead) == 60
     for i in range(4):
-        store.changes(ts(), seed=10 + i, entities=["customers"])
-    now = {r.customer_id: r.version for r in store.data["customers"].collect()}
+        store.changes(ts(), seed=10 + i, entities=["growers"])
+    now = {r.grower_id: r.version for r in store.data["growers"].collect()}
     assert all(now[k] == v for k, v in dead.items())
 
 
@@ -158,31 +158,78 @@ def test_no_soft_delete_field_no_deletes(spark, ts):
 def test_tick_respects_the_row_cap_and_records_failure(spark, ts):
     table = declare({
         "entity": "t", "fields": {"id": {"type": "uuid", "primary_key": True}},
-        "update_schedule": {"new_records": [5, 5]}}, max_rows=12)
-    rows = generate.generate(spark, table, 10, 1, ts()).withColumn("version", F.col("i") + 1).drop("i")
-    runs = batches.run_record(spark, 7, "t", ts(), {"inserted": 10})
-    made, record = batches.tick(spark, table, rows, empty_log(spark), runs, 2, ts())
-    assert made.stats["inserted"] == 2 and record.first().run_id == 8 and record.first().status == "success"
+        "update_schedule": {"new_records": [8, 8]}}, max_rows=23)
+    rows = generate.generate(spark, table, 20, 1, ts()).withColumn("version", F.col("i") + 1).drop("i")
+    runs = batches.run_record(spark, 7, "t", ts(), {"inserted": 20})
+    record = batches.recorded(spark, runs, "t", ts(), lambda: batches.tick(spark, table, rows, empty_log(spark), 2, ts()).stats)
+    assert (record.first().run_id, record.first().status, record.first().rows_inserted) == (8, "success", 3)
+    with pytest.raises(ValueError, match="quota_exceeded"):
+        batches.change_batch(spark, table, rows, empty_log(spark), 2, ts(), inserts=4, cap=table.max_rows)
     child = declare({"entity": "c", "fields": {
         "id": {"type": "uuid", "primary_key": True}, "t": {"type": "ref", "ref_entity": "t"}},
         "update_schedule": {"new_records": [1, 1]}}, siblings=["t"])
-    made, record = batches.tick(spark, child, empty_rows(spark, child), empty_log(spark), runs, 2, ts(),
-                                {"t": (rows.limit(0), "id")})
-    assert made is None and record.first().status == "failed"
+    record = batches.recorded(spark, runs, "c", ts(), lambda: batches.tick(
+        spark, child, empty_rows(spark, child), empty_log(spark), 2, ts(), {"t": (rows.limit(0), "id")}).stats)
+    assert record.first().status == "failed"
+
+
+def test_declared_caps_are_enforced(spark, scratch, ts):
+    import dataclasses
+
+    capped = chain_tables() | {"growers": dataclasses.replace(chain_tables()["growers"], max_rows=40)}
+    store = Store(spark, capped, scratch)
+    with pytest.raises(ValueError, match="quota_exceeded"):
+        store.batch(ts(), seed=1, entities=["growers"], count=41)
+    store.batch(ts(), seed=1, entities=["growers"], count=37)
+    with pytest.raises(ValueError, match="quota_exceeded"):
+        store.changes(ts(), seed=2, entities=["growers"], inserts=4, updates=0, deletes=0)
+    for seed in (3, 4):
+        store.changes(ts(), seed=seed, entities=["growers"])
+    assert 39 <= store.data["growers"].count() <= 40
+
+
+def exchanged_columns(df):
+    """Column counts of the rows that the plan shuffles."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_few_changes_leave_a_big_table_where_it_lies(spark, ts):
+    table = chain_tables()["growers"]
+    big = generate.generate(spark, table, 50_000, 1, ts()).withColumn("version", F.col("i") + 1).drop("i")
+    log = empty_log(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    results = {}
+    try:
+        for limit in ("1m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            made = batches.change_batch(spark, table, big, log, 5, ts(), inserts=0, updates=20, deletes=5)
+            if limit == "1m":
+                assert not [x for x in exchanged_columns(made.rows) if "grower_id" in x]
+            results[limit] = sorted(map(str, made.rows.filter("version > 50000").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert results["1m"] == results["-1"] and len(results["1m"]) == 25
+
+
+def test_new_keys_may_not_repeat(spark):
+    new = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
+    with pytest.raises(generate.DuplicateKeys, match="two generated keys"):
+        generate.check_new_keys(new, spark.createDataFrame([("z",)], "id string"), "id", 3)
 
 
 def test_seeding_only_fills_what_is_empty(spark, ts):
     tables = chain_tables()
     data = {n: empty_rows(spark, t) for n, t in tables.items()}
     once = generate.seed_missing(spark, tables, data, 3, ts())
-    assert {n: df.count() for n, df in once.items()} == {"customers": 30, "orders": 50, "support_tickets": 20}
+    assert {n: df.count() for n, df in once.items()} == {"growers": 36, "plots": 64, "harvests": 90}
     twice = generate.seed_missing(spark, tables, once, 99, ts())
     assert all(twice[n] is once[n] for n in tables)
 
 
 # ------------------------------------------------------------------ bulk payloads
 @pytest.fixture
-def shop(spark, store, ts):
+def farm(spark, store, ts):
     store.batch(ts(), seed=1)
     return store
 
@@ -192,92 +239,98 @@ def payloads(spark, *texts):
 
 
 def parents(store):
-    return {"customers": (store.data["customers"], "customer_id")}
+    return {"growers": (store.data["growers"], "grower_id")}
 
 
-def test_bulk_create_keeps_what_is_given(spark, shop, ts):
-    known = shop.data["customers"].first().customer_id
+def test_bulk_create_keeps_what_is_given(spark, farm, ts):
+    known = farm.data["growers"].first().grower_id
     made = bulk.create_rows(
-        spark, shop.tables["orders"], shop.data["orders"], shop.log,
-        payloads(spark, f'{{"customer_id": "{known}", "amount": 40}}', "{}"), 77, ts(), parents(shop))
-    new = made.rows.filter("version > 50").orderBy("version").collect()
-    assert (new[0].customer_id, new[0].amount) == (known, 40.0)
-    assert new[1].customer_id is not None and 10 <= new[1].amount <= 500
-    assert [r.version for r in new] == [51, 52] and made.log.count() == 2
-
-
-def test_bulk_create_is_all_or_nothing(spark, shop, ts):
+        spark, farm.tables["plots"], farm.data["plots"], farm.log,
+        payloads(spark, f'{{"grower_id": "{known}", "hectares": 7.5}}', "{}"), 77, ts(), parents(farm))
+    new = made.rows.filter("version > 64").orderBy("version").collect()
+    assert (new[0].grower_id, new[0].hectares) == (known, 7.5)
+    assert new[1].grower_id is not None and 0.25 <= new[1].hectares <= 80
+    assert [r.version for r in new] == [65, 66] and made.log.count() == 2
+
+
+def test_bulk_create_takes_any_unique_positions(spark, farm, ts):
+    given = spark.createDataFrame([(1 << 40, '{"hectares": 1}'), (10, '{"hectares": 2}'), (25, '{"hectares": 3}')], "row_pos bigint, payload string")
+    made = bulk.create_rows(spark, farm.tables["plots"], farm.data["plots"], farm.log, given, 77, ts(), parents(farm))
+    new = made.rows.filter("version > 64").orderBy("version").collect()
+    assert [(r.version, r.hectares) for r in new] == [(65, 2.0), (66, 3.0), (67, 1.0)]
+    assert len({r.plot_id for r in new}) == 3 and made.stats["last_version"] == 67
+    assert sorted(r.version for r in made.log.collect()) == [65, 66, 67]
+    with pytest.raises(bulk.InvalidBatch, match="repeated_position"):
+        bulk.create_rows(spark, farm.tables["plots"], farm.data["plots"], farm.log, given.union(given.limit(1)), 77, ts(), parents(farm))
+
+
+def test_bulk_create_is_all_or_nothing(spark, farm, ts):
     with pytest.raises(bulk.InvalidBatch, match=r"unknown_field: rows\[2\]"):
-        bulk.create_rows(spark, shop.tables["orders"], shop.data["orders"], shop.log,
-                         payloads(spark, '{"amount": 10}', '{"amount": 20}', '{"bogus": 1}'), 7, ts(), parents(shop))
+        bulk.create_rows(spark, farm.tables["plots"], farm.data["plots"], farm.log,
+                         payloads(spark, '{"hectares": 3}', '{"soil": "peat"}', '{"slope": "north"}'), 7, ts(), parents(farm))
 
 
-def test_bulk_create_respects_cap_and_row_limit(spark, shop, ts):
+def test_bulk_create_respects_cap_and_row_limit(spark, farm, ts):
     import dataclasses
 
-    capped = dataclasses.replace(shop.tables["orders"], max_rows=51)
+    capped = dataclasses.replace(farm.tables["plots"], max_rows=65)
     with pytest.raises(bulk.InvalidBatch, match="quota_exceeded"):
-        bulk.create_rows(spark, capped, shop.data["orders"], shop.log, payloads(spark, "{}", "{}"), 7, ts(), parents(shop))
+        bulk.create_rows(spark, capped, farm.data["plots"], farm.log, payloads(spark, "{}", "{}"), 7, ts(), parents(farm))
     with pytest.raises(bulk.InvalidBatch, match="too_many_rows"):
-        bulk.create_rows(spark, shop.tables["orders"], shop.data["orders"], shop.log,
-                         payloads(spark, "{}", "{}"), 7, ts(), parents(shop), row_limit=1)
+        bulk.create_rows(spark, farm.tables["plots"], farm.data["plots"], farm.log,
+                         payloads(spark, "{}", "{}"), 7, ts(), parents(farm), row_limit=1)
 
 
-def test_bulk_update_merges_in_order(spark, shop, ts):
-    a, b = [r.order_id for r in shop.data["orders"].orderBy("order_id").limit(2).collect()]
+def test_bulk_update_merges_in_order(spark, farm, ts):
+    a, b = [r.plot_id for r in farm.data["plots"].orderBy("plot_id").limit(2).collect()]
     wanted = spark.createDataFrame([
-        (0, a, '{"amount": 11}'), (1, b, '{"status": "shipped"}'), (2, "missing", '{"amount": 1}'),
-        (3, a, '{"status": "cancelled"}'), (4, a, '{"amount": 12}'), (5, b, '{"version": 1}'),
+        (0, a, '{"hectares": 2.25}'), (1, b, '{"soil": "loam"}'), (2, "missing", '{"hectares": 1}'),
+        (3, a, '{"soil": "peat"}'), (4, a, '{"hectares": 6}'), (5, b, '{"version": 1}'),
     ], "row_pos bigint, key string, payload string")
-    made, judged = bulk.update_rows(shop.tables["orders"], shop.data["orders"], shop.log, wanted, ts(), parents(shop))
-    rows = {r.order_id: r for r in made.rows.collect()}
-    assert (rows[a].amount, rows[a].status, rows[a].version) == (12.0, "cancelled", 54)
-    assert (rows[b].status, rows[b].version) == ("shipped", 52)
-    assert [r.version for r in made.log.orderBy("version").collect()] == [51, 52, 53, 54]
+    made, judged = bulk.update_rows(farm.tables["plots"], farm.data["plots"], farm.log, wanted, ts(), parents(farm))
+    rows = {r.plot_id: r for r in made.rows.collect()}
+    assert (rows[a].hectares, rows[a].soil, rows[a].version) == (6.0, "peat", 68)
+    assert (rows[b].soil, rows[b].version) == ("loam", 66)
+    assert [r.version for r in made.log.orderBy("version").collect()] == [65, 66, 67, 68]
     codes = {r.row_pos: r.error_code for r in judged.collect()}
     assert codes == {0: None, 1: None, 2: "not_found", 3: None, 4: None, 5: "read_only_field"}
 
 
-def test_deleting_twice_logs_twice(spark, shop, ts):
-    key = shop.data["orders"].first().order_id
+def test_deleting_twice_logs_twice(spark, farm, ts):
+    key = farm.data["plots"].first().plot_id
     wanted = spark.createDataFrame([(0, key), (1, "missing"), (2, key)], "row_pos bigint, key string")
-    made, judged = bulk.delete_rows(shop.tables["orders"], shop.data["orders"], shop.log, wanted, ts())
+    made, judged = bulk.delete_rows(farm.tables["plots"], farm.data["plots"], farm.log, wanted, ts())
     assert made.log.count() == 2 and judged.filter("error_code = 'not_found'").count() == 1
-    row = made.rows.filter(F.col("order_id") == key).first()
-    assert row.deleted_at is not None and row.version == 52
-
-
-CHILD = {
-    "entity": "orders",
-    "fields": {"order_id": {"type": "uuid", "primary_key": True},
-               "customer_id": {"type": "ref", "ref_entity": "customers"},
-               "amount": {"type": "float", "min": 10, "max": 500},
-               "status": {"type": "enum", "values": ["pending", "shipped"]},
-               "note": {"type": "string", "nullable": True}, "at": {"type": "timestamp"}, "n": {"type": "int"},
-               "flag": {"type": "bool"}, "deleted_at": {"type": "timestamp", "auto": "soft_delete"}},
-}
+    row = made.rows.filter(F.col("plot_id") == key).first()
+    assert row.sold_at is not None and row.version == 66
 
 
-PAYLOAD_MATRIX = [
-    ('{"bogus": 1}', "unknown_field"), ('{"order_id": "mine"}', "read_only_field"),
-    ('{"version": 5}', "read_only_field"), ('{"deleted_at": "2026-01-01T00:00:00Z"}', "read_only_field"),
-    ('{"amount": "lots"}', "invalid_value"), ('{"amount": true}', "invalid_value"),
-    ('{"status": "teleported"}', "invalid_value"), ('{"amount": null}', "invalid_value"),
-    ('{"customer_id": 7}', "invalid_value"), ('{"customer_id": "no-such-customer"}', "invalid_reference"),
-    ('{"note": null, "amount": 40}', None), ('{"at": "2026-01-31T12:00:00Z"}', None),
-    ('{"at": "last tuesday"}', "invalid_value"), ('{"n": 7.0}', "invalid_value"), ('{"n": true}', "invalid_value"),
-    ('{"n": 7, "flag": false}', None), ('{"flag": 1}', "invalid_value"), ('{"customer_id": null}', "invalid_value"),
-    ('{"customer_id": "c1"}', None), ("{}", None), ("[1]", "invalid_json"), ("{oops", "invalid_json"),
-    ('{"bogus": 1, "amount": "x"}', "unknown_field"), ('{"amount": "x", "bogus": 1}', "invalid_value"),
-    ('{"amount": 1e3}', None), ('{"note": "it\'s, \\"quoted\\"\\n"}', None),
-]
+CELLAR = {
+    "entity": "casks",
+    "fields": {"cask_id": {"type": "uuid", "primary_key": True}, "grower": {"type": "ref", "ref_entity": "growers"},
+               "litres": {"type": "float"}, "wood": {"type": "enum", "values": ["oak", "acacia"]},
+               "label": {"type": "string", "nullable": True}, "filled": {"type": "timestamp"}, "rings": {"type": "int"},
+               "sealed": {"type": "bool"}, "emptied": {"type": "timestamp", "auto": "soft_delete"}},
+}
+
+# what is wrong with a payload, and payloads for which it is
+MATRIX = {
+    "unknown_field": ['{"cork": "wax"}', '{"cork": null, "litres": "n/a"}'],
+    "read_only_field": ['{"cask_id": "C-9"}', '{"version": 0}', '{"emptied": "2003-03-03T03:03:03Z"}'],
+    "invalid_value": [
+        '{"litres": "225"}', '{"litres": false}', '{"litres": null}', '{"litres": "225", "cork": 1}', '{"wood": "pine"}', '{"grower": 12}',
+        '{"grower": null}', '{"filled": "after the frost"}', '{"rings": 40.0}', '{"rings": false}', '{"sealed": "yes"}', '{"sealed": 0}'],
+    "invalid_reference": ['{"grower": "nobody"}'],
+    "invalid_json": ['["oak"]', '{"wood": ', "", "12"],
+    None: ['{}', '{"grower": "g1"}', '{"label": null, "litres": 225}', '{"filled": "1987-10-16T05:30:00+01:00"}', '{"rings": 40, "sealed": true}',
+           '{"litres": 2.25e2}', '{"label": "5\\" staves, \'old\'\\t"}'],
+}
 
 
 def test_payload_matrix(spark):
-    table = declare(CHILD, siblings=["customers"])
-    keys = spark.createDataFrame([("c1",)], "customer_id string")
-    checked = validation.validate(
-        payloads(spark, *[text for text, _ in PAYLOAD_MATRIX]), table, {"customers": (keys, "customer_id")})
-    got = {r.payload: r.error_code for r in checked.collect()}
-    assert got == dict(PAYLOAD_MATRIX)
+    table = declare(CELLAR, siblings=["growers"])
+    keys = spark.createDataFrame([("g1",)], "id string")
+    want = {text: code for code, texts in MATRIX.items() for text in texts}
+    checked = validation.validate(payloads(spark, *want), table, {"growers": (keys, "id")})
+    assert {r.payload: r.error_code for r in checked.collect()} == want
     assert checked.filter("(message IS NULL) <> (error_code IS NULL)").count() == 0

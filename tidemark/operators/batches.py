@@ -7,24 +7,21 @@ nothing: every guard fires before anything is returned.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.draws import draw, percent_of
-from tidemark.operators.feed import LOG_COLUMNS, entity_next
+from tidemark.operators.feed import LOG_COLUMNS, entity_latest, entity_next
 from tidemark.operators.generate import check_new_keys, generate, new_keys, updated_values
 from tidemark.operators.ranking import digits_for, index_by_digest, split_sample
 from tidemark.operators.rows import live, live_keys
+from tidemark.operators.skew import fits_broadcast
 from tidemark.operators.summaries import live_and_total
 from tidemark.schema import Table, load_order, with_dependents
 from tidemark.session import pin
 
-# Most rows one request may ask for per table.
-MAX_ROWS_PER_REQUEST = 1_000_000
-
-
 @dataclass(frozen=True)
 class Mutation:
     """What a write makes of a table: its new rows, the log entries to append, and counts."""
@@ -66,7 +63,7 @@ def append(spark: SparkSession, table: Table, rows: DataFrame, log: DataFrame, n
     first = entity_next(rows, log, table.name)
     new = insert_rows(spark, table, n, seed, batch_ts, first, parents)
     if check:
-        check_new_keys(new_keys(spark, table, n, seed), rows, table.pk)
+        check_new_keys(new_keys(spark, table, n, seed), rows, table.pk, n)
     stats = {"entity": table.name, "inserted": n,
              "first_version": first if n else None, "last_version": first + n - 1 if n else None}
     return Mutation(rows.select(table.columns).unionByName(new),
@@ -109,31 +106,46 @@ def reset(spark: SparkSession, table: Table, n: int, seed, batch_ts: Column, par
         "first_version": 1 if n else None, "last_version": n if n else None})
 
 
+def _refuse_if(*rules: tuple[object, str]) -> None:
+    """Raise the code of the first rule whose condition holds."""
+    for holds, code in rules:
+        if holds:
+            raise ValueError(code)
+
+
+def _within_cap(table: Table, rows: DataFrame, added: int, keeps: bool) -> None:
+    """A declared cap refuses a write that would leave more rows than it."""
+    if table.max_rows is None or not added:
+        return
+    after = added + (rows.count() if keeps else 0)
+    _refuse_if((after > table.max_rows, f"quota_exceeded: {table.name} would hold {after} rows, its cap is {table.max_rows}"))
+
+
 def run_batch(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[str, DataFrame],
               log: DataFrame, batch_ts: Column, mode: str = "append", entities: list[str] | None = None,
               counts: Mapping[str, int] | None = None, count: int | None = None, seed=0,
-              confirm: bool = False, row_limit: int | None = MAX_ROWS_PER_REQUEST) -> tuple[dict[str, DataFrame], DataFrame, list[dict]]:
+              confirm: bool = False, row_limit: int | None = None) -> tuple[dict[str, DataFrame], DataFrame, list[dict]]:
     """Append to, replace or reset the named tables, parents first.
 
     Returns the new tables, the new whole log, and the counts per table. Replace and
-    reset take every dependent table along.
+    reset take every dependent table along; a reset also ends the run history of the tables in
+    the counts, see ``forget``. Declared row caps are checked before any row is made.
     """
     counts = dict(counts or {})
-    if mode not in ("append", "replace", "reset"):
-        raise ValueError(f"invalid_mode: {mode}")
     named = list(entities or counts or tables)
-    unknown = sorted((set(named) | set(counts)) - set(tables))
-    if unknown:
-        raise ValueError(f"unknown_entity: {unknown}")
-    asked = [*counts.values(), *([] if count is None else [count])]
-    _check_counts(asked, row_limit)
-    chosen = set(named) if mode == "append" else with_dependents(dict(tables), named)
-    targets = [t for t in load_order(dict(tables)) if t in chosen]
-    stray = sorted(set(counts) - set(targets))
-    if stray:
-        raise ValueError(f"counts_not_targeted: {stray}")
-    if mode != "append" and not confirm:
-        raise ValueError(f"confirmation_required: '{mode}' deletes rows")
+    strangers = sorted({*named, *counts} - set(tables))
+    order = load_order(dict(tables))
+    wide = named if mode == "append" else with_dependents(dict(tables), [n for n in named if n in tables])
+    targets = [t for t in order if t in set(wide)]
+    unused = sorted(set(counts) - set(targets))
+    _refuse_if((mode not in ("append", "replace", "reset"), f"invalid_mode: {mode}"),
+               (strangers, f"unknown_entity: {strangers}"))
+    _check_counts([*counts.values(), *([] if count is None else [count])], row_limit)
+    _refuse_if((unused, f"counts_not_targeted: {unused}"),
+               (mode != "append" and not confirm, f"confirmation_required: '{mode}' deletes rows"))
+    for name in targets:
+        planned = counts.get(name, tables[name].initial_count if count is None else count)
+        _within_cap(tables[name], data[name], planned, keeps=mode == "append")
 
     out, entries, stats = dict(data), [], []
     history = forget(log, targets) if mode == "reset" else log
@@ -228,12 +240,17 @@ def change_batch(spark: SparkSession, table: Table, rows: DataFrame, log: DataFr
     """
     if deletes and not table.soft_delete:
         raise ValueError(f"not_supported: '{table.name}' has no soft-delete field")
-    plan = tick_sizes(live_and_total(rows, table.soft_delete), table, seed, inserts, updates, deletes)
+    # one scan: live and total rows, and the highest version
+    plan = tick_sizes(live_and_total(rows, table.soft_delete, F.max("version").alias("top")), table, seed, inserts, updates, deletes)
     if cap is not None:
-        plan = headroom(plan, cap, F.col("inserts")).withColumn("inserts", F.col("allowed"))
+        plan = headroom(plan, cap, F.col("inserts"))
+        if inserts is None:
+            plan = plan.withColumn("inserts", F.col("allowed"))
     sizes = plan.first()  # one row of counts
+    if cap is not None and inserts is not None and sizes["over_cap"]:
+        raise ValueError(f"quota_exceeded: {inserts} more rows would exceed the cap of {cap} of '{table.name}'")
     n_ins, n_upd, n_del = sizes["inserts"], sizes["updates"], sizes["deletes"]
-    first = entity_next(rows, log, table.name)
+    first = max(sizes["top"] or 0, entity_latest(log, table.name)) + 1
     base = first - 1 + n_ins
 
     picked = split_sample(
@@ -252,14 +269,16 @@ def change_batch(spark: SparkSession, table: Table, rows: DataFrame, log: DataFr
             return F.when(is_delete, batch_ts).otherwise(F.col(name))
         return F.col(name)
 
-    after = rows.join(picked, F.col(table.pk) == F.col("_pk"), "left").select(
+    # few changes meet the rows where they lie; the table is shuffled only for many
+    beside = F.broadcast(picked) if fits_broadcast(rows, n_upd + n_del) else picked
+    after = rows.join(beside, F.col(table.pk) == F.col("_pk"), "left").select(
         *[merged(c).alias(c) for c in table.columns])
     entries = log_rows(picked.withColumnRenamed("_version", "version"),
                        table.name, F.col("_pk"), F.col("action"), batch_ts)
     if n_ins:
         new = insert_rows(spark, table, n_ins, seed, batch_ts, first, parents)
         if check:
-            check_new_keys(new_keys(spark, table, n_ins, seed), rows, table.pk)
+            check_new_keys(new_keys(spark, table, n_ins, seed), rows, table.pk, n_ins)
         after = after.unionByName(new)
         entries = log_rows(new, table.name, F.col(table.pk), "insert", batch_ts).unionByName(entries)
     total = n_ins + n_upd + n_del
@@ -274,7 +293,7 @@ def change_batch(spark: SparkSession, table: Table, rows: DataFrame, log: DataFr
 def run_changes(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[str, DataFrame],
                 log: DataFrame, batch_ts: Column, seed=0, entities: list[str] | None = None,
                 inserts: int | None = None, updates: int | None = None, deletes: int | None = None,
-                row_limit: int | None = MAX_ROWS_PER_REQUEST) -> tuple[dict[str, DataFrame], DataFrame, list[dict], list[str]]:
+                row_limit: int | None = None) -> tuple[dict[str, DataFrame], DataFrame, list[dict], list[str]]:
     """One change batch over several tables, parents first.
 
     New child rows point only at parents that are live by then: those inserted earlier in
@@ -282,9 +301,8 @@ def run_changes(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[
     stored once, so children do not redo the parent's batch.
     """
     _check_counts([v for v in (inserts, updates, deletes) if v is not None], row_limit)
-    unknown = sorted(set(entities or []) - set(tables))
-    if unknown:
-        raise ValueError(f"unknown_entity: {unknown}")
+    strangers = sorted(set(entities or []) - set(tables))
+    _refuse_if((strangers, f"unknown_entity: {strangers}"))
     targets = [t for t in load_order(dict(tables)) if not entities or t in entities]
     needed = {p for t in targets for p in tables[t].parents}
     out, live_now = dict(data), {}
@@ -294,7 +312,7 @@ def run_changes(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[
         if name in targets:
             parents = {p: (live_now[p], tables[p].pk) for p in table.parents}
             made = change_batch(spark, table, out[name], log, seed, batch_ts, parents,
-                                inserts, updates, deletes)
+                                inserts, updates, deletes, cap=table.max_rows)
             out[name] = made.rows
             entries.append(made.log)
             stats.append(made.stats)
@@ -308,16 +326,22 @@ def run_changes(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[
     return out, whole, stats, notes
 
 
-def tick(spark: SparkSession, table: Table, rows: DataFrame, log: DataFrame, runs: DataFrame, seed,
-         batch_ts: Column, parents=None) -> tuple[Mutation | None, DataFrame]:
+def tick(spark: SparkSession, table: Table, rows: DataFrame, log: DataFrame, seed,
+         batch_ts: Column, parents=None) -> Mutation:
     """One scheduled tick: a change batch of default sizes, inserts cut to the row cap,
-    parents drawn from all rows (soft-deleted too), and a run record either way."""
+    parents drawn from all rows (soft-deleted too)."""
+    return change_batch(spark, table, rows, log, seed, batch_ts, parents, cap=table.max_rows)
+
+
+def recorded(spark: SparkSession, runs: DataFrame, entity: str, at: Column, write: Callable[[], dict]) -> DataFrame:
+    """Runs ``write``, which makes and stores a batch and returns its counts, and returns the record
+    for the run history: written after the fact, ``failed`` whatever went wrong."""
     run_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
     try:
-        made = change_batch(spark, table, rows, log, seed, batch_ts, parents, cap=table.max_rows)
-    except ValueError:
-        return None, run_record(spark, run_id, table.name, batch_ts, None)
-    return made, run_record(spark, run_id, table.name, batch_ts, made.stats)
+        stats = write()
+    except Exception:  # the record says that the run failed; the caller logs why
+        stats = None
+    return run_record(spark, run_id, entity, at, stats)
 
 
 def run_record(spark: SparkSession, run_id: int, entity: str, at: Column, stats: dict | None) -> DataFrame:

@@ -14,9 +14,9 @@ from tidemark.operators.batches import Mutation, log_rows
 from tidemark.operators.feed import entity_next
 from tidemark.operators.generate import check_new_keys, generate, new_keys
 from tidemark.operators.ranking import index_by_integer
-from tidemark.operators.skew import join_unique
+from tidemark.operators.skew import fits_broadcast, join_unique
 from tidemark.operators.validation import (
-    MAX_BULK_ROWS, first_failure, keys_of, request_size, validate,
+    first_failure, keys_of, request_size, validate,
 )
 from tidemark.schema import Table
 from tidemark.session import pin
@@ -44,12 +44,15 @@ def with_given(payloads: DataFrame, table: Table) -> DataFrame:
 
 
 def check_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None,
-                row_limit: int | None = MAX_BULK_ROWS) -> int:
-    """Refuse the batch if it is too large or holds a bad row; otherwise its row count."""
+                row_limit: int | None = None) -> int:
+    """Refuse the batch if it is too large, repeats a position or holds a bad row; otherwise its row count."""
     size = request_size(payloads, rows.count() if table.max_rows is not None else 0,
                         table.max_rows, row_limit).first()
     if size["status"] != "ok":
         raise InvalidBatch(f"{size['status']}: {size['rows_after']} rows")
+    again = payloads.groupBy("row_pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR row_pos IS NULL").first()
+    if again:
+        raise InvalidBatch(f"repeated_position: rows[{again['row_pos']}] is given {again['n']} times")
     worst = first_failure(validate(payloads, table, parents)).first()
     if worst["n_bad"]:
         raise InvalidBatch(f"{worst['error_code']}: {worst['message']}")
@@ -58,13 +61,18 @@ def check_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None
 
 def create_rows(spark: SparkSession, table: Table, rows: DataFrame, log: DataFrame, payloads: DataFrame,
                 seed, batch_ts: Column, parents=None, check: bool = True,
-                row_limit: int | None = MAX_BULK_ROWS) -> Mutation:
-    """One new row per payload: given fields as given, the rest generated. All or nothing."""
+                row_limit: int | None = None) -> Mutation:
+    """One new row per payload: given fields as given, the rest generated. All or nothing.
+
+    Rows are numbered 0..n-1 in the order of ``row_pos``, whatever numbers those are (ascending ids
+    with gaps will do); the number gives a row its key, its draws and its version.
+    """
     n = check_batch(payloads, table, rows, parents, row_limit) if check else payloads.count()
     first = entity_next(rows, log, table.name)
     if check:
-        check_new_keys(new_keys(spark, table, n, seed), rows, table.pk)
-    numbered = with_given(payloads, table).withColumnRenamed("row_pos", "i").drop("payload")
+        check_new_keys(new_keys(spark, table, n, seed), rows, table.pk, n)
+    placed = index_by_integer(payloads, "row_pos").withColumn("i", F.col("idx") - 1)
+    numbered = with_given(placed.drop("row_pos", "idx"), table).drop("payload")
     made = generate(spark, table, n, seed, batch_ts, parents, numbers=numbered)
     given = {f.name for f in table.writable}
 
@@ -102,6 +110,11 @@ def update_outcomes(requests: DataFrame, table: Table, rows: DataFrame, parents=
         "_absent", "error_field", "message")
 
 
+def _beside(rows: DataFrame, last: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows' changes, at most one for each stored request: broadcast if those are few."""
+    return F.broadcast(last) if fits_broadcast(rows, judged.count()) else last
+
+
 def update_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFrame, batch_ts: Column,
                 parents=None) -> tuple[Mutation, DataFrame]:
     """Apply partial payloads to live rows: only the given fields change.
@@ -133,7 +146,8 @@ def update_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFra
             return F.when(F.col("_version").isNotNull(), batch_ts).otherwise(F.col(c))
         return F.col(c)
 
-    after = rows.join(last, F.col(table.pk) == F.col("key"), "left").select(
+    beside = _beside(rows, last, judged)
+    after = rows.join(beside, F.col(table.pk) == F.col("key"), "left").select(
         *[final(c).alias(c) for c in table.columns])
     entries = log_rows(accepted, table.name, F.col("key"), "update", batch_ts)
     return Mutation(after, entries, {"entity": table.name}), judged
@@ -145,13 +159,13 @@ def delete_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFra
     succeeds and is logged again."""
     if not table.soft_delete:
         raise ValueError(f"not_supported: '{table.name}' has no soft-delete field")
-    judged = outcomes(requests, table, rows, live_only=False)
+    judged = pin(outcomes(requests, table, rows, live_only=False), "judged")  # read three times
     base = entity_next(rows, log, table.name) - 1
     accepted = index_by_integer(judged.filter(F.col("error_code").isNull()), "row_pos")
     accepted = accepted.withColumn("version", F.col("idx") + F.lit(base))
     last = accepted.groupBy("key").agg(F.max("version").alias("_version"))
     hit = F.col("_version").isNotNull()
-    after = rows.join(last, F.col(table.pk) == F.col("key"), "left").select(*[
+    after = rows.join(_beside(rows, last, judged), F.col(table.pk) == F.col("key"), "left").select(*[
         (F.coalesce("_version", "version") if c == "version"
          else F.when(hit, batch_ts).otherwise(F.col(c)) if c == table.soft_delete
          else F.col(c)).alias(c) for c in table.columns])

@@ -140,7 +140,8 @@ def last_change(changes: DataFrame, *keys: str) -> DataFrame:
 
 def replay(snapshot: DataFrame, changes: DataFrame, pk: str) -> DataFrame:
     """The table after applying enriched ``changes`` to a snapshot. Idempotent: only the last
-    change of a key counts, so overlapping or repeated input gives the same table."""
+    change of a key counts, and only if it is newer than the snapshot's row, so overlapping,
+    repeated or older input gives the same table."""
     values = [c for c in snapshot.columns if c not in (pk, "version")]
     last = last_change(changes, pk).select(pk, "version")
     # the join leaves rows placed by (key, version), so dropping repeats there is free
@@ -148,12 +149,12 @@ def replay(snapshot: DataFrame, changes: DataFrame, pk: str) -> DataFrame:
     theirs = newest.select(
         F.col(pk).alias("_pk"), F.col("version").alias("_version"), F.col("op").alias("_op"),
         *[F.col(c).alias(f"_new_{c}") for c in values])
-    touched = F.col("_op").isNotNull()
+    newer = F.col("_op").isNotNull() & F.coalesce(F.col("_version") > F.col("version"), F.lit(True))
     return (
         snapshot.join(theirs, F.col(pk) == F.col("_pk"), "full")
-        .filter(F.coalesce(F.col("_op") != "delete", F.lit(True)))
+        .filter(~(newer & (F.col("_op") == "delete")))
         .select(
             F.coalesce(pk, "_pk").alias(pk),
-            *[F.when(touched, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values],
-            F.coalesce("_version", "version").alias("version"))
+            *[F.when(newer, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values],
+            F.when(newer, F.col("_version")).otherwise(F.col("version")).alias("version"))
     )

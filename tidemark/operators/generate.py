@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.draws import draw, field_value
 from tidemark.operators.ranking import digits_for, index_by_digest
+from tidemark.operators.skew import fits_broadcast
 from tidemark.schema import Table, load_order
 
 ROWS_PER_TASK = 2_000_000
@@ -91,9 +92,16 @@ def row_plan(tables: DataFrame, counts: DataFrame, count: int | None) -> DataFra
         F.coalesce("_n", F.lit(count).cast("bigint"), "initial_count").cast("bigint").alias("n"))
 
 
-def existing_keys(new: DataFrame, old: DataFrame, pk: str) -> DataFrame:
-    """Generated keys that an existing row already holds."""
-    return new.select(pk).join(old.select(pk), pk, "left_semi")
+def existing_keys(new: DataFrame, old: DataFrame, pk: str, n: int | None = None) -> DataFrame:
+    """Generated keys that an existing row already holds.
+
+    The table is scanned against the new keys, so that ``n`` of them, if that is few enough to
+    broadcast, leave the table where it lies.
+    """
+    wanted = new.select(pk)
+    if n is not None and fits_broadcast(old, n):
+        wanted = F.broadcast(wanted)  # n keys
+    return old.select(pk).join(wanted, pk, "left_semi")
 
 
 def repeated_keys(rows: DataFrame, pk: str) -> DataFrame:
@@ -106,9 +114,11 @@ def new_keys(spark: SparkSession, table: Table, n: int, seed) -> DataFrame:
     return row_numbers(spark, n).select(key.alias(table.pk))
 
 
-def check_new_keys(new: DataFrame, old: DataFrame, pk: str) -> None:
-    if not existing_keys(new, old, pk).isEmpty():
+def check_new_keys(new: DataFrame, old: DataFrame, pk: str, n: int | None = None) -> None:
+    if not existing_keys(new, old, pk, n).isEmpty():
         raise DuplicateKeys("duplicate_primary_key: a generated key exists; take another seed")
+    if not repeated_keys(new, pk).isEmpty():
+        raise DuplicateKeys("duplicate_primary_key: two generated keys are equal; take another seed")
 
 
 def seed_missing(spark: SparkSession, tables: Mapping[str, Table], data: Mapping[str, DataFrame],

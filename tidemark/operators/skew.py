@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 64          # at most this many keys are treated apart
-HOT_SHARE = 1 / 64     # a key is hot when it holds at least this share of the rows
-SKETCH_SIZE = 10_000   # counters in the heavy-hitter sketch
+HOT_KEYS = 1024        # at most this many keys are treated apart
+SKETCH_SIZE = 16_384   # counters in the heavy-hitter sketch
+KEY_BYTES = 256        # a row of a key and a few numbers, at most, in a broadcast
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -22,31 +22,45 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(digits) * units.get(unit, 1)
 
 
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Do ``rows`` rows of a key and a few numbers stay under the session's broadcast threshold?"""
+    return rows * KEY_BYTES <= broadcast_limit(df)
+
+
+def hot_share(df: DataFrame) -> float:
+    """The share of the rows that fills a shuffle partition by itself."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1 / max(parts, 2), 1 / HOT_KEYS)
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys holding a large share of the rows: one scan of the key column into fixed-size
-    sketches, no shuffle of the rows. Only the plan depends on it, never the result."""
+    """Keys with more rows than one shuffle partition should hold: one scan of the key column into
+    fixed-size sketches, no shuffle of the rows. Only the plan depends on it, never the result."""
     found = df.agg(
         F.count(key).alias("n"),
         F.call_function("approx_top_k", F.col(key), F.lit(HOT_KEYS), F.lit(SKETCH_SIZE)).alias("top"),
     ).first()
-    least = max(2.0, found["n"] * HOT_SHARE)
+    least = max(2.0, found["n"] * hot_share(df))
     # the sketch may list NULL; as an IN-list value it would make the negated filter drop rows
     return [item["item"] for item in found["top"]
             if item["item"] is not None and item["count"] >= least]
 
 
 def join_unique(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                how: str = "left") -> DataFrame:
+                how: str = "left", right_rows: int | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which holds each ``right_key`` at most once.
 
     A right side under Spark's broadcast threshold is left to Catalyst, which then
-    broadcasts it and shuffles nothing. Beyond it, rows of hot left keys meet their right
+    broadcasts it and shuffles nothing; Catalyst overrates a right side that is itself a join, so
+    a caller that knows a bound of its rows says so (``right_rows``). Beyond it, rows of hot left keys meet their right
     rows by a broadcast of at most ``HOT_KEYS`` rows and stay where they are; the others
     are joined by shuffle.
     """
     condition = F.col(left_key) == F.col(right_key)
-    if plan_bytes(right) <= broadcast_limit(left):
+    if broadcast_limit(left) >= 0 and plan_bytes(right) <= broadcast_limit(left):
         return left.join(right, condition, how)
+    if right_rows is not None and fits_broadcast(left, right_rows):
+        return left.join(F.broadcast(right), condition, how)  # a known number of rows
     hot = hot_keys(left, left_key)
     if not hot:
         return left.join(right, condition, how)

@@ -13,8 +13,9 @@ def row_counts(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def live_and_total(df: DataFrame, soft_delete: str | None) -> DataFrame:
-    return df.agg(F.count_if(is_live(soft_delete)).alias("live_rows"), F.count(F.lit(1)).alias("total_rows"))
+def live_and_total(df: DataFrame, soft_delete: str | None, *more: Column) -> DataFrame:
+    """One row of counts, with any further aggregates of the same scan."""
+    return df.agg(F.count_if(is_live(soft_delete)).alias("live_rows"), F.count(F.lit(1)).alias("total_rows"), *more)
 
 
 def owned_counts(owners: DataFrame, owner_id: str, **children: tuple[DataFrame, str]) -> DataFrame:
@@ -41,11 +42,12 @@ def op_tallies(log: DataFrame) -> DataFrame:
         F.min("version").alias("first_version"), F.max("version").alias("last_version"))
 
 
-def quota_usage(rows: DataFrame, owner: str, counted: Column, limit: int) -> DataFrame:
-    """Counted rows per owner against a limit; full owners are refused the next one."""
-    used = F.count_if(counted)
-    return rows.groupBy(owner).agg(
-        used.alias("used"),
+def quota_usage(owners: DataFrame, owner_id: str, rows: DataFrame, fk: str, counted: Column, limit: int) -> DataFrame:
+    """Counted rows of every owner against a limit; full owners are refused the next one, and
+    owners with nothing have all of it left."""
+    used = F.col("used")
+    return owned_counts(owners.select(owner_id), owner_id, used=(rows.filter(counted), fk)).select(
+        F.col(owner_id).alias(fk), "used",
         F.greatest(F.lit(0), F.lit(limit) - used).cast("bigint").alias("remaining"),
         F.when(used >= limit, "quota_exceeded").otherwise("ok").alias("status"))
 

@@ -29,7 +29,7 @@ def attribute(requests: DataFrame, secret: str, keys: DataFrame, providers: Data
     """Each request with the key and provider behind its secret; NULL when there is none."""
     known = active_credentials(keys, providers).withColumnRenamed("key_hash", "_hash")
     asked = requests.withColumn("_presented", key_hash(F.col(secret)))
-    return join_unique(asked, known, "_presented", "_hash").drop("_presented", "_hash")
+    return join_unique(asked, known, "_presented", "_hash", right_rows=keys.count()).drop("_presented", "_hash")
 
 
 def with_names(rows: DataFrame, fk: str, dim: DataFrame, pk: str, **columns: str) -> DataFrame:
@@ -79,8 +79,9 @@ def scope_counts(things: DataFrame, principals: DataFrame) -> DataFrame:
     )
 
 
-def decide(requests: DataFrame, things: DataFrame) -> DataFrame:
-    """ok / not_found / forbidden for every access request (thing_id, principal, superuser, need)."""
+def decide(requests: DataFrame, things: DataFrame, n_things: int | None = None) -> DataFrame:
+    """ok / not_found / forbidden for every access request (thing_id, principal, superuser, need).
+    ``n_things`` is a bound of the things, if the caller knows one."""
     known = things.select(
         F.col("id").alias("_id"), F.col("provider_id").alias("_owner"), F.col("is_private").alias("_private"))
     may_write = F.col("superuser") | (F.col("principal") == F.col("_owner"))
@@ -88,7 +89,7 @@ def decide(requests: DataFrame, things: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("_id").isNull() | ~may_read, "not_found")
         .when((F.col("need") == "write") & ~may_write, "forbidden").otherwise("ok"))
-    return join_unique(requests, known, "thing_id", "_id").withColumn("decision", verdict).drop(
+    return join_unique(requests, known, "thing_id", "_id", right_rows=n_things).withColumn("decision", verdict).drop(
         "_id", "_owner", "_private")
 
 
@@ -112,16 +113,22 @@ def get_or_create(requests: DataFrame, existing: DataFrame, on_exists: str = "er
         owner.alias("owner_id"))
 
 
-def file_into_groups(configs: DataFrame, system_group: str = "prj_system_examples",
+def file_into_groups(configs: DataFrame, existing: DataFrame | None = None, system_group: str = "prj_system_examples",
                      group_name: str = "default") -> tuple[DataFrame, DataFrame]:
     """File ungrouped configs into one group per owner, private if any member was.
 
-    The group id is a function of the owner, so filing needs no join and a second run
-    gives the same ids. Configs of source yaml go to the system group.
+    An owner's ``existing`` group (id, provider_id) is used again, the lowest id of several. The id of a
+    new one is a digest of the owner, so a second run gives the same ids. Configs of source yaml
+    go to the system group.
     """
     yaml = F.col("source") == "yaml"
-    group_id = F.concat(F.lit("prj_"), F.substring(F.md5(F.concat_ws("|", F.lit(group_name), "provider_id")), 1, 12))
-    filed = configs.withColumn("project_id", F.when(yaml, system_group).otherwise(group_id))
+    group_id = F.concat(F.lit("prj_"), F.md5(F.concat_ws("|", F.lit(group_name), "provider_id")))
+    filed = configs
+    if existing is not None:
+        had = existing.groupBy(F.col("provider_id").alias("_owner")).agg(F.min("id").alias("_had"))
+        filed = join_unique(configs, had, "provider_id", "_owner").drop("_owner")
+        group_id = F.coalesce("_had", group_id)
+    filed = filed.withColumn("project_id", F.when(yaml, system_group).otherwise(group_id)).drop("_had")
     groups = privacy_fold(filed, "project_id", F.col("is_only_me")).select(
         F.col("project_id").alias("id"), F.col("is_private").alias("is_only_me"), "is_mixed", "n_members")
     return groups, filed.drop("is_only_me")

@@ -1,6 +1,6 @@
 """Checking bulk payloads and auditing tables against their log.
 
-A payload frame holds ``row_pos`` (0-based, dense) and ``payload`` (JSON text). Every rule
+A payload frame holds ``row_pos`` (unique integers) and ``payload`` (JSON text). Every rule
 is a column, so one pass over the payloads finds the first error of each row.
 """
 
@@ -15,9 +15,6 @@ from tidemark.functions.text import is_iso
 from tidemark.operators.skew import join_unique
 from tidemark.schema import Table
 
-# Fixed value: most rows one bulk request may carry.
-MAX_BULK_ROWS = 100_000
-
 UNKNOWN, READ_ONLY, INVALID, BAD_REF, BAD_JSON = (
     "unknown_field", "read_only_field", "invalid_value", "invalid_reference", "invalid_json")
 
@@ -169,8 +166,8 @@ def first_failure(checked: DataFrame) -> DataFrame:
 
 
 def request_size(payloads: DataFrame, existing_rows: Column | int, max_rows: int | None,
-                 limit: int | None = MAX_BULK_ROWS) -> DataFrame:
-    """Row limit and quota of a bulk request in one row."""
+                 limit: int | None = None) -> DataFrame:
+    """Row limit (if any) and quota of a bulk request in one row."""
     rows = F.count(F.lit(1))
     after = rows + existing_rows
     over = F.lit(False) if max_rows is None else after > max_rows

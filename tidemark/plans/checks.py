@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import generate, validation
-from tidemark.plans.catalog import CUST, LOG, ORD, ORDERS, Roles, query
+from tidemark.plans.catalog import LOG, ORD, ORDERS, SOLVENT, Roles, query
 
 # One payload per event; which rule it tests follows from its number.
 PAYLOADS = """pay AS (
   SELECT event_id AS row_pos, CASE event_id % 15
     WHEN 0 THEN '{"amount": ' || CAST(value AS VARCHAR) || ', "note": null}'
-    WHEN 1 THEN '{"bogus": 1, "amount": "x"}'
-    WHEN 2 THEN '{"order_id": "mine"}'
-    WHEN 3 THEN '{"amount": 4, "version": 5}'
-    WHEN 4 THEN '{"amount": "lots", "bogus": 1}'
-    WHEN 5 THEN '{"amount": true}'
-    WHEN 6 THEN '{"status": "teleported"}'
+    WHEN 1 THEN '{"colour": [3], "amount": "n/a"}'
+    WHEN 2 THEN '{"order_id": "A-17"}'
+    WHEN 3 THEN '{"amount": 61.5, "version": 902}'
+    WHEN 4 THEN '{"amount": "61,50", "colour": {}}'
+    WHEN 5 THEN '{"amount": false}'
+    WHEN 6 THEN '{"status": "Q"}'
     WHEN 7 THEN '{"note": null, "amount": null}'
-    WHEN 8 THEN '{"customer_id": 7}'
+    WHEN 8 THEN '{"customer_id": 4001}'
     WHEN 9 THEN '{"customer_id": "' || user_id || '"}'
-    WHEN 10 THEN '{"placed_at": "last tuesday"}'
-    WHEN 11 THEN '{"priority": 7.0}'
-    WHEN 12 THEN '{"urgent": "yes", "deleted_at": "2026-01-01T00:00:00Z"}'
-    WHEN 13 THEN '{"status": "O", "priority": 3, "urgent": false, "placed_at": "2026-01-31T12:00:00Z", "note": "' || event_type || '"}'
+    WHEN 10 THEN '{"placed_at": "Easter Monday"}'
+    WHEN 11 THEN '{"priority": 3.0}'
+    WHEN 12 THEN '{"urgent": "no", "deleted_at": "1999-12-31T08:15:00Z"}'
+    WHEN 13 THEN '{"status": "O", "priority": 3, "urgent": false, "placed_at": "2011-07-09T16:45:30Z", "note": "' || event_type || '"}'
     ELSE '[' || event_id || ']' END AS payload
   FROM events)"""
 
@@ -32,7 +32,7 @@ _FIXED = "'order_id', 'updated_at', 'deleted_at', 'version'"
 _IS_OBJECT = "json_type(payload) = 'OBJECT'"
 
 # The rules over one (payload, key) pair, written against DuckDB's JSON types.
-_PAIRS = f"""{PAYLOADS}, {CUST}, keyed AS (
+_PAIRS = f"""{PAYLOADS}, {SOLVENT}, keyed AS (
   SELECT row_pos, payload, unnest(json_keys(payload)) AS key, generate_subscripts(json_keys(payload), 1) AS place
   FROM pay WHERE {_IS_OBJECT}),
 pairs AS (SELECT *, json_type(payload, '$.' || key) AS kind, json_extract_string(payload, '$.' || key) AS val FROM keyed),
@@ -55,19 +55,19 @@ def _payloads(t: Roles):
     value, user = F.col("value").cast("string"), F.col("user_id").cast("string")
     texts = [
         F.concat(F.lit('{"amount": '), value, F.lit(', "note": null}')),
-        F.lit('{"bogus": 1, "amount": "x"}'),
-        F.lit('{"order_id": "mine"}'),
-        F.lit('{"amount": 4, "version": 5}'),
-        F.lit('{"amount": "lots", "bogus": 1}'),
-        F.lit('{"amount": true}'),
-        F.lit('{"status": "teleported"}'),
+        F.lit('{"colour": [3], "amount": "n/a"}'),
+        F.lit('{"order_id": "A-17"}'),
+        F.lit('{"amount": 61.5, "version": 902}'),
+        F.lit('{"amount": "61,50", "colour": {}}'),
+        F.lit('{"amount": false}'),
+        F.lit('{"status": "Q"}'),
         F.lit('{"note": null, "amount": null}'),
-        F.lit('{"customer_id": 7}'),
+        F.lit('{"customer_id": 4001}'),
         F.concat(F.lit('{"customer_id": "'), user, F.lit('"}')),
-        F.lit('{"placed_at": "last tuesday"}'),
-        F.lit('{"priority": 7.0}'),
-        F.lit('{"urgent": "yes", "deleted_at": "2026-01-01T00:00:00Z"}'),
-        F.concat(F.lit('{"status": "O", "priority": 3, "urgent": false, "placed_at": "2026-01-31T12:00:00Z", "note": "'),
+        F.lit('{"placed_at": "Easter Monday"}'),
+        F.lit('{"priority": 3.0}'),
+        F.lit('{"urgent": "no", "deleted_at": "1999-12-31T08:15:00Z"}'),
+        F.concat(F.lit('{"status": "O", "priority": 3, "urgent": false, "placed_at": "2011-07-09T16:45:30Z", "note": "'),
                  F.col("event_type"), F.lit('"}')),
         F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")),
     ]
@@ -78,7 +78,7 @@ def _payloads(t: Roles):
 
 
 def _parents(t: Roles):
-    return {"customers": (t.customers.select("customer_id"), "customer_id")}
+    return {"customers": (t.solvent.select("customer_id"), "customer_id")}
 
 
 def _names(keys):
@@ -155,7 +155,7 @@ def _(t):
     parsed = _payloads(t).withColumn("_parsed", validation.parsed_fields(F.col("payload"), ORDERS))
     wanted = parsed.filter(validation.json_type(F.col("_parsed"), "customer_id") == "STRING").select(
         "row_pos", validation.json_text(F.col("_parsed"), "customer_id").alias("customer_id"))
-    return validation.dangling_refs(wanted, "customer_id", t.customers, "customer_id")
+    return validation.dangling_refs(wanted, "customer_id", t.solvent, "customer_id")
 
 
 @query("v8_first_errors", f"""
@@ -173,7 +173,7 @@ WITH {_PAIRS}, bad AS (
 first AS (SELECT min(row_pos) AS p, count(*) AS n FROM bad)
 SELECT (SELECT count(*) FROM pay) AS n_rows, n AS n_bad, p AS first_bad,
        (SELECT arg_min(code, place) FROM judged WHERE row_pos = p AND code IS NOT NULL) AS error_code,
-       'rows[' || p || ']: bogus is not a field of this table' AS message FROM first""")
+       'rows[' || p || ']: colour is not a field of this table' AS message FROM first""")
 def _(t):
     return validation.first_failure(validation.validate(_payloads(t), ORDERS, _parents(t)))
 
@@ -183,7 +183,7 @@ WITH {ORD} SELECT count(*) AS n_rows, count(*) + (SELECT count(*) FROM ord) AS r
   CASE WHEN count(*) > 100000 THEN 'too_many_rows' WHEN count(*) + (SELECT count(*) FROM ord) > 20000 THEN 'quota_exceeded'
        ELSE 'ok' END AS status FROM events""")
 def _(t):
-    return validation.request_size(_payloads(t), F.lit(t.orders.count()).cast("bigint"), 20_000)
+    return validation.request_size(_payloads(t), F.lit(t.orders.count()).cast("bigint"), 20_000, limit=100_000)
 
 
 @query("v10_version_audit", f"""

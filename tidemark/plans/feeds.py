@@ -7,8 +7,9 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from tidemark.functions.draws import draw
 from tidemark.operators import feed, generate, ranking, rows, tenancy, validation
+from tidemark.operators.skew import join_unique
 from tidemark.plans.catalog import (
-    CONFIGS, CUST, CUST_LATEST, CUSTOMERS, KEYS, LOG, ORD, ORDERS, PROJECTS, PROVIDERS, Roles, draw_sql, query,
+    CONFIGS, CUST, CUST_LATEST, CUSTOMERS, KEYS, LOG, ORD, ORDERS, PROJECTS, PROVIDERS, SOLVENT, Roles, draw_sql, query,
 )
 from tidemark.sources.tables import scan, snapshot
 
@@ -55,12 +56,12 @@ def _(t):
 
 
 @query("b2_key_lookup", f"""
-WITH {CUST} SELECT event_id, CAST(user_id AS VARCHAR) AS wanted,
+WITH {SOLVENT} SELECT event_id, CAST(user_id AS VARCHAR) AS wanted,
   CASE WHEN c.customer_id IS NULL THEN 'missing' WHEN c.deleted_at IS NOT NULL THEN 'deleted' ELSE 'found' END AS status
 FROM events LEFT JOIN cust c ON c.customer_id = CAST(user_id AS VARCHAR)""")
 def _(t):
     wanted = t.tab("events").select("event_id", F.col("user_id").cast("string").alias("wanted"))
-    return rows.lookup(wanted, "wanted", t.customers, "customer_id", "deleted_at")
+    return rows.lookup(wanted, "wanted", t.solvent, "customer_id", "deleted_at")
 
 
 @query("b3_keyset_seek", f"WITH {ORD} SELECT * FROM ord WHERE deleted_at IS NULL AND order_id > '42'")
@@ -149,11 +150,11 @@ def _(t):
 
 
 @query("c5_enriched_feed", f"""
-WITH {LOG}, {CUST}
+WITH {LOG}, {SOLVENT}
 SELECT l.op, l.pk_value AS customer_id, {_CUST_VALUES}, l.version
 FROM chg l LEFT JOIN cust c ON c.customer_id = l.pk_value WHERE l.entity = 'customers'""")
 def _(t):
-    return feed.enrich(t.log.filter("entity = 'customers'"), t.customers, "customer_id")
+    return feed.enrich(t.log.filter("entity = 'customers'"), t.solvent, "customer_id")
 
 
 @query("c6_cursor_status", f"""
@@ -184,7 +185,7 @@ def _(t):
 
 # ---------------------------------------------------------------------- replay
 @query("c8_replayed_customers", f"""
-WITH {LOG}, {CUST}, delta AS (
+WITH {LOG}, {SOLVENT}, delta AS (
   SELECT * FROM chg WHERE entity = 'customers' AND version > {CUST_LATEST} // 2),
 last AS (SELECT pk_value, arg_max(op, version) AS op, max(version) AS version FROM delta GROUP BY 1),
 snap AS (
@@ -205,7 +206,7 @@ def _(t):
         F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("segment"), F.lit(0.0).alias("balance"),
         F.lit(None).cast("timestamp_ntz").alias("deleted_at"), (F.col("c_custkey") + 1).alias("version"))
-    changes = feed.delta(t.log, t.customers, "customers", "customer_id", latest // 2, latest)
+    changes = feed.delta(t.log, t.solvent, "customers", "customer_id", latest // 2, latest)
     return feed.replay(copy, changes, CUSTOMERS.pk)
 
 
@@ -228,11 +229,20 @@ def _(t):
     return tenancy.attribute(requests, "secret", t.keys, t.providers)
 
 
+@query("c8_older_delta", f"WITH {CUST} SELECT * FROM cust")
+def _(t):
+    """A delta from before the snapshot, with other values: the snapshot stays as it is."""
+    older = t.customers.select(
+        F.lit("update").alias("op"), "customer_id", F.lit("stale").alias("name"), "segment", "balance", "deleted_at",
+        (F.col("version") - 1).alias("version"))
+    return feed.replay(t.customers, older, "customer_id")
+
+
 @query("c10_dangling_orders", f"""
-WITH {CUST}, {ORD} SELECT order_id, customer_id FROM ord o
+WITH {SOLVENT}, {ORD} SELECT order_id, customer_id FROM ord o
 WHERE NOT EXISTS (SELECT 1 FROM cust c WHERE c.customer_id = o.customer_id)""")
 def _(t):
-    return validation.dangling_refs(t.orders.select("order_id", "customer_id"), "customer_id", t.customers, "customer_id")
+    return validation.dangling_refs(t.orders.select("order_id", "customer_id"), "customer_id", t.solvent, "customer_id")
 
 
 @query("c11_assigned_parents", f"""
@@ -266,7 +276,7 @@ WITH {ORD} SELECT event_id, order_id, amount, status FROM events LEFT JOIN ord O
 def _(t):
     wanted = t.tab("events").select("event_id", (F.col("event_id") * 2).cast("string").alias("_wanted"))
     found = t.orders.select("order_id", "amount", "status")
-    return tenancy.join_unique(wanted, found, "_wanted", "order_id").drop("_wanted")
+    return join_unique(wanted, found, "_wanted", "order_id").drop("_wanted")
 
 
 # -------------------------------------------------------------- dense versions

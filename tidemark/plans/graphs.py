@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph
-from tidemark.plans.catalog import CONFIGS, CUST, ORD, Roles, query
+from tidemark.plans.catalog import CONFIGS, CUST, ORD, SOLVENT, Roles, query
 
 # Rows as nodes: an order references its customer, a customer its nation, a nation its region.
 ROW_EDGES = """edges AS (
@@ -152,11 +152,11 @@ def _(t):
 
 
 @query("g6_dangling_edges", f"""
-WITH {ROW_EDGES}, {CUST} SELECT child, parent FROM edges WHERE parent LIKE 'customer:%'
+WITH {ROW_EDGES}, {SOLVENT} SELECT child, parent FROM edges WHERE parent LIKE 'customer:%'
   AND substr(parent, 10) NOT IN (SELECT customer_id FROM cust)""")
 def _(t):
     edges = _edges(t).filter("parent LIKE 'customer:%'")
-    return graph.dangling(edges, t.customers.select(_name("customer", "customer_id").alias("node")))
+    return graph.dangling(edges, t.solvent.select(_name("customer", "customer_id").alias("node")))
 
 
 @query("g7_direct_dependents", f"""

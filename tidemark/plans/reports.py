@@ -49,11 +49,12 @@ def _(t):
 
 
 @query("d5_quota_usage", f"""
-WITH {PROJECTS}, used AS (SELECT provider_id, count(*) FILTER (source = 'api') AS used FROM proj GROUP BY 1)
+WITH {PROJECTS}, {PROVIDERS}, used AS (
+  SELECT p.id AS provider_id, count(j.id) AS used FROM prov p LEFT JOIN proj j ON j.provider_id = p.id AND j.source = 'api' GROUP BY 1)
 SELECT provider_id, used, greatest(0, 3 - used) AS remaining,
        CASE WHEN used >= 3 THEN 'quota_exceeded' ELSE 'ok' END AS status FROM used""")
 def _(t):
-    return summaries.quota_usage(t.projects, "provider_id", F.col("source") == "api", 3)
+    return summaries.quota_usage(t.providers, "id", t.projects, "provider_id", F.col("source") == "api", 3)
 
 
 @query("d6_privacy_fold", f"""
@@ -196,6 +197,14 @@ def _(t):
     return tenancy.scope_counts(_things(t), t.providers.select("id"))
 
 
+def _access_requests(t: Roles, prefix: str, n: int):
+    return t.tab("events").select(
+        "event_id", F.concat(F.lit(prefix), (F.col("event_id") * 7 % F.lit(n + 5)).cast("string")).alias("thing_id"),
+        (F.col("user_id") % 25).cast("string").alias("principal"),
+        (F.col("event_type") == "signup").alias("superuser"),
+        F.when(F.col("value") < 8, "write").otherwise("read").alias("need"))
+
+
 @query("t3_access_decisions", f"""
 WITH {_THINGS}, req AS (
   SELECT event_id, 'cfg_' || (event_id * 7 % ((SELECT count(*) FROM part) + 5)) AS thing_id,
@@ -207,12 +216,7 @@ SELECT r.*, CASE WHEN t.id IS NULL THEN 'not_found'
 FROM req r LEFT JOIN things t ON t.id = r.thing_id""")
 def _(t):
     n = t.tab("part").count()
-    requests = t.tab("events").select(
-        "event_id", F.concat(F.lit("cfg_"), (F.col("event_id") * 7 % F.lit(n + 5)).cast("string")).alias("thing_id"),
-        (F.col("user_id") % 25).cast("string").alias("principal"),
-        (F.col("event_type") == "signup").alias("superuser"),
-        F.when(F.col("value") < 8, "write").otherwise("read").alias("need"))
-    return tenancy.decide(requests, _things(t))
+    return tenancy.decide(_access_requests(t, "cfg_", n), _things(t), n)
 
 
 @query("t4_provider_report", f"""
@@ -252,6 +256,14 @@ def _(t):
     return tenancy.throttled_uses(t.tab("events"), "user_id", "ts", minutes=360, segment_minutes=1440)
 
 
+def _wanted_names(t: Roles, on_exists: str):
+    part = t.tab("part").select("p_partkey", "p_retailprice", name_key(F.col("p_name")).alias("name_key"))
+    existing = part.filter("p_retailprice < 901").groupBy("name_key").agg(
+        F.concat(F.lit("prov_"), F.min("p_partkey").cast("string")).alias("id"))
+    return tenancy.get_or_create(
+        part.select(F.col("p_partkey").alias("request_id"), "name_key"), existing, on_exists)
+
+
 @query("t7_get_or_create", """
 WITH req AS (SELECT p_partkey AS request_id, lower(p_name) AS name_key FROM part),
 old AS (SELECT 'prov_' || min(p_partkey) AS id, lower(p_name) AS name_key FROM part
@@ -262,35 +274,78 @@ SELECT request_id, name_key,
   coalesce(o.id, 'new_' || first_id) AS owner_id
 FROM req JOIN first USING (name_key) LEFT JOIN old o USING (name_key)""")
 def _(t):
-    part = t.tab("part").select("p_partkey", "p_retailprice", name_key(F.col("p_name")).alias("name_key"))
-    existing = part.filter("p_retailprice < 901").groupBy("name_key").agg(
-        F.concat(F.lit("prov_"), F.min("p_partkey").cast("string")).alias("id"))
-    return tenancy.get_or_create(
-        part.select(F.col("p_partkey").alias("request_id"), "name_key"), existing, "reuse")
+    return _wanted_names(t, "reuse")
+
+
+_FILED = f"""{CONFIGS}, {PROJECTS}, had AS (
+  SELECT provider_id, min(id) AS old_id FROM proj WHERE name LIKE '%1' GROUP BY 1),
+filed AS (
+  SELECT conf.*, CASE WHEN source = 'yaml' THEN 'prj_system_examples'
+                      ELSE coalesce(old_id, 'prj_' || md5('default|' || provider_id)) END AS group_id
+  FROM conf LEFT JOIN had USING (provider_id))"""
 
 
-_FILED = f"""{CONFIGS}, filed AS (
-  SELECT *, CASE WHEN source = 'yaml' THEN 'prj_system_examples'
-                 ELSE 'prj_' || substr(md5('default|' || provider_id), 1, 12) END AS group_id FROM conf)"""
+def _filed(t: Roles):
+    """Projects whose name ends in 1 stand for default groups that owners already have."""
+    had = t.projects.filter(F.col("name").endswith("1")).select("id", "provider_id")
+    return tenancy.file_into_groups(t.configs.drop("project_id"), had)
 
 
 @query("t8_groups", f"""
 WITH {_FILED} SELECT group_id AS id, bool_or(is_only_me) AS is_only_me,
   bool_or(is_only_me) AND NOT bool_and(is_only_me) AS is_mixed, count(*) AS n_members FROM filed GROUP BY 1""")
 def _(t):
-    return tenancy.file_into_groups(t.configs.drop("project_id"))[0]
+    return _filed(t)[0]
 
 
 @query("t8_filed_configs", f"WITH {_FILED} SELECT id, provider_id, source, group_id AS project_id FROM filed")
 def _(t):
-    return tenancy.file_into_groups(t.configs.drop("project_id"))[1].select("id", "provider_id", "source", "project_id")
+    return _filed(t)[1].select("id", "provider_id", "source", "project_id")
+
+
+@query("t7_refused_names", """
+WITH req AS (SELECT p_partkey AS request_id, lower(p_name) AS name_key FROM part),
+old AS (SELECT 'prov_' || min(p_partkey) AS id, lower(p_name) AS name_key FROM part
+        WHERE p_retailprice < 901 GROUP BY 2),
+first AS (SELECT name_key, min(request_id) AS first_id FROM req GROUP BY 1)
+SELECT request_id, name_key,
+  CASE WHEN o.id IS NULL AND request_id = first_id THEN 'created' ELSE 'already_exists' END AS outcome,
+  coalesce(o.id, 'new_' || first_id) AS owner_id
+FROM req JOIN first USING (name_key) LEFT JOIN old o USING (name_key)""")
+def _(t):
+    return _wanted_names(t, "error")
+
+
+@query("t2_projects_visible_to_one", f"WITH {PROJECTS} SELECT id, name, provider_id, is_only_me FROM proj WHERE provider_id = '7' OR NOT is_only_me")
+def _(t):
+    things = t.projects.withColumn("is_private", F.col("is_only_me"))
+    return tenancy.visible(things, "7").select("id", "name", "provider_id", "is_only_me")
+
+
+@query("t3_project_decisions", f"""
+WITH {PROJECTS}, req AS (
+  SELECT event_id, 'prj_' || (event_id * 7 % ((SELECT count(*) FROM supplier) + 5)) AS thing_id,
+         CAST(user_id % 25 AS VARCHAR) AS principal, event_type = 'signup' AS superuser,
+         CASE WHEN value < 8 THEN 'write' ELSE 'read' END AS need FROM events)
+SELECT r.*, CASE WHEN t.id IS NULL THEN 'not_found'
+    WHEN NOT (superuser OR principal = provider_id OR NOT is_only_me) THEN 'not_found'
+    WHEN need = 'write' AND NOT (superuser OR principal = provider_id) THEN 'forbidden' ELSE 'ok' END AS decision
+FROM req r LEFT JOIN proj t ON t.id = r.thing_id""")
+def _(t):
+    n = t.tab("supplier").count()
+    return tenancy.decide(_access_requests(t, "prj_", n), t.projects.withColumn("is_private", F.col("is_only_me")), n)
 
 
 @query("t10_metrics", f"""
-WITH {RUNS}, ent AS (SELECT entity, count(*) AS row_count FROM runs WHERE rows_inserted > 20 GROUP BY 1)
+WITH {RUNS}, {CUST}, {ORD}, mine AS (
+  SELECT * REPLACE (CASE WHEN entity = 'signup' THEN 'customers' WHEN entity = 'purchase' THEN 'orders' ELSE entity END AS entity) FROM runs),
+ent AS (SELECT 'customers' AS entity, count(*) AS row_count FROM cust UNION ALL SELECT 'orders', count(*) FROM ord)
 SELECT entity, CAST(50000 AS BIGINT) AS max_rows, arg_max(finished_at, run_id) AS last_run,
        arg_max(status, run_id) AS last_status, any_value(coalesce(row_count, 0)) AS row_count
-FROM runs LEFT JOIN ent USING (entity) GROUP BY 1""")
+FROM mine LEFT JOIN ent USING (entity) GROUP BY 1""")
 def _(t):
-    named = t.runs.select("entity").distinct().withColumn("max_rows", F.lit(50000).cast("bigint"))
-    return tenancy.metrics(named, t.runs.filter("rows_inserted > 20"), t.runs)
+    """Signups are the runs of the customers, purchases those of the orders; the rest has no rows."""
+    kind = F.col("entity")
+    mine = t.runs.withColumn("entity", F.when(kind == "signup", "customers").when(kind == "purchase", "orders").otherwise(kind))
+    named = mine.select("entity").distinct().withColumn("max_rows", F.lit(50000).cast("bigint"))
+    return tenancy.metrics(named, _entity_rows(t), mine)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import replace as with_changes
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import batches, bulk, generate, rows, summaries
 from tidemark.plans.catalog import (
-    CUST, CUST_LATEST, CUSTOMERS, LOG, ORD, ORDERS, RUNS, TS, Roles, customer_values_sql, draw_sql,
+    CUST, CUST_LATEST, CUSTOMERS, LOG, ORD, ORDERS, ORDERS_CONFIG, RUNS, TS, Roles, customer_values_sql, draw_sql,
     order_values_sql, query, uuid_sql,
 )
+from tidemark.schema import declare
+from tidemark.session import scratch_path
 
 N_ORDERS = "(SELECT count(*) FROM orders)"
 N_CUSTOMERS = "(SELECT count(*) FROM customer)"
@@ -144,7 +144,7 @@ def _(t):
     counts = {"customers": t.tab("customer").count() // 2, "orders": t.tab("orders").count() // 4}
     _, log, _ = batches.run_batch(
         t.spark, {"customers": CUSTOMERS, "orders": ORDERS}, {"customers": t.customers, "orders": t.orders},
-        t.log, t.ts, mode="replace", entities=["customers"], counts=counts, seed=24, confirm=True, row_limit=None)
+        t.log, t.ts, mode="replace", entities=["customers"], counts=counts, seed=24, confirm=True)
     return log.groupBy("entity", "op").agg(
         F.count(F.lit(1)).alias("n"), F.min("version").alias("first_version"), F.max("version").alias("last_version"))
 
@@ -157,7 +157,7 @@ def _(t):
     _, log, _ = batches.run_batch(
         t.spark, {"customers": CUSTOMERS, "orders": ORDERS}, {"customers": t.customers, "orders": t.orders},
         t.log, t.ts, mode="reset", entities=["orders"], counts={"orders": t.tab("orders").count() // 3},
-        seed=25, confirm=True, row_limit=None)
+        seed=25, confirm=True)
     return log
 
 
@@ -226,15 +226,15 @@ def _(t):
     n = t.tab("customer").count()
     out, _, _, _ = batches.run_changes(
         t.spark, {"customers": CUSTOMERS, "orders": ORDERS}, {"customers": t.customers, "orders": t.orders},
-        t.log, t.ts, seed=33, inserts=n // 10, updates=n // 20, deletes=n // 20, row_limit=None)
+        t.log, t.ts, seed=33, inserts=n // 10, updates=n // 20, deletes=n // 20)
     old = t.tab("orders").select(F.col("o_orderkey").cast("string").alias("order_id"))
     return out["orders"].join(old, "order_id", "left_anti").select("order_id", "customer_id", "version")
 
 
 @query("i9_tick_sizes", f"""
 WITH {ORD}, c AS (SELECT count(*) FILTER (deleted_at IS NULL) AS live_rows, count(*) AS total_rows FROM ord),
-u AS (SELECT *, 5 + {draw_sql(41, 'orders', 'tick', '0')} % 11 AS inserts, CAST(floor(live_rows * 5 / 100.0) AS BIGINT) AS updates FROM c)
-SELECT *, CAST(floor((live_rows - updates) * 1 / 100.0) AS BIGINT) AS deletes FROM u""")
+u AS (SELECT *, 7 + {draw_sql(41, 'orders', 'tick', '0')} % 18 AS inserts, CAST(floor(live_rows * 4 / 100.0) AS BIGINT) AS updates FROM c)
+SELECT *, CAST(floor((live_rows - updates) * 3 / 100.0) AS BIGINT) AS deletes FROM u""")
 def _(t):
     sized = batches.tick_sizes(summaries.live_and_total(t.orders, "deleted_at"), ORDERS, 41)
     return sized.select("live_rows", "total_rows", "inserts", "updates", "deletes")
@@ -253,14 +253,14 @@ def _(t):
 
 
 _TICK = f"""{LOG}, {RUNS}, {CUST}, {ORD}, c AS (SELECT count(*) FILTER (deleted_at IS NULL) AS n FROM ord),
-s AS (SELECT 5 + {draw_sql(41, 'orders', 'tick', '0')} % 11 AS i, CAST(floor(n * 5 / 100.0) AS BIGINT) AS u,
-             CAST(floor((n - CAST(floor(n * 5 / 100.0) AS BIGINT)) / 100.0) AS BIGINT) AS d FROM c),
+s AS (SELECT 7 + {draw_sql(41, 'orders', 'tick', '0')} % 18 AS i, CAST(floor(n * 4 / 100.0) AS BIGINT) AS u,
+             CAST(floor((n - CAST(floor(n * 4 / 100.0) AS BIGINT)) * 3 / 100.0) AS BIGINT) AS d FROM c),
 ranked AS (SELECT order_id, row_number() OVER (ORDER BY md5('41|sample|' || order_id)) AS idx FROM ord WHERE deleted_at IS NULL),
 {_parents_sql('pidx', 'cust')}, new AS ({new_orders_sql(41, '(SELECT i FROM s)', f'{ORDERS_BASE} + i + 1')})"""
 
 
 def _tick(t: Roles):
-    return batches.tick(t.spark, ORDERS, t.orders, t.log, t.runs, 41, t.ts, _all_customers(t))
+    return batches.tick(t.spark, ORDERS, t.orders, t.log, 41, t.ts, _all_customers(t))
 
 
 @query("i11_tick_log", f"""
@@ -269,14 +269,37 @@ SELECT 'orders' AS entity, order_id AS pk_value, 'insert' AS op, version, {TS} A
 UNION ALL SELECT 'orders', order_id, CASE WHEN idx <= u THEN 'update' ELSE 'delete' END, {ORDERS_BASE} + i + idx, {TS}
 FROM ranked, s WHERE idx <= u + d""")
 def _(t):
-    return _tick(t)[0].log
+    return _tick(t).log
 
 
 @query("i11_tick_record", f"""
 WITH {_TICK} SELECT (SELECT max(run_id) + 1 FROM runs) AS run_id, 'orders' AS entity, {TS} AS started_at,
   {TS} AS finished_at, i AS rows_inserted, u AS rows_mutated, d AS rows_deleted, 'success' AS status FROM s""")
 def _(t):
-    return _tick(t)[1]
+    """The record is made after the batch has been stored."""
+    def write():
+        made = _tick(t)
+        made.rows.write.parquet(scratch_path(t.spark, "tick-rows"))
+        made.log.write.parquet(scratch_path(t.spark, "tick-log"))
+        return made.stats
+
+    return batches.recorded(t.spark, t.runs, "orders", t.ts, write)
+
+
+@query("i11_failed_tick_record", f"""
+WITH {RUNS} SELECT (SELECT max(run_id) + 1 FROM runs) AS run_id, 'orders' AS entity, {TS} AS started_at,
+  {TS} AS finished_at, CAST(0 AS BIGINT) AS rows_inserted, CAST(0 AS BIGINT) AS rows_mutated, CAST(0 AS BIGINT) AS rows_deleted, 'failed' AS status""")
+def _(t):
+    """A tick whose rows cannot be stored: the folder is taken."""
+    path = scratch_path(t.spark, "taken")
+    t.runs.limit(1).write.parquet(path)
+
+    def write():
+        made = _tick(t)
+        made.rows.write.parquet(path)
+        return made.stats
+
+    return batches.recorded(t.spark, t.runs, "orders", t.ts, write)
 
 
 @query("i12_reproducible", f"SELECT {N_ORDERS} AS n_rows, CAST(0 AS BIGINT) AS n_different")
@@ -318,7 +341,7 @@ UNION ALL SELECT 'no customers', 'missing_parent_rows', {N_ORDERS}""")
 def _(t):
     children = t.tab("orders").select("o_orderkey")
     found = []
-    for label, keys in (("all customers", t.customers), ("no customers", t.customers.filter("balance < 0"))):
+    for label, keys in (("all customers", t.customers), ("no customers", t.customers.filter("balance < -1000000"))):
         try:
             generate.assign_parents(children, keys, "customer_id", "customer_id", F.col("o_orderkey"))
             found.append((label, None, children.count()))
@@ -331,34 +354,32 @@ def _(t):
 WITH {CUST}, {_parents_sql('pidx', 'cust')}, new AS ({new_orders_sql(51, N_ORDERS, 'i + 1')}) SELECT {ORDER_COLUMNS} FROM new""")
 def _(t):
     """Customers are there and stay; orders are empty and get their declared number of rows."""
-    declared = with_changes(ORDERS, initial_count=t.tab("orders").count())
+    declared = declare(ORDERS_CONFIG | {"seed": {"initial_count": t.tab("orders").count()}}, siblings=["customers"])
     data = {"customers": t.customers, "orders": t.orders.filter("order_id IS NULL")}
     return generate.seed_missing(
         t.spark, {"customers": CUSTOMERS, "orders": declared}, data, 51, t.ts)["orders"]
 
 
 # ----------------------------------------------------------------- bulk payloads
+# Positions with gaps, as row ids of a distributed job have them.
 _CREATED = f"""{LOG}, {CUST}, {ORD}, {_parents_sql('pidx', 'cust')},
 gen AS ({new_orders_sql(61, N_ORDERS, f'{ORDERS_BASE} + i + 1')}),
-given AS (SELECT o_orderkey AS i, c.customer_id AS cid, o_totalprice, o_orderstatus
-          FROM orders LEFT JOIN cust c ON c.customer_id = CAST(o_custkey AS VARCHAR))"""
+given AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, c.customer_id AS cid, o_totalprice, o_orderstatus
+          FROM orders LEFT JOIN cust c ON c.customer_id = CAST(o_custkey AS VARCHAR) AND o_orderpriority <> '1-URGENT')"""
 
 
 def _payloads(t: Roles):
-    """One partial order per given order: its price always, its customer if known, a null
+    """One partial order per given order: its price always, its customer unless urgent, a null
     note for finished ones."""
-    known = t.customers.select(F.col("customer_id").alias("_cid"))
-    joined = t.tab("orders").join(known, F.col("o_custkey").cast("string") == F.col("_cid"), "left")
     text = F.concat(
         F.lit('{"amount": '), F.col("o_totalprice").cast("string"),
-        F.when(F.col("_cid").isNotNull(), F.concat(F.lit(', "customer_id": "'), "_cid", F.lit('"'))).otherwise(""),
+        F.when(F.col("o_orderpriority") != "1-URGENT", F.concat(F.lit(', "customer_id": "'), F.col("o_custkey").cast("string"), F.lit('"'))).otherwise(""),
         F.when(F.col("o_orderstatus") == "F", ', "note": null').otherwise(""), F.lit("}"))
-    return joined.select(F.col("o_orderkey").alias("row_pos"), text.alias("payload"))
+    return t.tab("orders").select((F.col("o_orderkey") * 7 + 3).alias("row_pos"), text.alias("payload"))
 
 
 def _created(t: Roles):
-    return bulk.create_rows(
-        t.spark, ORDERS, t.orders, t.log, _payloads(t), 61, t.ts, _all_customers(t), row_limit=None)
+    return bulk.create_rows(t.spark, ORDERS, t.orders, t.log, _payloads(t), 61, t.ts, _all_customers(t))
 
 
 @query("i17_bulk_created", f"""
@@ -371,6 +392,56 @@ def _(t):
     return _created(t).rows
 
 
+@query("i17_bulk_created_log", f"""
+WITH {_CREATED} SELECT 'orders' AS entity, order_id AS pk_value, 'insert' AS op, version, {TS} AS changed_at FROM gen""")
+def _(t):
+    return _created(t).log
+
+
+@query("i17_repeated_position", f"""
+SELECT 'repeated_position' AS error, {N_ORDERS} + 1 AS n_payloads""")
+def _(t):
+    """One position given twice: the whole batch is refused."""
+    twice = _payloads(t).unionByName(_payloads(t).orderBy("row_pos").limit(1))
+    try:
+        bulk.create_rows(t.spark, ORDERS, t.orders, t.log, twice, 61, t.ts, _all_customers(t))
+        error = None
+    except bulk.InvalidBatch as exc:
+        error = str(exc).split(":")[0]
+    return t.spark.createDataFrame([(error, twice.count())], "error string, n_payloads bigint")
+
+
+@query("i13_capped_writes", f"""
+WITH {ORD}, c AS (SELECT count(*) AS n FROM ord)
+SELECT 'append over the cap' AS request, 'quota_exceeded' AS error, CAST(NULL AS BIGINT) AS inserted FROM c
+UNION ALL SELECT 'append up to the cap', NULL, 4 FROM c
+UNION ALL SELECT 'change batch over the cap', 'quota_exceeded', NULL FROM c
+UNION ALL SELECT 'default change batch', NULL, 4 FROM c""")
+def _(t):
+    """A cap with room for four more orders."""
+    capped = {"customers": CUSTOMERS, "orders": declare(ORDERS_CONFIG, siblings=["customers"], max_rows=t.orders.count() + 4)}
+    data = {"customers": t.customers, "orders": t.orders}
+
+    def outcome(write):
+        try:
+            stats = write()
+            return None, [s["inserted"] for s in stats if s["entity"] == "orders"][0]
+        except ValueError as exc:
+            return str(exc).split(":")[0], None
+
+    append = lambda n: lambda: batches.run_batch(t.spark, capped, data, t.log, t.ts, entities=["orders"], count=n, seed=71)[2]
+    change = lambda n: lambda: batches.run_changes(t.spark, capped, data, t.log, t.ts, entities=["orders"], inserts=n, updates=0, deletes=0, seed=72)[2]
+    found = [("append over the cap", *outcome(append(5))), ("append up to the cap", *outcome(append(4))),
+             ("change batch over the cap", *outcome(change(5))), ("default change batch", *outcome(change(None)))]
+    return t.spark.createDataFrame(found, "request string, error string, inserted bigint")
+
+
+@query("i7_reset_runs", f"WITH {RUNS} SELECT * FROM runs WHERE entity NOT IN ('view', 'click')")
+def _(t):
+    """A reset ends the run history of its tables with their log."""
+    return batches.forget(t.runs, ["view", "click"])
+
+
 _REQUESTS = """req AS (
   SELECT event_id AS row_pos, CAST(user_id * 3 AS VARCHAR) AS key, event_type, value, ts,
          CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),

@@ -23,13 +23,8 @@ COLUMN_TYPES = {
 AUTO_ROLES = ["created", "updated", "soft_delete", "version"]
 CADENCES = {"hourly": "1 hour", "daily": "1 day", "weekly": "7 days"}
 
-# Bounds of a declared table.
-MAX_FIELDS = 40
-MAX_ENUM_VALUES = 50
-MAX_ENUM_VALUE_LENGTH = 64
-MAX_INITIAL_COUNT = 10_000
-MAX_NEW_RECORDS = 1000
-MAX_ROWS_PER_TABLE = 50_000
+# Bounds a caller may set on declared tables (``declare(limits=...)``); none by default.
+LIMITS = {"fields", "enum_values", "enum_value_length", "initial_count", "new_records"}
 
 _FIELD_KEYS = {
     "type", "primary_key", "nullable", "min", "max", "values", "ref_entity", "auto", "key_label",
@@ -103,7 +98,7 @@ def _check(ok: bool, message: str) -> None:
         _refuse(message)
 
 
-def _field(name: str, spec: dict, table: str, siblings) -> StructField:
+def _field(name: str, spec: dict, table: str, siblings, limits: dict) -> StructField:
     where = f"field '{name}'"
     _check(bool(re.match(FIELD_NAME_PATTERN, name)), f"{where} is not a plain lowercase name")
     _check(not set(spec) - _FIELD_KEYS, f"{where} has keys {sorted(set(spec) - _FIELD_KEYS)}")
@@ -116,10 +111,10 @@ def _field(name: str, spec: dict, table: str, siblings) -> StructField:
     values = spec.get("values")
     if kind == "enum":
         _check(
-            isinstance(values, list) and 0 < len(values) <= MAX_ENUM_VALUES
+            isinstance(values, list) and 0 < len(values) <= limits.get("enum_values", len(values))
             and len(set(values)) == len(values)
-            and all(isinstance(v, str) and 0 < len(v) <= MAX_ENUM_VALUE_LENGTH for v in values),
-            f"{where}: an enum lists 1-{MAX_ENUM_VALUES} distinct short texts")
+            and all(isinstance(v, str) and 0 < len(v) <= limits.get("enum_value_length", len(v)) for v in values),
+            f"{where}: an enum lists distinct texts, within the limits set")
     else:
         _check(values is None, f"{where}: only an enum has values")
     parent = spec.get("ref_entity")
@@ -133,26 +128,30 @@ def _field(name: str, spec: dict, table: str, siblings) -> StructField:
     _check(low is None or high is None or low <= high, f"{where}: min is above max")
     label = spec.get("key_label")
     _check(label is None or label in LABELS, f"{where}: unknown key_label '{label}'")
-    _check(label is not None or spec.get("ik_options") is None, f"{where}: ik_options need a label")
+    _check(spec.get("ik_options") is None, f"{where}: labels take no ik_options here")
     kept = {k: v for k, v in spec.items() if v is not None and k != "ik_options"}
     nullable = bool(spec.get("nullable")) or auto == "soft_delete"
     return StructField(name, COLUMN_TYPES[kind], nullable, metadata={**kept, "nullable": nullable})
 
 
-def declare(config: dict, siblings=(), max_rows: int | None = None) -> Table:
-    """Check a config and turn it into a Table. ``siblings`` are the names it may reference."""
+def declare(config: dict, siblings=(), max_rows: int | None = None, limits: dict | None = None) -> Table:
+    """Check a config and turn it into a Table. ``siblings`` are the names it may reference,
+    ``limits`` bounds by the names in LIMITS."""
+    limits = dict(limits or {})
+    _check(not set(limits) - LIMITS, f"unknown limits {sorted(set(limits) - LIMITS)}")
     name = config.get("entity") or config.get("name")
     _check(isinstance(name, str) and bool(re.match(TABLE_NAME_PATTERN, name)),
            f"'{name}' is not a plain lowercase table name")
     _check(name not in RESERVED_TABLE_NAMES, f"'{name}' is a reserved name")
-    extra = set(config) - {"entity", "name", "fields", "seed", "update_schedule"}
+    # failure_injection is for services that simulate faults; it says nothing about the data
+    extra = set(config) - {"entity", "name", "fields", "seed", "update_schedule", "failure_injection"}
     _check(not extra, f"unknown keys {sorted(extra)}")
     specs = config.get("fields")
     _check(isinstance(specs, dict) and len(specs) > 0, "fields must be a non-empty mapping")
     if "version" not in specs:
         specs = {**specs, "version": {"type": "int", "auto": "version"}}
-    _check(len(specs) <= MAX_FIELDS, f"more than {MAX_FIELDS} fields")
-    fields = [_field(n, s, name, set(siblings)) for n, s in specs.items()]
+    _check(len(specs) <= limits.get("fields", len(specs)), f"more than {limits.get('fields')} fields")
+    fields = [_field(n, s, name, set(siblings), limits) for n, s in specs.items()]
     keys = [f for f in fields if f.metadata.get("primary_key")]
     _check(len(keys) == 1, "exactly one field is the primary key")
     _check(keys[0].metadata["type"] == "uuid" and not keys[0].metadata.get("auto"),
@@ -161,13 +160,13 @@ def declare(config: dict, siblings=(), max_rows: int | None = None) -> Table:
            "at most one soft_delete field")
 
     count = config.get("seed", {}).get("initial_count", 50)
-    _check(0 <= count <= MAX_INITIAL_COUNT, f"initial_count is outside 0-{MAX_INITIAL_COUNT}")
+    _check(0 <= count <= limits.get("initial_count", count), "initial_count is negative or beyond its limit")
     plan = config.get("update_schedule", {})
     _check(not set(plan) - _SCHEDULE_KEYS, "unknown update_schedule keys")
     cadence = plan.get("cadence", "hourly")
     _check(cadence in CADENCES, f"cadence '{cadence}' is not one of {sorted(CADENCES)}")
     low, high = plan.get("new_records", (0, 0))
-    _check(0 <= low <= high <= MAX_NEW_RECORDS, "new_records is a low, high pair in range")
+    _check(0 <= low <= high <= limits.get("new_records", high), "new_records is a low, high pair in range")
     mutate, delete = plan.get("mutate_existing_pct", 0.0), plan.get("soft_delete_pct", 0.0)
     _check(0 <= mutate <= 100 and 0 <= delete <= 100, "percentages lie between 0 and 100")
     return Table(name, StructType(fields), count, cadence, (low, high), mutate, delete, max_rows)

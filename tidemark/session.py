@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,20 +28,28 @@ def local_session(app: str = "tidemark", cores: str = "8", **settings: str) -> S
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return use_scratch(spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared folder the session names in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and every executor can reach")
     return f"{base.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def use_scratch(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Names the scratch folder where the session has none: ``folder``, or, for a session within this
+    process only, a new folder of this machine. On a cluster the folder must be a shared one."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+        if not folder and not alone:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and every executor can reach")
+        spark.conf.set("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="tidemark-"))
+    return spark
+
+
 def pin(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
