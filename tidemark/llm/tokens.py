@@ -1,78 +1,91 @@
-"""Token ids by the tokenizers library, one library call per new word.
+"""Token ids by the tokenizers library, one call of its model per new piece of text.
 
-Byte-pair merges never cross the pieces that a tokenizer's own splitting makes, so ids of a piece do not depend on
-its neighbours. Text is cut where both kinds of tokenizer cut in any case, the library encodes each new piece, and
-a worker remembers pieces (REMEMBERED at most) for the rows that follow. The ids are those of encoding whole texts.
+A tokenizer normalises a text, splits it into pieces by a pattern and merges the bytes of each piece on its own, so
+the ids of a piece do not depend on its neighbours. Texts are cut into runs at white space, where both kinds of
+tokenizer cut in any case; a worker remembers the ids of runs and pieces (REMEMBERED at most of each) and hands
+only new pieces to the library's model. The ids are those of encoding the whole text with the library.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
+import regex
 
-REMEMBERED = 500_000  # pieces a worker keeps, some 100 MB
+REMEMBERED = 700_000  # runs, and pieces, that a worker keeps: some 200 MB
 #: Unicode white space, as the splitting patterns of the tokenizers take it (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: With its leading blank; runs of white space give their last character to the word behind.
-_SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The splitting patterns of both kinds of tokenizer (fixed values).
+SPACED_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run with its leading blank; white space gives its last character to the run behind.
+_SPACED_RUN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 _LOADED: dict[tuple[int, str], Encoder] = {}
 
 
+def _alphabet() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_CHARACTER = _alphabet()
+
+
 class Encoder:
-    """ids(text) as little-endian unsigned 16- or 32-bit numbers in bytes."""
+    """ids(texts) as little-endian unsigned 16- or 32-bit numbers in bytes."""
 
     def __init__(self, definition: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.spaced = kind == "spaced"
-        # a piece of its own in any text, with one id that no other piece has
-        self.mark = "\n" if self.spaced else " 7 "
-        self.mark_in = "\n" if self.spaced else "7"
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.known: dict = {}
-
-    def pieces(self, text: str) -> list:
-        # white space is dropped by the other kind, and letter case too
-        return _SPACED.findall(text) if self.spaced else text.encode().lower().split()
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _learn(self, pieces: list) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        text = lambda p: p if self.spaced else p.decode()
-        plain = []
-        for p in pieces:
-            if self.mark_in in text(p) or (self.spaced and p.isspace()):
-                self.known[p] = self._encode(text(p)).tobytes()
-            else:
-                plain.append(p)
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = self._encode(self.mark.join(map(text, some)))
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("the tokenizer does not keep pieces apart")
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
-            self.known.update((p, raw[x:y]) for p, x, y in zip(some, starts, ends))
+        self.split = regex.compile(SPACED_PIECE if self.spaced else PLAIN_PIECE).findall
+        self.runs: dict = {}
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, run: str | bytes) -> list[str]:
+        text = run if self.spaced else run.decode()
+        if self.normalizer is not None and not text.isascii():  # runs of the plain kind are lowered ASCII already
+            text = self.normalizer.normalize_str(text)
+        if text.isalpha() or (self.spaced and text[1:].isalpha() and text[0] == " "):  # letters are one piece
+            return [text]
+        return self.split(text)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            spelled = piece.encode().decode("latin-1").translate(_CHARACTER)
+            ids = self.known[piece] = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return ids
+
+    def _learn(self, texts: list[list]) -> None:
+        """Ids of all runs of the given texts; afterwards every one of them is known."""
+        runs = set().union(*texts)
+        new = runs.difference(self.runs)
+        if len(self.runs) + len(new) > REMEMBERED:
+            self.runs.clear()
+            new = runs
+        for run in new:
+            self.runs[run] = b"".join(map(self._piece, self.pieces(run)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end id."""
         out = []
-        for text in texts:
-            pieces = self.pieces(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            except KeyError:
-                self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
+        for at in range(0, len(texts), 64):
+            # the plain kind drops white space and letter case
+            some = [_SPACED_RUN.findall(t) if self.spaced else t.encode().lower().split() for t in texts[at : at + 64]]
+            self._learn(some)
+            out += [b"".join(map(self.runs.__getitem__, runs)) for runs in some]
         return out
 
 
