@@ -58,4 +58,16 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.pinned_at = path
+    return stored
+
+
+def unpin(*frames: DataFrame | None) -> None:
+    """Remove what ``pin`` stored, once nothing will read it again: the rounds of a loop that are behind it."""
+    for df in frames:
+        if df is not None and getattr(df, "pinned_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.pinned_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            df.pinned_at = None
