@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import pin
+from tidemark.session import pin, unpin
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -24,12 +24,14 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: E731,B023
         step = pin(both.groupBy("u").agg(F.min(order("v")).alias("m"))
                    .select("u", F.least(order("u"), F.col("m"))["n"].alias("to")), "step")
+        before = labels
         labels = pin(step.toDF("node", "root") if labels is None else
                      labels.join(step, labels.root == step.u, "left").select("node", F.coalesce("to", "root").alias("root")),
                      "labels")
         after = (live.join(step.toDF("u", "x"), "u").select("x", "v")
                  .join(step.toDF("v", "y"), "v").where("x != y")
                  .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-        live = pin(after, "edges")
-        turn += 1
+        after = pin(after, "edges")
+        unpin(before, step, live)
+        live, turn = after, turn + 1
     return labels if labels is not None else live.toDF("node", "root")

@@ -78,7 +78,7 @@ def dart_minhash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_doc
         darts = []
         while len(active):
             n += 1
-            h = mix(base[active] + _THROW * np.uint64(n))
+            h = mix(base[active] + np.uint64(int(_THROW) * n % (1 << 64)))
             rank = rank - np.log(_uniform(h)) / (k * width[active])
             below = rank < limit[owner[active]]
             active, rank, h = active[below], rank[below], h[below]

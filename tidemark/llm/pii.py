@@ -185,9 +185,9 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _joined(left: DataFrame, spans: DataFrame) -> DataFrame:
+def _joined(left: DataFrame, hashed: str, spans: DataFrame) -> DataFrame:
     spans = spans.withColumnsRenamed({"doc_id": "_tm_doc", "h": "_tm_hash", "more": "_tm_more"})
-    return left.join(spans, left["doc_id"].eqNullSafe(F.col("_tm_doc")) & (left["h" if "h" in left.columns else "_tm_h"] == F.col("_tm_hash")), "left")
+    return left.join(spans, left["doc_id"].eqNullSafe(F.col("_tm_doc")) & (left[hashed] == F.col("_tm_hash")), "left")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     get equal spans; other columns are not read.
     """
     scanned = pin(scan(docs), "scan")
-    both = _joined(scanned, found_spans(scanned, discovered(scanned)))
+    both = _joined(scanned, "h", found_spans(scanned, discovered(scanned)))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     more = F.coalesce("_tm_more", none)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -220,7 +220,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in ``text``, and ``n_chars`` (if any) counted again. All rows stay."""
     scanned = pin(scan(docs), "scan")
     marked = docs.withColumn("_tm_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    marked = _joined(marked, found_spans(scanned, discovered(scanned))).select(*docs.columns, "_tm_more")
+    marked = _joined(marked, "_tm_h", found_spans(scanned, discovered(scanned))).select(*docs.columns, "_tm_more")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
