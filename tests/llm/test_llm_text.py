@@ -17,7 +17,7 @@ from tidemark.llm.tokens import encoder
 
 ODD = ["", " ", "\n", "one", "a  b\n\n c\t\td  ", "don't I'll we've\u00a0x\u2003y \u3000z", "\u00e9,e\u0301! \u03a9 \u03a3\u0391\u03a3 \u0130stanbul \ufb01",
        "\u65e5\u672c\u8a9e \u30c6\u30b9\u30c8 \u0939\u093f\u0928\u094d\u0926\u0940, \u05e2\u05d1\u05e8\u05d9\u05ea", "<|endoftext|> <|startoftext|>a", "a7b 7 77 \uff17 \u00bd",
-       "\x00\x1c\x85 x\x0by\r\n\r\n", "'s 't it's IT'S", "\U0001f44d\U0001f3fd a\u200db", "x  \n  y", "token token, TOKEN!"]
+       "\x00\x1c\x85 x\x0by\r\n\r\n", "'s 't it's IT'S", "\U0001f44d\U0001f3fd a\u200db", "x  \n  y", "a\t\n", "a\t\n\tb c\r\nd", "a \tb\t c", "a\n\u3000b", "token token, TOKEN!"]
 
 
 def plain_words(text):

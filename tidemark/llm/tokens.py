@@ -15,13 +15,11 @@ import numpy as np
 import regex
 
 REMEMBERED = 700_000  # runs, and pieces, that a worker keeps: some 200 MB
-#: Unicode white space, as the splitting patterns of the tokenizers take it (fixed values).
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The splitting patterns of both kinds of tokenizer (fixed values).
 SPACED_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A run with its leading blank; white space gives its last character to the run behind.
-_SPACED_RUN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: White space next to white space, which may share a piece.
+_TOUCHING = re.compile(r"\s\s").search
 
 _LOADED: dict[tuple[int, str], Encoder] = {}
 
@@ -59,6 +57,23 @@ class Encoder:
             return [text]
         return self.split(text)
 
+    def _cut(self, text: str) -> list:
+        """Runs of a text, keys of ``runs``. The plain kind drops white space and letter case. The spaced kind cuts
+        before each blank and line break that stands alone; a run stands for itself behind a blank, unless it
+        begins with a line break or is the text's first (marked by NUL and a blank)."""
+        if not self.spaced:
+            return text.encode().lower().split()
+        if _TOUCHING(text):
+            return ["\0 " + text]
+        runs = text.replace("\n", " \n").split(" ")
+        runs[0] = "\0 " + runs[0]
+        return runs
+
+    def _text_of(self, run: str | bytes) -> str | bytes:
+        if not self.spaced or run[:1] == "\n":
+            return run
+        return run[2:] if run[:2] == "\0 " else " " + run
+
     def _piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
@@ -76,16 +91,18 @@ class Encoder:
             self.runs.clear()
             new = runs
         for run in new:
-            self.runs[run] = b"".join(map(self._piece, self.pieces(run)))
+            self.runs[run] = b"".join(map(self._piece, self.pieces(self._text_of(run))))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end id."""
         out = []
         for at in range(0, len(texts), 64):
-            # the plain kind drops white space and letter case
-            some = [_SPACED_RUN.findall(t) if self.spaced else t.encode().lower().split() for t in texts[at : at + 64]]
+            some = [self._cut(t) for t in texts[at : at + 64]]
             self._learn(some)
             out += [b"".join(map(self.runs.__getitem__, runs)) for runs in some]
+            if self.spaced:
+                for runs in some:
+                    self.runs.pop(runs[0], None)  # a text's first run will hardly come again
         return out
 
 
