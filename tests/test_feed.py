@@ -153,7 +153,7 @@ def test_streamed_states_equal_the_batch_result(spark, scratch):
     for low in (0, 17, 34):
         log.filter((F.col("version") > low) & (F.col("version") <= low + 17)).write.mode("append").parquet(path)
         stream = feeds.key_states(feeds.follow(spark, path, log.schema))
-        feeds.run_to_end(stream, out, cursor)
+        feeds.update_to_end(stream, out, cursor)
     got = feeds.current_states(feeds.read_sink(spark, out, stream)).collect()
     want = feed.last_change(log, "entity", "pk_value").collect()
     assert sorted((r.pk_value, r.version, r.op) for r in got) == sorted((r.pk_value, r.version, r.op) for r in want)

@@ -6,8 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from tidemark.plans import QUERIES as OWN
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# the corpus queries have tests of their own
+QUERIES = {n: q for n, q in entry.queries().items() if n in OWN}
+SQL = {n: s for n, s in entry.oracle_sql().items() if n in OWN}
 # No part of the smallest table points back at itself through its sizes.
 EMPTY_AT_THIS_SIZE = {"g6_stuck_edges"}
 
@@ -25,6 +28,18 @@ def test_matches_sql(spark, con, sf_dir, name):
     assert problem is None, problem
 
 
+# queries whose joins Catalyst broadcasts at this size: once more as if no side were small
+SHUFFLED = tuple(n for n in sorted(QUERIES) if n.startswith((
+    "b2_", "c5_", "c6_", "c8_", "c9_", "c10_", "c12_", "c13_", "g1_", "g3_", "g5_", "i8_change_rows", "i17_bulk_created", "i18_bulk_updated",
+    "i19_bulk_deleted", "t1_", "t3_", "t7_", "t8_", "v7_", "v8_first_errors")))
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_matches_sql_without_broadcast(spark, con, sf_dir, name, no_broadcast):
+    problem = oracle.compare(spark, con, sf_dir, name, QUERIES[name], SQL.get(name))
+    assert problem is None, problem
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 

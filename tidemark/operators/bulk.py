@@ -7,16 +7,14 @@ returns the new table and the log entries it adds.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType
 
-from tidemark.functions.text import parse_iso
 from tidemark.operators.batches import Mutation, log_rows
 from tidemark.operators.feed import entity_next
 from tidemark.operators.generate import check_new_keys, generate, new_keys
 from tidemark.operators.ranking import index_by_integer
 from tidemark.operators.skew import fits_broadcast, join_unique
 from tidemark.operators.validation import (
-    first_failure, keys_of, request_size, validate,
+    first_failure, request_size, validate,
 )
 from tidemark.schema import Table
 from tidemark.session import pin
@@ -26,53 +24,35 @@ class InvalidBatch(ValueError):
     """A bulk request was refused as a whole."""
 
 
-def with_given(payloads: DataFrame, table: Table) -> DataFrame:
-    """Adds ``_given_<field>`` and ``_has_<field>`` for every writable field. Presence is kept
-    apart from the value: an explicit null is given too."""
-    as_text = StructType([
-        StructField(f.name, StringType() if isinstance(f.dataType, TimestampNTZType) else f.dataType)
-        for f in table.writable])
-    out = payloads.withColumn("_values", F.from_json("payload", as_text)).withColumn(
-        "_keys", keys_of(F.col("payload")))
-    for f in table.writable:
-        value = F.col(f"_values.{f.name}")
-        if isinstance(f.dataType, TimestampNTZType):
-            value = parse_iso(value)
-        out = out.withColumn(f"_given_{f.name}", value).withColumn(
-            f"_has_{f.name}", F.array_contains("_keys", f.name))
-    return out.drop("_values", "_keys")
-
-
-def check_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None,
-                row_limit: int | None = None) -> int:
-    """Refuse the batch if it is too large, repeats a position or holds a bad row; otherwise its row count."""
-    size = request_size(payloads, rows.count() if table.max_rows is not None else 0,
-                        table.max_rows, row_limit).first()
+def read_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None,
+               row_limit: int | None = None) -> tuple[DataFrame, int]:
+    """The payloads of a good batch as stored typed fields, and how many they are. A batch that is too large,
+    repeats a position or holds a bad row is refused as a whole."""
+    read = pin(validate(payloads, table, parents, given=True), "payloads")  # parsed once, read from here on
+    size = request_size(read, rows.count() if table.max_rows is not None else 0, table.max_rows, row_limit).first()
     if size["status"] != "ok":
         raise InvalidBatch(f"{size['status']}: {size['rows_after']} rows")
-    again = payloads.groupBy("row_pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR row_pos IS NULL").first()
+    again = read.groupBy("row_pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR row_pos IS NULL").first()
     if again:
         raise InvalidBatch(f"repeated_position: rows[{again['row_pos']}] is given {again['n']} times")
-    worst = first_failure(validate(payloads, table, parents)).first()
+    worst = first_failure(read).first()
     if worst["n_bad"]:
         raise InvalidBatch(f"{worst['error_code']}: {worst['message']}")
-    return size["n_rows"]
+    return read, size["n_rows"]
 
 
 def create_rows(spark: SparkSession, table: Table, rows: DataFrame, log: DataFrame, payloads: DataFrame,
-                seed, batch_ts: Column, parents=None, check: bool = True,
-                row_limit: int | None = None) -> Mutation:
+                seed, batch_ts: Column, parents=None, row_limit: int | None = None) -> Mutation:
     """One new row per payload: given fields as given, the rest generated. All or nothing.
 
     Rows are numbered 0..n-1 in the order of ``row_pos``, whatever numbers those are (ascending ids
     with gaps will do); the number gives a row its key, its draws and its version.
     """
-    n = check_batch(payloads, table, rows, parents, row_limit) if check else payloads.count()
+    read, n = read_batch(payloads, table, rows, parents, row_limit)
     first = entity_next(rows, log, table.name)
-    if check:
-        check_new_keys(new_keys(spark, table, n, seed), rows, table.pk, n)
-    placed = index_by_integer(payloads, "row_pos").withColumn("i", F.col("idx") - 1)
-    numbered = with_given(placed.drop("row_pos", "idx"), table).drop("payload")
+    check_new_keys(new_keys(spark, table, n, seed), rows, table.pk, n)
+    placed = index_by_integer(read.drop("payload", "error_code", "error_field", "message"), "row_pos")
+    numbered = placed.withColumn("i", F.col("idx") - 1).drop("row_pos", "idx")
     made = generate(spark, table, n, seed, batch_ts, parents, numbers=numbered)
     given = {f.name for f in table.writable}
 
@@ -105,7 +85,7 @@ def update_outcomes(requests: DataFrame, table: Table, rows: DataFrame, parents=
     """Requests (row_pos, key, payload) with the code of what is wrong with each, if anything:
     the target must be live and the payload good."""
     found = outcomes(requests, table, rows, live_only=True).withColumnRenamed("error_code", "_absent")
-    checked = validate(found, table, parents)
+    checked = validate(found, table, parents, given=True)
     return checked.withColumn("error_code", F.coalesce("_absent", "error_code")).drop(
         "_absent", "error_field", "message")
 
@@ -127,8 +107,7 @@ def update_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFra
     base = entity_next(rows, log, table.name) - 1
     accepted = index_by_integer(judged.filter(F.col("error_code").isNull()).drop("error_code"), "row_pos")
     accepted = accepted.withColumn("version", F.col("idx") + F.lit(base))
-    given = with_given(accepted, table)
-    last = given.groupBy("key").agg(
+    last = accepted.groupBy("key").agg(
         F.max("version").alias("_version"),
         *[agg for f in table.writable for agg in (
             F.max_by(F.col(f"_given_{f.name}"),
@@ -150,7 +129,7 @@ def update_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFra
     after = rows.join(beside, F.col(table.pk) == F.col("key"), "left").select(
         *[final(c).alias(c) for c in table.columns])
     entries = log_rows(accepted, table.name, F.col("key"), "update", batch_ts)
-    return Mutation(after, entries, {"entity": table.name}), judged
+    return Mutation(after, entries, {"entity": table.name}), judged.select(*requests.columns, "error_code")
 
 
 def delete_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFrame,

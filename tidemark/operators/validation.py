@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructField
+from pyspark.sql.types import StructField, TimestampNTZType
 
-from tidemark.functions.text import is_iso
-from tidemark.operators.skew import join_unique
+from tidemark.functions.text import is_iso, parse_iso
+from tidemark.operators.skew import broadcast_limit, join_unique, plan_bytes
 from tidemark.schema import Table
+from tidemark.session import pin
 
 UNKNOWN, READ_ONLY, INVALID, BAD_REF, BAD_JSON = (
     "unknown_field", "read_only_field", "invalid_value", "invalid_reference", "invalid_json")
@@ -40,18 +41,19 @@ def read_only_keys(payload: Column, table: Table) -> Column:
     return F.array_intersect(keys_of(payload), F.array(*fixed))
 
 
-def parsed_fields(payload: Column, table: Table) -> Column:
-    """The payload's fields as a struct of variants: one parse, JSON types kept."""
-    return F.from_json(payload, ", ".join(f"`{c}` variant" for c in table.columns))
+def parsed_fields(payload: Column) -> Column:
+    """The payload's fields as a map of variants: one parse, JSON types and the order of keys kept; NULL
+    unless the text is a JSON object."""
+    return F.from_json(payload, "map<string,variant>")
 
 
 def json_type(parsed: Column, name: str) -> Column:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID for null, NULL if absent."""
-    return F.schema_of_variant(parsed[name])
+    return F.schema_of_variant(F.element_at(parsed, name))
 
 
-def json_text(parsed: Column, name: str) -> Column:
-    return F.try_variant_get(parsed[name], "$", "string")
+def json_text(parsed: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(F.element_at(parsed, name), "$", kind)
 
 
 # The rules below see one field as two columns: ``found``, its JSON type, and ``text``.
@@ -85,20 +87,46 @@ def _wrong_value(found: Column, text: Column, field: StructField) -> Column:
     return bad
 
 
-def with_known_parents(parsed: DataFrame, table: Table,
+def with_known_parents(read: DataFrame, table: Table,
                        parents: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Adds ``_lost_<ref>``: the reference in ``_parsed`` names no parent row."""
-    out = parsed
+    """Adds ``_lost_<ref>``: the reference in ``_text_<ref>`` names no parent row.
+
+    Before a parent that is too large to broadcast, what has been read is stored: the join then reads it
+    twice (hot references and the rest) and no payload is parsed again.
+    """
+    out = read
     for ref, parent in table.refs.items():
         keys, pk = parents[parent]
         known = keys.select(F.col(pk).cast("string").alias("_known"))
-        out = join_unique(
-            out.withColumn("_wanted", json_text(F.col("_parsed"), ref)), known, "_wanted", "_known")
-        lost = F.col("_wanted").isNotNull() & F.col("_known").isNull()
-        out = out.withColumn(f"_lost_{ref}", lost).drop("_wanted", "_known")
+        if plan_bytes(known) > broadcast_limit(known):
+            out = pin(out, "read")
+        out = join_unique(out, known, f"_text_{ref}", "_known")
+        out = out.withColumn(f"_lost_{ref}", F.col(f"_text_{ref}").isNotNull() & F.col("_known").isNull()).drop("_known")
     return out
 
 
+def read_payloads(payloads: DataFrame, table: Table, given: bool = False) -> DataFrame:
+    """What the rules look at, from one parse of each payload: the JSON types, texts and places of its fields,
+    its first unknown key, and with ``given`` the fields' values and presence (an explicit null is given too)."""
+    fields, keys = F.col("_fields"), F.col("_keys")
+    once = payloads.withColumn("_fields", parsed_fields(F.col("payload"))).withColumn(
+        # a repeated key makes an object invalid
+        "_keys", F.when(F.size(F.array_distinct(F.map_keys("_fields"))) == F.size(F.map_keys("_fields")), F.map_keys("_fields")))
+    as_text = {f.name for f in table.writable if f.metadata["type"] in ("enum", "timestamp")} | set(table.refs)
+    columns = {
+        **{f"_type_{f.name}": json_type(fields, f.name) for f in table.writable},
+        **{f"_text_{c}": json_text(fields, c) for c in as_text},
+        **{f"_at_{c}": F.array_position(keys, c) for c in table.columns},
+        "_stranger": F.get(F.array_except(keys, F.array(*[F.lit(c) for c in table.columns])), F.lit(0))}
+    if given:
+        for f in table.writable:
+            is_time = isinstance(f.dataType, TimestampNTZType)
+            value = json_text(fields, f.name, "string" if is_time else f.dataType.simpleString())
+            columns[f"_given_{f.name}"] = parse_iso(value) if is_time else value
+            columns[f"_has_{f.name}"] = F.array_contains(keys, f.name)
+    return once.withColumns(columns).drop("_fields")
+
+
 def _message(code: Column, field: Column, table: Table) -> Column:
     expected = F.lit(None).cast("string")
     for f in table.schema.fields:
@@ -112,33 +140,26 @@ def _message(code: Column, field: Column, table: Table) -> Column:
 
 
 def validate(payloads: DataFrame, table: Table,
-             parents: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+             parents: Mapping[str, tuple[DataFrame, str]] | None = None, given: bool = False) -> DataFrame:
     """Each payload with its first error in key order: ``error_code``, ``error_field`` and
-    ``message``, all NULL when the payload is good.
+    ``message``, all NULL when the payload is good; with ``given`` also its fields, see ``read_payloads``.
 
     Every field contributes (position in the payload, code, name) if it is wrong, and the
     least of these is the verdict: plain columns, no lambdas, one parse per payload.
     """
-    checked = payloads.withColumn("_parsed", parsed_fields(F.col("payload"), table)).withColumn(
-        "_keys", F.when(F.try_parse_json("payload").isNotNull(), keys_of(F.col("payload"))))
+    checked = read_payloads(payloads, table, given)
     if table.refs:
         checked = with_known_parents(checked, table, parents)
-    parsed, keys = F.col("_parsed"), F.col("_keys")
-    # one projection per step, so that no later expression repeats an earlier one
-    checked = checked.withColumns({
-        **{f"_type_{f.name}": json_type(parsed, f.name) for f in table.writable},
-        **{f"_text_{f.name}": json_text(parsed, f.name) for f in table.writable
-           if f.metadata["type"] in ("enum", "timestamp")},
-        **{f"_at_{c}": F.array_position(keys, c) for c in table.columns},
-        "_stranger": F.get(F.array_except(keys, F.array(*[F.lit(c) for c in table.columns])), F.lit(0))})
+    none = F.lit(None).cast("string")
 
     def code_of(f: StructField) -> Column:
-        code = F.when(_wrong_value(F.col(f"_type_{f.name}"), F.col(f"_text_{f.name}"), f), INVALID)
+        text = F.col(f"_text_{f.name}") if f.metadata["type"] in ("enum", "timestamp") else none
+        code = F.when(_wrong_value(F.col(f"_type_{f.name}"), text, f), INVALID)
         return F.coalesce(code, F.when(F.col(f"_lost_{f.name}"), BAD_REF)) if f.name in table.refs else code
 
     writable = {f.name for f in table.writable}
     checked = checked.withColumns({f"_code_{f.name}": code_of(f) for f in table.writable} | {
-        "_at": F.array_position(keys, F.col("_stranger"))})
+        "_at": F.array_position(F.col("_keys"), F.col("_stranger"))})
 
     def error_at(place: Column, code: Column, name: Column) -> Column:
         return F.when((place > 0) & code.isNotNull(), F.struct(
@@ -148,11 +169,11 @@ def validate(payloads: DataFrame, table: Table,
     errors += [
         error_at(F.col(f"_at_{c}"), F.col(f"_code_{c}") if c in writable else F.lit(READ_ONLY), F.lit(c))
         for c in table.columns]
-    first = F.when(keys.isNull(), F.struct(
-        F.lit(0).cast("bigint").alias("place"), F.lit(BAD_JSON).alias("code"),
-        F.lit(None).cast("string").alias("field"))).otherwise(F.least(*errors))
-    verdict = checked.select(*payloads.columns, first.alias("_first")).select(
-        *payloads.columns, F.col("_first.code").alias("error_code"), F.col("_first.field").alias("error_field"))
+    first = F.when(F.col("_keys").isNull(), F.struct(
+        F.lit(0).cast("bigint").alias("place"), F.lit(BAD_JSON).alias("code"), none.alias("field"))).otherwise(F.least(*errors))
+    kept = [*payloads.columns, *(f"_{w}_{f.name}" for f in table.writable for w in ("given", "has") if given)]
+    verdict = checked.select(*kept, first.alias("_first")).select(
+        *kept, F.col("_first.code").alias("error_code"), F.col("_first.field").alias("error_field"))
     return verdict.withColumn("message", _message(F.col("error_code"), F.col("error_field"), table))
 
 

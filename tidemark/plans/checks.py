@@ -103,7 +103,7 @@ def _(t):
 
 def _flag(t: Roles, rule, field: str, of=validation.json_type):
     """One rule on one field; rows without that field pass."""
-    parsed = validation.parsed_fields(F.col("payload"), ORDERS)
+    parsed = validation.parsed_fields(F.col("payload"))
     seen = _payloads(t).withColumn("_seen", of(parsed, field))
     return seen.select("row_pos", rule(F.col("_seen"), ORDERS.schema[field]).alias("is_bad"))
 
@@ -152,7 +152,7 @@ def _(t):
 @query("v7_invalid_references", f"""
 WITH {_PAIRS} SELECT row_pos, val AS customer_id FROM judged WHERE code = 'invalid_reference'""")
 def _(t):
-    parsed = _payloads(t).withColumn("_parsed", validation.parsed_fields(F.col("payload"), ORDERS))
+    parsed = _payloads(t).withColumn("_parsed", validation.parsed_fields(F.col("payload")))
     wanted = parsed.filter(validation.json_type(F.col("_parsed"), "customer_id") == "STRING").select(
         "row_pos", validation.json_text(F.col("_parsed"), "customer_id").alias("customer_id"))
     return validation.dangling_refs(wanted, "customer_id", t.solvent, "customer_id")

@@ -57,13 +57,9 @@ def read_sink(spark: SparkSession, out: str, stream: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- feed forms
-def deduplicated(log: DataFrame) -> DataFrame:
-    """Drop redelivered entries: (entity, version) names a change once and for all."""
-    return log.dropDuplicates(["entity", "version"])
-
-
-def deduplicated_within(log: DataFrame, delay: str) -> DataFrame:
-    """The same with bounded state: redelivery is expected within ``delay`` of event time."""
+def deduplicated(log: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Drop redelivered entries: (entity, version) names a change once and for all. State is bounded:
+    redelivery is expected within ``delay`` of event time."""
     return log.withColumn("_at", as_instant(F.col("changed_at"))).withWatermark(
         "_at", delay).dropDuplicatesWithinWatermark(["entity", "version"]).drop("_at")
 
@@ -87,29 +83,26 @@ def interval_counts(log: DataFrame, cadence: str = "daily", delay: str | None =
 
 
 def key_states(log: DataFrame) -> DataFrame:
-    """Last change per key as a stateful stream: each batch emits the keys that moved on.
+    """Last change per key, for a stream in update mode: each batch emits the keys that moved on.
 
-    State is one number per key: version and op packed as in ``last_change``. Each Arrow
-    batch is cut to one row per key before the shuffle, so a key that makes up much of the
-    log reaches its state as a few rows.
+    A built-in aggregate: version and op packed in one number as in ``last_change``, its maximum
+    combined before the shuffle, so a key that makes up much of the log reaches its state as one
+    row a task. State is one number per key.
     """
-    packed = log.select(
-        "entity", "pk_value", (F.col("version") * 4 + op_code(F.col("op"))).cast("bigint").alias("packed"))
-    shape = "entity string, pk_value string, packed bigint"
+    packed = (F.col("version") * 4 + op_code(F.col("op"))).cast("bigint")
+    return log.groupBy("entity", "pk_value").agg(F.max(packed).alias("packed"))
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.groupby(["entity", "pk_value"], as_index=False)["packed"].max()
 
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get[0] if state.exists else -1
-        new = max((int(b["packed"].max()) for b in batches), default=old)
-        if new > old:
-            state.update((new,))
-            yield pd.DataFrame({"entity": [key[0]], "pk_value": [key[1]], "packed": [new]})
+def update_to_end(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Like ``run_to_end`` for a stream in update mode: each batch is a folder of its own, written over
+    when the batch is run again, so a restart leaves every batch once."""
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return packed.mapInPandas(combine, shape).groupBy("entity", "pk_value").applyInPandasWithState(
-        advance, shape, "packed bigint", "append", GroupStateTimeout.NoTimeout)
+    query = (stream.writeStream.outputMode("update").foreachBatch(store)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
 
 
 def current_states(emitted: DataFrame) -> DataFrame:
@@ -122,9 +115,11 @@ def current_states(emitted: DataFrame) -> DataFrame:
 def refreshed_uses(uses: DataFrame, key: str, at: str, minutes: int = REFRESH_MINUTES) -> DataFrame:
     """Streaming form of the throttled last-used rule: state is the last kept time of a key.
 
-    Uses must arrive in time order across triggers. One task holds the candidate times of a
-    key within one trigger (8 bytes each); ``files_per_batch`` of ``follow`` bounds that.
-    Bulk history belongs to the batch form, which splits a key's time line.
+    Late is what arrives in a trigger after a later use of its key was kept: it cannot change what has
+    been emitted and is left out, so uses must arrive in time order across triggers, in any order
+    within one. One task holds the candidate times of a key within one trigger (8 bytes each);
+    ``files_per_batch`` of ``follow`` bounds that. Bulk history belongs to the batch form, which
+    splits a key's time line.
     """
     gap = minutes * 60_000_000
     timed = uses.select(F.col(key).alias("key"), micros_of(F.col(at)).alias("us"))
