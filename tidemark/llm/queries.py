@@ -17,6 +17,46 @@ def _query(fn):
     return fn
 
 
+def _divergence_sql() -> str:
+    """The same rules over DuckDB lists."""
+    d, space = divergence, r"[\x20\x09-\x0D]+"
+    counts = lambda t: (f"length({t}) - length(regexp_replace({t}, '[A-Z]', '', 'g'))", f"length({t}) - length(regexp_replace({t}, '[0-9]', '', 'g'))",
+                        f"length({t}) - length(regexp_replace({t}, '[#*$%&|<>]', '', 'g'))", f"length({t}) - length(regexp_replace({t}, '[!-/:-@\\[-`{{-~]', '', 'g'))",
+                        f"strlen({t}) - length({t})")
+    u, n, s, m, f = (f"({x})" for x in counts("joined"))
+    classes = f"[{u}, {n}, {s}, {m} - {s}, {f}, length(joined) - {u} - {n} - {m}]"
+    js = lambda p, q: (f"sqrt(greatest(0.0::DOUBLE, list_sum(list_transform(range(1, len({p}) + 1), lambda i: "
+                       f"CASE WHEN {p}[i] > 0 THEN {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END + "
+                       f"CASE WHEN {q}[i] > 0 THEN {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END)) / 2))")
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}'), lambda w: w <> '') AS words,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+runs AS (SELECT doc_id, i, words[i + 1 : i + {d.WINDOW}] AS run FROM (SELECT doc_id, words, unnest(range(len(words) - {d.WINDOW - 1})) AS i FROM t WHERE len(words) >= {d.WINDOW})),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs),
+cover AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range({d.WINDOW}) g(j) WHERE n > 1 GROUP BY 1),
+b AS (SELECT doc_id, lang, words, array_to_string(words, '') AS joined, len(words) AS n_words, len(lines) - len(list_distinct(lines)) AS n_dup, coalesce(c.n, 0) AS n_repeat
+      FROM t LEFT JOIN cover c USING (doc_id)),
+c AS (SELECT *, {classes} AS chars, {s} AS n_symbols FROM b),
+w AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM t) GROUP BY ALL),
+totals AS (SELECT lang AS ref, sum(n) AS total FROM w GROUP BY 1),
+kept AS (SELECT ref, total FROM totals WHERE ref <> '' AND total >= {d.LEAST} * (SELECT sum(total) FROM totals)
+         UNION ALL SELECT '', sum(total) FROM totals),
+shares AS (SELECT ref, word, sum(n)::DOUBLE / any_value(total) AS share FROM kept JOIN w ON ref = lang OR ref = '' GROUP BY ref, word),
+common AS (SELECT ref, list(word ORDER BY word) AS words, list(share ORDER BY word) AS shares FROM shares WHERE share >= {d.COMMON} GROUP BY 1),
+sums AS (SELECT ref, list_transform(range(1, {d.CLASSES + 1}), lambda i: list_sum(list_transform(l, lambda x: x[i])))::DOUBLE[] AS c
+         FROM (SELECT ref, list(chars) AS l FROM kept JOIN c ON ref = lang OR ref = '' GROUP BY 1)),
+refs AS (SELECT k.ref, coalesce(words, []) AS common, list_append(coalesce(shares, []), greatest(1 - coalesce(list_sum(shares), 0), 0.0)) AS of_words,
+                list_transform(c, lambda x: x / list_sum(c)) AS of_chars FROM kept k LEFT JOIN common USING (ref) JOIN sums USING (ref)),
+j AS (SELECT c.*, r.common, r.of_words, r.of_chars, list_transform(r.common, lambda x: len(list_filter(c.words, lambda y: y = x))::DOUBLE) AS tally
+      FROM c JOIN refs r ON r.ref = CASE WHEN lang IN (SELECT ref FROM kept) THEN lang ELSE '' END),
+h AS (SELECT *, list_transform(list_append(tally, n_words - coalesce(list_sum(tally), 0)), lambda x: x / n_words) AS pw, list_transform(chars, lambda x: x::DOUBLE / list_sum(chars)) AS pc FROM j),
+dist AS (SELECT *, CASE WHEN n_words >= {d.WORDS_GUARD} AND len(common) > 0 THEN {js('pw', 'of_words')} END AS dw,
+                CASE WHEN list_sum(chars) >= {d.CHARS_GUARD} THEN {js('pc', 'of_chars')} END AS dc,
+                n_words < {d.LEAST_WORDS} OR 100 * n_repeat > {d.REPEATED} * n_words AS failed FROM h)
+SELECT doc_id, n_words::BIGINT AS n_words, length(joined)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
+       failed AS base_failed, NOT failed AND coalesce(dw, 0) <= {d.WORD_LIMIT} AND coalesce(dc, 0) <= {d.CHAR_LIMIT} AS kept FROM dist"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +106,50 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judged(_table(spark, sf_dir, "documents"))
+    return divergence.judged(_table(spark, sf_dir, "documents")).drop("word_distance", "char_distance")
+
+
+LLM_SQL["op5_divergence"] = _divergence_sql()
+
+
+def _url_sql(url: str) -> dict[str, str]:
+    rest = f"(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END)"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    host = f"coalesce(translate(regexp_extract({rest}, '^[^/?#]*'), '{upper}', '{lower}'), '')"
+    path = f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
+    kept = f"regexp_replace(regexp_replace(coalesce(regexp_extract({rest}, '^[^?#]*\\?([^#]*)', 1), ''), '(^|&)utm_[^&]*', '', 'g'), '^&', '')"
+    return {"host": host, "path": path, "key": f"CASE WHEN {host} <> '' THEN {host} || {path} || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"}
+
+
+def _aliases_sql() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in aliases.RULES)
+    page, to, named = _url_sql("url"), _url_sql("full_to"), _url_sql("'http://' || node")
+    href, target = "(?i)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)", "(?i)\\burl\\s*=\\s*[\"'']?([^\"''\\s>]+)"
+    canonical = "(?i)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>"
+    refresh = "(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*>"
+    best = "arg_max(struct_pack(v := v, name := h || p), length(h || p) * 2 + CASE WHEN v = 'allow' THEN 1 ELSE 0 END)"
+    fits = "(x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p)"
+    return f"""
+WITH RECURSIVE rules(v, h, p) AS (VALUES {rules}),
+x AS (SELECT page_id, url, coalesce(html, '') AS html, {page['host']} AS host, {page['path']} AS path, {page['key']} AS key FROM pages),
+hosts AS (SELECT DISTINCT host, path FROM x),
+ruled AS (SELECT x.host, x.path, {best} AS r FROM hosts x JOIN rules ON {fits} GROUP BY 1, 2),
+named AS (SELECT url, host, key, unnest([regexp_extract(regexp_extract(html, '{canonical}'), '{href}', 1),
+                                         regexp_extract(regexp_extract(html, '{refresh}'), '{target}', 1)]) AS t FROM x),
+links AS (SELECT key AS a, CASE WHEN strpos(t, '://') > 0 THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+                                WHEN starts_with(t, '/') THEN 'http://' || host || t END AS full_to FROM named WHERE t <> ''),
+edges AS (SELECT a, {to['key']} AS b FROM links WHERE full_to IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+reach(a, node) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.node = both_ways.a),
+seen AS (SELECT a, {named['host']} AS host, {named['path']} AS path FROM reach),
+judged AS (SELECT x.a, {best} AS r FROM seen x JOIN rules ON {fits} GROUP BY x.a, x.host, x.path),
+blocked AS (SELECT a FROM judged GROUP BY a HAVING bool_or(r.v = 'block') AND NOT bool_or(r.v = 'allow'))
+SELECT page_id, x.host, x.path, r.name AS rule,
+       coalesce(r.v, CASE WHEN key IN (SELECT a FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM x LEFT JOIN ruled ON ruled.host = x.host AND ruled.path = x.path"""
+
+
+LLM_SQL["op8_url_aliases"] = _aliases_sql()
 
 
 @_query
