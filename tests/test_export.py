@@ -127,3 +127,11 @@ def test_log_partitions_are_pruned(spark, store, scratch, ts):
     plan = tables.read_log(spark, path).filter("entity = 'plots' AND version > 10")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(entity" in plan and "GreaterThan(version,10)" in plan
     assert tables.read_log(spark, path).filter("entity = 'plots' AND version > 10").count() == 54
+
+
+def test_a_column_of_nothing_keeps_its_rows(spark, scratch):
+    df = spark.createDataFrame([("a",), (None,), ("",), ("b",)], "note string")
+    path = scratch("one")
+    export.write_csv(df.coalesce(1), path)
+    assert list(csv.reader(io.StringIO(read_parts(path)))) == [["note"], ["a"], [""], [""], ["b"]]
+    assert [r.line for r in export.csv_lines(df).collect()] == ["a", '""', '""', "b"]

@@ -168,3 +168,17 @@ def test_streamed_throttle_keeps_state_between_runs(spark, scratch):
         feeds.run_to_end(feeds.refreshed_uses(feeds.follow(spark, path, log.schema), "entity", "changed_at"), out, cursor)
     got = sorted(r.m for r in spark.read.parquet(out).select(F.minute("changed_at").alias("m")).collect())
     assert got == [1, 7, 13, 19, 25, 31, 37, 43, 49, 55]
+
+
+def test_chains_close_in_few_rounds(spark, monkeypatch):
+    from tidemark.operators import graph
+
+    rounds = []
+    stored = graph.pin
+    monkeypatch.setattr(graph, "pin", lambda df, label: rounds.append(label) or stored(df, label))
+    chain = spark.range(4096).select((F.col("id") + 1).cast("string").alias("child"), F.col("id").cast("string").alias("parent"))
+    seeds = spark.createDataFrame([("0",), ("0",), ("4000",)], "node string")
+    got = {r.node: r.steps for r in graph.closure(chain, seeds).collect()}
+    assert len(got) == 4097 and got["3999"] == 3999 and got["4096"] == 96 and rounds.count("found") <= 16
+    mixed = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("a", "d")], "child string, parent string")
+    assert {r.node: r.steps for r in graph.closure(mixed, seeds.limit(0).union(spark.createDataFrame([("a",)], "n string"))).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}

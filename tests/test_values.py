@@ -85,3 +85,34 @@ def test_relabelling_takes_the_longest_name_first(spark):
     labels = {"d_1_orders": "orders", "d_1_orders_old": "archive"}
     assert _map(spark, ["no row in d_1_orders_old or d_1_orders"], lambda c: text.relabel(c, labels)) == [
         "no row in archive or orders"]
+
+
+def test_iso_forms_are_those_of_the_standard_parser(spark):
+    from datetime import UTC, datetime
+
+    good = ["2026-01-31", "20260131", "2026-W05-6", "2026W056", "2026-W05", "2020-W53-7", "2026-01-31T12", "2026-01-31 12:05", "20260131T120509",
+            "2026-01-31T12:05:09,5", "2026-01-31T12:05:09.1234567", "20260131T120509.000001", "2026-01-31T12:05:09Z", "2026-01-31T23:30+01",
+            "2026-01-31T00:30:00+05:45", "20260131T003000-0930", "2026-01-31T12:00:00+00:00:30", "2024-02-29T00:00:00-23:59"]
+    bad = ["", "2026", "2026-02-30", "2025-02-29", "2026-1-31", "2026-W54-1", "2021-W53-1", "2026-W05-8", "2026-W05-0", "2026-01-31T", "2026-01-31T25", "2026-01-31T12:60",
+           "2026-01-31T12:00+24:00", "2026-01-31T12:00+01:60", "2026-01-31T12:00 +01:00", "Easter Monday", "2026-01-31T12:00:00ZZ", None]
+    got = {r.t: (r.p, r.ok) for r in spark.createDataFrame([(t,) for t in good + bad], "t string").select(
+        "t", text.parse_iso(F.col("t")).alias("p"), text.is_iso(F.col("t")).alias("ok")).collect()}
+    for t in good:
+        want = datetime.fromisoformat(t)
+        want = want.astimezone(UTC).replace(tzinfo=None) if want.tzinfo else want
+        assert got[t] == (want, True), t
+    for t in bad:
+        assert got[t] == (None, False), t
+
+
+def test_registered_labels_are_drawn(spark, ts):
+    from tidemark.functions.draws import LABELS, register_label
+    from tidemark.operators.generate import generate
+    from tidemark.schema import declare
+
+    register_label("hull", ["barge", "cutter", "ketch"])
+    try:
+        table = declare({"entity": "boats", "fields": {"id": {"type": "uuid", "primary_key": True}, "hull": {"type": "string", "key_label": "hull"}}})
+        assert {r.hull for r in generate(spark, table, 200, 1, ts()).collect()} == {"barge", "cutter", "ketch"}
+    finally:
+        del LABELS["hull"]

@@ -107,6 +107,12 @@ def _job_title(seed, table, field, row):
 LABELS = {"full_name": _full_name, "email_address": _email, "job_title": _job_title}
 
 
+def register_label(name: str, values) -> None:
+    """Make ``key_label: name`` known: ``values`` is a list of texts to draw from, or a function
+    (seed, table, field, row) that gives a column."""
+    LABELS[name] = values if callable(values) else lambda seed, table, field, row: pick(draw(seed, table, field, row), list(values))
+
+
 def percent_of(n: Column, pct) -> Column:
     """Truncating percentage."""
     return F.floor(n * F.lit(float(pct)) / 100).cast("bigint")

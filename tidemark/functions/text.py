@@ -53,34 +53,55 @@ def iso_text(ts: Column, sep: str = "T") -> Column:
         F.concat(whole, F.lit("."), F.rpad(fraction, 6, "0")))
 
 
-_ISO = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)?)?$"
-)
+# ISO 8601: calendar or week date, then maybe a clock reading and an offset, each in the extended form
+# (with dashes or colons) or the basic one
+_DAY = r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
+_CLOCK = r"(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?|(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
+_OFFSET = r"(?:Z|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?)?)?$"
+_ISO = _DAY + _CLOCK + _OFFSET
+
+
+def _iso_part(text: Column, *groups: int, missing: str = "00") -> Column:
+    """The first of the groups that is there."""
+    found = [F.nullif(F.regexp_extract(text, _ISO, g), F.lit("")) for g in groups]
+    return F.coalesce(*found, F.lit(missing))
 
 
 def _wall(text: Column) -> Column:
-    """The clock reading of ISO text, its offset set aside; NULL for impossible dates."""
-    return F.regexp_replace(
-        F.translate(text, ",", "."), r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+    """The clock reading of ISO text, its offset set aside; NULL for impossible dates. Fractions are cut
+    to microseconds."""
+    year, week = _iso_part(text, 1), F.regexp_extract(text, _ISO, 6)
+    week = F.when(week != "", week).otherwise(F.regexp_extract(text, _ISO, 8))
+    first = F.date_trunc("week", F.to_timestamp_ntz(F.concat(year, F.lit("-01-04")))).try_cast("date")
+    monday = F.date_add(first, (week.try_cast("int") - 1) * 7)
+    weekday = _iso_part(text, 7, 9, missing="1")
+    in_year = (F.weekofyear(monday) == week.try_cast("int")) & weekday.between("1", "7")
+    week_day = F.when(in_year, F.date_add(monday, weekday.cast("int") - 1)).cast("string")
+    day = F.concat_ws("-", year, _iso_part(text, 2, 4), _iso_part(text, 3, 5))
+    clock = F.concat(_iso_part(text, 10), F.lit(":"), _iso_part(text, 11, 14), F.lit(":"), _iso_part(text, 12, 15), F.lit("."),
+                     F.substring(_iso_part(text, 13, 16, missing="0"), 1, 6))
+    return F.concat(F.when(week != "", week_day).otherwise(day), F.lit(" "), clock).try_cast("timestamp_ntz")
+
+
+def _offset_seconds(text: Column) -> Column:
+    part = [_iso_part(text, g).cast("int") for g in (18, 19, 20)]
+    size = part[0] * 3600 + part[1] * 60 + part[2]
+    return F.when(F.regexp_extract(text, _ISO, 17) == "-", -size).otherwise(size)
 
 
 def is_iso(text: Column) -> Column:
-    return text.rlike(_ISO) & _wall(text).isNotNull()
+    return parse_iso(text).isNotNull()
 
 
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text to a zone-less UTC timestamp; NULL when it is not one.
 
-    Independent of the session time zone: an offset is subtracted, ``Z`` is zero, and
+    Independent of the session time zone: an offset (of less than a day) is subtracted, ``Z`` is zero, and
     text without an offset is taken as it stands.
     """
-    # a plain date ends in "-31": only text with a clock part can carry an offset
-    offset = F.when(F.length(text) > 10, F.regexp_extract(text, r"([+-]\d{2}:?\d{2})$", 1)).otherwise("")
-    sign = F.when(offset.startswith("-"), 1).otherwise(-1)
-    minutes = F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, -2, 2).cast("int")
-    moved = F.timestamp_add("MINUTE", sign * minutes, _wall(text))
-    return F.when(text.rlike(_ISO), F.when(offset == "", _wall(text)).otherwise(moved))
+    seconds = _offset_seconds(text)
+    sound = text.rlike(_ISO) & (F.abs(seconds) < 86_400) & (_iso_part(text, 19) < "60") & (_iso_part(text, 20) < "60")
+    return F.when(sound, F.timestamp_add("SECOND", -seconds, _wall(text)))
 
 
 # ------------------------------------------------------------------- rendering

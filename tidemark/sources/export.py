@@ -42,8 +42,10 @@ def csv_cells(df: DataFrame) -> list[Column]:
 
 
 def csv_lines(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """One CSV line per row, minimal quoting."""
+    """One CSV line per row, minimal quoting; an empty cell that is a line of its own is quoted, or it would be no line."""
     cells = [csv_quoted(csv_cell(F.col(f.name), f.dataType)) for f in df.schema.fields]
+    if len(cells) == 1:
+        cells = [F.when(cells[0] == "", '""').otherwise(cells[0])]
     return df.select(*keep, F.concat_ws(",", *cells).alias("line"))
 
 
@@ -97,7 +99,7 @@ def counted(df: DataFrame, rows: Column | None = None) -> tuple[DataFrame, Obser
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.select(*csv_cells(df)).write.csv(
-        path, header=True, quote='"', escape='"', nullValue="", emptyValue="", lineSep="\n",
+        path, header=True, quote='"', escape='"', nullValue="", emptyValue='""' if len(df.columns) == 1 else "", lineSep="\n",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
