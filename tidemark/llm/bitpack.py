@@ -93,6 +93,7 @@ def write(docs: DataFrame, path: str, definition: str, kind: str = "spaced", end
                     held += n
         if held:
             yield block()
+        tool.rest()
 
     rows = docs.select("doc_id", F.col("text").cast("string"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

@@ -120,6 +120,7 @@ def _tokens(docs: DataFrame, definition: str, kind: str, end_id: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([
                     some.column("doc_id"), some.column("source"), pa.array([task] * len(raw), pa.int32()), pa.array(before, pa.int64()),
                     pa.array(sizes, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "source", "task", "before", "doc_tokens", "ids"])
+        tool.rest()
 
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id bigint, source string, task int, before bigint, doc_tokens bigint, ids binary")

@@ -106,6 +106,11 @@ class Encoder:
         return out
 
 
+    def rest(self) -> None:
+        """Between tasks only runs are remembered, so that an idle worker is small."""
+        self.known.clear()
+
+
 def encoder(definition: str, kind: str) -> Encoder:
     """The worker's encoder for a tokenizer file's content; ``kind`` is ``spaced`` (byte-level, blanks belong to
     the word behind) or ``plain`` (white space and case dropped)."""
