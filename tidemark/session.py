@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -41,7 +42,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def use_scratch(spark: SparkSession, folder: str | None = None) -> SparkSession:
     """Names the scratch folder where the session has none: ``folder``, or, for a session within this
-    process only, a new folder of this machine. On a cluster the folder must be a shared one."""
+    process only, a new folder of this machine. On a cluster the folder must be a shared one. Python workers
+    started from now on find this package where it lies (elsewhere it is shipped with ``--py-files``)."""
+    root, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
     if not spark.conf.get("spark.checkpoint.dir", None):
         alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
         if not folder and not alone:
