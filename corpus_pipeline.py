@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, near_dup, packing, pii, quality
 from tidemark.llm.tokenizers_path import definition
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, use_scratch
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +38,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, definition("word_bpe_49k.json"))
 
 
+def _ready(stage):
+    """The stage in a session that has a scratch folder: the one it names, or one of its own for a local session."""
+    return lambda spark, docs, sf_dir: stage(use_scratch(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality", accept_quality),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_leaks),
-    ("personal_data", redact),
-    ("packing", pack),
+    ("quality", _ready(accept_quality)),
+    ("near_duplicates", _ready(drop_near_duplicates)),
+    ("decontamination", _ready(drop_leaks)),
+    ("personal_data", _ready(redact)),
+    ("packing", _ready(pack)),
 ]
 
 #: No SQL: classifier, signatures and tokenizer have no SQL form. tests/llm checks the stages.
@@ -51,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = use_scratch(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
