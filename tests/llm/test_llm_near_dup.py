@@ -64,6 +64,34 @@ def test_classes_equal_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def family(twins):
+    """Texts at 0.74 or so to one another, in pairs at 0.82."""
+    draw = random.Random(5)
+    base = [f"base{i}" for i in range(400)]
+    texts = {}
+    for _ in range(twins):
+        both = [(p, f"new{draw.random()}") for p in draw.sample(range(80), 2)]
+        for _ in range(2):
+            own = [(p, f"new{draw.random()}") for p in draw.sample(sorted(set(range(80)) - {p for p, _ in both}), 4)]
+            words = list(base)
+            for place, word in both + own:
+                words[place * 5 + 2] = word.replace(".", "x")
+            texts[len(texts)] = " ".join(words)
+    return texts
+
+
+def test_pairs_within_a_large_family_are_found(spark, monkeypatch):
+    texts = family(200)
+    shingled = {i: set(bag(t)) for i, t in texts.items()}
+    links = [(a, b) for a in texts for b in range(a + 1, len(texts)) if len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])]
+    want = roots(links, texts)
+    assert 100 < len(set(want.values()))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for block in (512, 30):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == want
+
+
 def test_hostile_rows(spark, hostile_docs, no_docs):
     got = near_dup.near_duplicates(hostile_docs).collect()
     assert len(got) == len(hostile.rows())

@@ -12,10 +12,13 @@ From signatures to classes, without ever forming all pairs of a group:
 1. rows of equal text are one node, found by digest;
 2. signatures are cut into bands; nodes that share no band with another node are done;
 3. rows of a band are range-partitioned and sorted by the rest of the signature, so hot bands split over tasks,
-   and each row is compared with the next few in its band: all pairs of a small band, nearest ones of a large;
+   and each row is compared with the next few in its band: all pairs of a small band, which is never cut, and
+   the nearest ones of a large;
 4. pairs whose signatures agree often enough are checked on their whole shingle sets: the two nearest of each
    node first, then those that still lie in different components;
-5. connected components of the verified links are the classes.
+5. large bands that still hold more than one component are compared in full on their shingle sets, in pairs of
+   blocks, leaving out pairs within a component;
+6. connected components of the verified links are the classes.
 
 Empty texts (null, or without a word) are their own class each; equal wordless texts are not linked.
 """
@@ -36,7 +39,8 @@ from tidemark.session import pin
 SHINGLE = 5  # words
 SIMILARITY = 0.8
 COORDINATES, BANDS, BAND_ROWS = 128, 25, 5  # a pair at 0.8 shares no band with probability 5e-5
-NEIGHBOURS = 8  # rows ahead that a row is compared with in its band
+NEIGHBOURS = 8  # rows ahead that a row is compared with in its band at first
+BLOCK, BLOCK_MEMBERS = 512, 1 << 22  # rows, and set members, in a block of a large band
 SLACK = 0.13  # 3.7 standard errors of the similarity that 128 coordinates estimate
 NO_ID = -(1 << 63)
 
@@ -170,15 +174,21 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes whose signatures are alike: (a, b, alike)."""
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(key, node, band, large) of the bands that two nodes or more share; ``large`` ones hold more rows than are
+    compared with one another in signature order."""
     spread = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = spread.groupBy("key").count().where("count > 1").select("key")
-    rows = pin(spread.join(shared, "key", "left_semi"), "bands")
+    shared = spread.groupBy("key").count().where("count > 1").select("key", (F.col("count") > NEIGHBOURS + 1).alias("large"))
+    return spread.join(shared, "key")
+
+
+def candidates(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes whose signatures are alike: (a, b, alike). All of a small band, nearest ones of a large."""
     cut = F.col("band") * BAND_ROWS
     rotated = F.concat(F.expr(f"substring(sig, band * {BAND_ROWS} + 1)"), F.substring("sig", F.lit(1), cut))
-    rows = rows.join(nodes.select("node", "sig"), "node").select("key", "node", rotated.alias("sig"))
-    ordered = rows.repartitionByRange("key", "sig", "node").sortWithinPartitions("key", "sig", "node")
+    rows = rows.join(nodes.select("node", "sig"), "node").select("key", "node", rotated.alias("sig"), "large")
+    within = [F.when(F.col("large"), F.col(c)) for c in ("sig", "node")]  # only large bands are cut
+    ordered = rows.repartitionByRange("key", *within).sortWithinPartitions("key", "sig", "node").drop("large")
     pairs = ordered.mapInArrow(_neighbours, "a binary, b binary, alike float")
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
@@ -192,6 +202,49 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(both >= SIMILARITY * either).select("a", "b")
 
 
+def _linked(table: pa.Table) -> pa.Table:
+    """Links between the components of two blocks of a band, or within one: as many as join what can be joined."""
+    node, sets = table.column("node").to_pylist(), table.column("members").combine_chunks()
+    members, starts = sets.flatten().to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+    starts, size = starts - starts[0], np.diff(starts)
+    label = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)[1]
+    block = table.column("block").to_numpy()
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    names, members = np.unique(members, return_inverse=True)
+    marked, found = np.zeros(len(names), bool), []
+    for p in range(len(node) - 1):
+        rest = np.arange(p + 1, len(node))
+        fits = (label[rest] != label[p]) & (size[rest] >= SIMILARITY * size[p]) & (size[p] >= SIMILARITY * size[rest])
+        rest = rest[fits if same else fits & (block[rest] != block[p])]
+        if not len(rest):
+            continue
+        marked[members[starts[p] : starts[p + 1]]] = True
+        ends = np.cumsum(size[rest])
+        picked = np.repeat(starts[rest] - ends + size[rest], size[rest]) + np.arange(ends[-1])
+        both = np.add.reduceat(marked[members[picked]], ends - size[rest], dtype=np.int64)
+        marked[members[starts[p] : starts[p + 1]]] = False
+        for q in rest[both >= SIMILARITY * (size[p] + size[rest] - both)].tolist():
+            if label[q] != label[p]:
+                found.append((min(node[p], node[q]), max(node[p], node[q])))
+                label[label == label[q]] = label[p]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def across(rows: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components within large bands, from all pairs of their rows.
+
+    A band is cut into blocks by the hash of the node; every two blocks meet in a task.
+    """
+    placed = rows.where("large").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = placed.join(members.select("node", F.size("members").alias("size")), "node")
+    blocks_of = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_MEMBERS)).cast("int")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks_of.alias("n")).where("low != high").select("key", "n")
+    cut = placed.join(mixed, "key").select("key", "node", "root", "n", F.pmod(F.xxhash64("node"), "n").cast("int").alias("block"))
+    met = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = met.select("key", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "node", "root")
+    return met.join(members, "node").groupBy("key", "i", "j").applyInArrow(_linked, "a binary, b binary").distinct()
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows are (doc_id, node) of each document; nodes (node, doc_id, copies, links, class_node, class_id).
 
@@ -202,8 +255,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     worded = rows.mapInArrow(_sketches, SKETCH)
     nodes = pin(worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"),
                                            F.first("keys").alias("keys")), "nodes")
-    pairs = pin(candidates(nodes), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node").join(nodes.select("node", "doc_id"), "node")
+    bands = pin(shared_bands(nodes), "bands")
+    pairs = pin(candidates(bands, nodes), "pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).union(bands.where("large").select("node")).distinct().toDF("node").join(nodes.select("node", "doc_id"), "node")
     texts = rows.join(wanted, ["node", "doc_id"], "left_semi")
     members = pin(texts.mapInArrow(_sets, "node binary, members array<int>").dropDuplicates(["node"]), "members")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "alike")
@@ -217,6 +271,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     links = pin(links.union(verified(apart, members)), "links")
     roots = components(links)
+    more = pin(across(bands, roots, members), "across")
+    if not more.isEmpty():
+        links = pin(links.union(more), "links")
+        roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").join(degree, "node", "left").select(
         "node", "doc_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("root", "node").alias("root"))
