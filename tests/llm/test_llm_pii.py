@@ -56,6 +56,27 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert clean[101] == "the [EMAIL] box is full" and clean[102] == dict(masked)[102]
 
 
+def test_rounds_go_on_until_nothing_new_is_found(spark):
+    rows, levels = [], 6
+    name = lambda level, i: f"agent{'abc'[i]}_{level}(at)post-47{level}{i}.example"
+    for level in range(levels):  # each level's instances are found with those of the level before
+        ids = [f"user{level}n{i}@mail.example.org" for i in range(12)] + [name(k, i) for k in (level - 1, level) if k >= 0 for i in range(3)]
+        rows += [f"{w}one{'abcdef'[level]} {w}two{'abcdef'[level]} {x} {w}x{'abcdef'[level]}{'abcdefghijklmnopqr'[n]}y" for n, x in enumerate(ids) for w in "pq"]
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    found = {rows[r.doc_id].split()[2] for r in got if r.n_found}
+    assert found == {name(level, i) for level in range(levels) for i in range(3)}
+
+
+def test_context_words_are_read_whole():
+    long = "w" * 60
+    left, right = f"{long}a {long}b id-4711 next", f"see the id-4711 {long}a"
+    at = left.index("id-")
+    assert len(pii.patterns(left, at, at + 7)) == 3
+    assert pii.patterns(left, at, at + 7)[1] != pii.patterns(left.replace("b id", "c id"), at, at + 7)[1]
+    assert pii.patterns(right, 8, 15)[2] != pii.patterns(right[:-1] + "b", 8, 15)[2]
+    assert pii.patterns("a b " + "x-" * 40 + "123", 4, 87)[0] != pii.patterns("a b " + "x-" * 39 + "x123", 4, 86)[0]
+
+
 def test_hostile_rows(spark, hostile_docs, no_docs):
     got = pii.personal_data(hostile_docs).collect()
     assert len(got) == len(hostile.rows())

@@ -10,11 +10,14 @@ a bipartite graph over the whole corpus, which Spark scores in rounds:
 * an instance that is no seed scores 1 - product(1 - confidence) over its accepted patterns, and is discovered
   once that exceeds CONFIDENCE; it then counts for the patterns of the next round.
 
+A discovered instance keeps its kind, so confidences and scores only rise; rounds go on until none does.
+
 Discovered instances are spans wherever they occur. Seeds' spans always stay.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textblocks import blocks
-from tidemark.session import pin
+from tidemark.session import pin, unpin
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.9, 3
-CONTEXT = 48  # characters on either side in which context words are looked for
+SUPPORT, CONFIDENCE = 3, 0.9
+SETTLED = 1e-9  # a score that rises by no more stays as it is
+CONTEXT = 48  # characters; longer words and shapes are known by their digests
 
 # fixed patterns
 _AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'()[]{}<>,;:!?.|#*$%&="
 _DIGITS = re.compile(r"[0-9]")
+_ZEROS = dict.fromkeys(map(ord, "0123456789"), "0")
 _SHAPE = re.compile(r"[^\W\d_]+|[0-9]+")
 
 
@@ -78,21 +83,31 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _short(word: str) -> str:
+    return word if len(word) <= CONTEXT else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
 def _word(token: str) -> str:
-    return _DIGITS.sub("0", token.lower())
+    return _short(token.lower().translate(_ZEROS))
+
+
+def _before(text: str, start: int) -> list[str]:
+    """The last two words before ``start``, whole."""
+    size = CONTEXT
+    while True:
+        left = text[max(0, start - size) : start]
+        found = left.split()
+        if size >= start or len(found) > 2 or (len(found) == 2 and left[0].isspace()):
+            return found[-2:]
+        size *= 2
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical contexts of the token at [start, end)."""
-    left = text[max(0, start - CONTEXT) : start]
-    before = left.split()[-2:]
-    if len(left) == CONTEXT and before and left.startswith(before[0]):
-        before = before[1:]  # it may be cut
-    behind = text[end : end + CONTEXT].split()[:1]
-    before, behind = [_word(t) for t in before], [_word(t) for t in behind]
+    before, behind = [_word(t) for t in _before(text, start)], [_word(m[0]) for m in [_TOKEN.search(text, end)] if m]
     if not before:
         return []
-    shape = _SHAPE.sub(lambda m: "0" if m[0][0].isdecimal() else "a", text[start:end])[:CONTEXT]
+    shape = _short(_SHAPE.sub(lambda m: "0" if m[0][0].isdecimal() else "a", text[start:end]))
     out = [f"{before[-1]} _ ~{shape}"]
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
@@ -153,7 +168,7 @@ def discovered(scanned: DataFrame) -> DataFrame:
     # an instance is a seed if it is one anywhere
     seeds = pin(edges.where("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
     scores, found = seeds, None
-    for _ in range(ROUNDS):
+    while True:
         rated = edges.select("pattern", "instance").join(scores, "instance", "left")
         sums = rated.groupBy("pattern").agg(F.count("*").alias("n"), *[f(F.when(F.col("kind") == k, F.col("score"))).alias(f"{w}{k}")
                                                                         for k in range(len(KINDS)) for f, w in ((F.sum, "s"), (F.count, "c"))])
@@ -163,10 +178,16 @@ def discovered(scanned: DataFrame) -> DataFrame:
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(0.02))))
         ranked = (edges.select("pattern", "instance").join(seeds.select("instance"), "instance", "left_anti").join(good, "pattern")
                   .groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score")))
+        if found is not None:  # what is found stays so
+            kinds = found.select("instance", F.col("kind").alias("known"))
+            ranked = ranked.join(kinds, "instance", "left").where("known is null or kind = known").drop("known").unionByName(found)
         best = ranked.groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"))).alias("m")).select(
             "instance", (-F.col("m.col2")).cast("int").alias("kind"), F.col("m.score").alias("score")).where(F.col("score") >= CONFIDENCE)
         best = pin(best, "found")
-        done = found is not None and best.count() == found.count()
+        before = best.limit(0) if found is None else found
+        rose = best.join(before.select("instance", F.col("score").alias("before")), "instance", "left").where(F.col("before").isNull() | (F.col("score") - F.col("before") > SETTLED))
+        done = rose.isEmpty()
+        unpin(found)
         found, scores = best, seeds.unionByName(best)
         if done:
             break
