@@ -57,11 +57,11 @@ def test_ndjson_keeps_null_fields(hostile, scratch):
 
 
 def test_sql_text_loads_with_foreign_keys(spark, store, scratch, ts):
-    store.batch(ts(), seed=1, counts={"growers": 620, "plots": 1100, "harvests": 10})
+    store.batch(ts(), seed=1, counts={"yards": 620, "cranes": 1100, "crews": 3, "lifts": 10})
     path = scratch("bundle")
     manifest = export.write_bundle(store.tables, store.data, store.log, path, fmt="sql")
-    assert manifest["load_order"] == ["growers", "plots", "harvests"]
-    assert [f["rows"] for f in manifest["files"]] == [620, 1100, 10]
+    assert manifest["load_order"] == ["yards", "cranes", "crews", "lifts"]
+    assert [f["rows"] for f in manifest["files"]] == [620, 1100, 3, 10]
     db = sqlite3.connect(":memory:")
     db.execute("PRAGMA foreign_keys = ON")
     for name in manifest["load_order"]:
@@ -86,28 +86,28 @@ def test_delta_equals_feed_and_catches_up(spark, store, scratch, ts):
     from tidemark.operators.feed import replay
 
     store.batch(ts(), seed=1)
-    snap = export.export_table(store.tables["growers"], store.data["growers"], store.log, scratch("s"), "ndjson",
+    snap = export.export_table(store.tables["yards"], store.data["yards"], store.log, scratch("s"), "ndjson",
                                include_deleted=True)
-    old = store.data["growers"]
-    store.changes(ts(), seed=2, entities=["growers"], inserts=4, updates=6, deletes=3)
+    old = store.data["yards"]
+    store.changes(ts(), seed=2, entities=["yards"], inserts=4, updates=6, deletes=3)
     path = scratch("d")
-    done = export.export_table(store.tables["growers"], store.data["growers"], store.log, path, "ndjson",
+    done = export.export_table(store.tables["yards"], store.data["yards"], store.log, path, "ndjson",
                                since=snap.to_cursor)
     assert (snap.rows, snap.kind, done.rows, done.kind, done.from_cursor, done.to_cursor) == (
         36, "snapshot", 13, "changes", 36, 49)
     lines = [json.loads(line) for line in read_parts(path).splitlines()]
     assert [r["op"] for r in lines] == ["insert"] * 4 + ["update"] * 6 + ["delete"] * 3
     assert [r["version"] for r in lines] == list(range(37, 50))
-    shape = f"op string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in store.tables['growers'].schema.fields)}"
+    shape = f"op string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in store.tables['yards'].schema.fields)}"
     changes = spark.read.schema(shape).json(path)
-    got = {tuple(r) for r in replay(old, changes, "grower_id").select("grower_id", "contact", "version").collect()}
-    live = store.data["growers"].filter("left_at IS NULL").select("grower_id", "contact", "version")
+    got = {tuple(r) for r in replay(old, changes, "yard_id").select("yard_id", "keeper", "version").collect()}
+    live = store.data["yards"].filter("closed IS NULL").select("yard_id", "keeper", "version")
     assert got == {tuple(r) for r in live.collect()}
 
 
 def test_refused_exports(store, scratch, ts):
     store.batch(ts(), seed=1)
-    table, rows = store.tables["growers"], store.data["growers"]
+    table, rows = store.tables["yards"], store.data["yards"]
     with pytest.raises(CursorAhead):
         export.export_table(table, rows, store.log, scratch(), "csv", since=37)
     for kw, code in (({"fmt": "xml"}, "invalid_format"), ({"dialect": "oracle"}, "invalid_dialect"),
@@ -117,16 +117,16 @@ def test_refused_exports(store, scratch, ts):
     with pytest.raises(ValueError, match="unknown_entity"):
         export.write_bundle(store.tables, store.data, store.log, scratch(), entities=["nope"])
     with pytest.raises(ValueError, match="since_not_targeted"):
-        export.write_bundle(store.tables, store.data, store.log, scratch(), entities=["plots"], since={"growers": 1})
+        export.write_bundle(store.tables, store.data, store.log, scratch(), entities=["cranes"], since={"yards": 1})
 
 
 def test_log_partitions_are_pruned(spark, store, scratch, ts):
     store.batch(ts(), seed=1)
     path = scratch("log")
     tables.append_log(store.log, path)
-    plan = tables.read_log(spark, path).filter("entity = 'plots' AND version > 10")._jdf.queryExecution().executedPlan().toString()
+    plan = tables.read_log(spark, path).filter("entity = 'cranes' AND version > 10")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(entity" in plan and "GreaterThan(version,10)" in plan
-    assert tables.read_log(spark, path).filter("entity = 'plots' AND version > 10").count() == 54
+    assert tables.read_log(spark, path).filter("entity = 'cranes' AND version > 10").count() == 54
 
 
 def test_a_column_of_nothing_keeps_its_rows(spark, scratch):

@@ -135,7 +135,7 @@ def test_throttle_equals_the_sequential_rule(spark, segment_minutes):
 
 
 # ------------------------------------------------------------------ streaming
-def test_consumer_resumes_without_loss_or_repeats(spark, scratch):
+def test_consumer_resumes_without_loss_or_rediesels(spark, scratch):
     path, out, cursor = scratch("log"), scratch("out"), scratch("cursor")
     log = make_log(spark)
     schema = log.schema

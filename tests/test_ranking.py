@@ -33,7 +33,7 @@ def test_sorted_index_over_text(spark, partitions):
     assert [got[w] for w in words] == list(range(1, len(words) + 1))
 
 
-def test_split_sample_is_exact_disjoint_and_repeatable(spark):
+def test_split_sample_is_exact_disjoint_and_redieselable(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
 
     def split(parts):
