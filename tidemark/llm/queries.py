@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import aliases, bitpack, decontaminate, divergence, language, mixing_lm, near_dup, packing, pii, quality
+from tidemark.llm import aliases, bitpack, decontaminate, divergence, jaccard, language, mixing_lm, near_dup, packing, pii, pivots, quality, runs
 from tidemark.llm.tokenizers_path import definition
 from tidemark.session import scratch_path
 
@@ -157,6 +157,57 @@ def op8_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.judged(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), change=True)
+
+
+@_query
+def op12_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql() -> str:
+    """Every round is two steps: each vector's nearest centroid, and the floor of each centroid's mean."""
+    k, axes = pivots.CENTROIDS, f"range(1, {pivots.DIMENSIONS + 1})"
+    apart = f"list_sum(list_transform({axes}, lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    steps = [f"""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({pivots.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {pivots.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), v) - 1 AS k, v AS c FROM kept QUALIFY k < {k})"]
+    for n in range(1, pivots.ROUNDS + 2):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, vec_id, v, min({k} * {apart} + k) AS m FROM kept, c{n - 1} GROUP BY ALL)")
+        steps.append(f"s{n} AS (SELECT m % {k} AS k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{n}, {axes} t(i) GROUP BY ALL)")
+        steps.append(f"m{n} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS mean FROM s{n} GROUP BY k)")
+        steps.append(f"c{n} AS MATERIALIZED (SELECT k, coalesce(mean, c) AS c FROM c{n - 1} LEFT JOIN m{n} USING (k))")
+    last = pivots.ROUNDS + 1
+    return f"""WITH {", ".join(steps)},
+d AS (SELECT vec_id, (m % {k})::INT AS cluster, m // {k} AS distance FROM a{last})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM d JOIN c{last - 1} ON k = cluster"""
+
+
+LLM_SQL["op12_ptolemaic_clusters"] = _clusters_sql()
+
+
+@_query
+def op13_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_table(spark, sf_dir, "documents"))
+
+
+LLM_SQL["op13_jaccard_components"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                      '[ 	-]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= {jaccard.SHINGLE} THEN list_transform(range(1, len(words) - {jaccard.SHINGLE - 2}), lambda i: array_to_string(words[i : i + {jaccard.SHINGLE - 1}], ' '))
+                                          WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= {jaccard.PER_CENT} * (x.n + y.n - both)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, coalesce(least(w.doc_id, min(b)), w.doc_id)::BIGINT AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -88,16 +88,17 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, ends: np.ndarray, letters: np.ndarray = _INSIDE, lower=lowered) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words, and where each document's words begin and end among them.
 
-    A word is a longest run of characters other than ASCII white space, punctuation and control characters.
+    A word is a longest run of bytes in ``letters``: characters other than ASCII white space, punctuation and control
+    characters unless told otherwise, as is what ``lower`` makes of the bytes.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    low = lowered(data)
-    inside = _INSIDE[low]
+    low = lower(data)
+    inside = letters[low]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
