@@ -200,8 +200,8 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= {jaccard.SHINGLE} THEN list_transform(range(1, len(words) - {jaccard.SHINGLE - 2}), lambda i: array_to_string(words[i : i + {jaccard.SHINGLE - 1}], ' '))
                                           WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= {jaccard.PER_CENT} * (x.n + y.n - both)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {jaccard.PER_CENT} * (x.n + y.n - shared)),
 ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
 SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, coalesce(least(w.doc_id, min(b)), w.doc_id)::BIGINT AS component_id
