@@ -236,7 +236,7 @@ def links(members: DataFrame) -> DataFrame:
     lined = postings.select("t", "n", "rep").repartitionByRange("t", "n", "rep").sortWithinPartitions("t", "n", "rep")
     first = hubs.union(lined.mapInArrow(_following, "a bigint, b bigint")).where("a < b").distinct()
     known = pin(verified(first, members), "links")
-    roots = components(known)
+    roots = components(known, shorten=True)
     # what can still join components
     marked = pin(placed.select("nid", "n", "gid").join(roots.toDF("nid", "root"), "nid", "left").select("nid", "n", "gid", F.coalesce("root", "nid").alias("comp")), "marked")
     spread = marked.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
@@ -250,7 +250,7 @@ def links(members: DataFrame) -> DataFrame:
     within_few = marked.join(inner.where(F.col("size") <= SMALL).select("gid"), "gid", "left_semi")
     more = verified(small_pairs(few, marked, within_few), members)
     if not wide.isEmpty():
-        family = components(wide.select("rep", "hub"), "rep", "hub").toDF("rep", "root")
+        family = components(wide.select("rep", "hub"), "rep", "hub", shorten=True).toDF("rep", "root")
         of = wide.select("gid", "rep").distinct().join(family, "rep", "left").select("gid", F.coalesce("root", "rep").alias("fam")).distinct()
         more = more.union(family_links(marked.join(of, "gid").select("fam", "nid", "n", "comp"), members))
     more = pin(more, "more")
@@ -275,7 +275,7 @@ def linked(docs: DataFrame) -> DataFrame:
     members = rows.join(wanted, ["nid", "doc_id"], "left_semi").mapInArrow(_member_lists, "nid bigint, members array<bigint>")
     members = pin(members.dropDuplicates(["nid"]), "members")
     found = links(members)
-    roots = components(found)
+    roots = components(found, shorten=True)
     texts = sized.where("n > 0").groupBy("nid").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("least"))
     texts = texts.join(roots.toDF("nid", "root"), "nid", "left").select("nid", "least", F.coalesce("root", "nid").alias("root"))
     named = texts.groupBy("root").agg(F.min("least").alias("component_id"))
