@@ -16,7 +16,6 @@ from tidemark.session import scratch_path
 
 def library_ids(name, texts, end):
     library = Tokenizer.from_str(definition(name))
-    library.encode_special_tokens = True
     return [library.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
 
 

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.textblocks import lean
 from tidemark.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 16  # a block is closed at so many ids; a longer document has a block of its own
@@ -63,6 +64,7 @@ def write(docs: DataFrame, path: str, definition: str, kind: str = "spaced", end
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # the tokenizer's file
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(shared.value, kind)
         width = width_for(max(tool.tokenizer.get_vocab_size(), end_id + 1))
@@ -114,6 +116,7 @@ def blocks_of(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textblocks import blocks, mix, shingles, words
+from tidemark.llm.textblocks import blocks, lean, mix, shingles, words
 from tidemark.session import pin
 
 SHINGLE = 5  # words
@@ -133,6 +133,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = list(_found(batch.column("text"), shared.value))
@@ -151,6 +152,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.textblocks import blocks, shingles, words
+from tidemark.llm.textblocks import blocks, lean, shingles, words
 from tidemark.session import pin, unpin
 
 SHINGLE = 5  # words
@@ -67,6 +67,7 @@ def sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield lo, hi, member, np.searchsorted(doc, np.arange(hi - lo + 1))
 
 
+@lean
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, member, at in sets(batch.column("text")):
@@ -75,6 +76,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["doc_id", "nid", "n", "low"])
 
 
+@lean
 def _low_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, member, at in sets(batch.column("text")):
@@ -83,6 +85,7 @@ def _low_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(member[low]), pa.array(nid[low])], ["t", "nid"])
 
 
+@lean
 def _member_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, member, at in sets(batch.column("text")):

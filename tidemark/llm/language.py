@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import fold, text_sample
-from tidemark.llm.textblocks import blocks, gram_counts, lowered, unit
+from tidemark.llm.textblocks import blocks, gram_counts, lean, lowered, unit
 
 SAMPLE = 6000  # texts to fit on
 BUCKETS = 1024  # of each n-gram size
@@ -131,6 +131,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs) x 2049 floats
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, ends in blocks(batch.column("text"), docs=BLOCK):

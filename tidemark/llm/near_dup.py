@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.textblocks import blocks, counted, mix, shingles, words
+from tidemark.llm.textblocks import blocks, counted, lean, mix, shingles, words
 from tidemark.session import pin
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8
 COORDINATES, BANDS, BAND_ROWS = 128, 25, 5  # a pair at 0.8 shares no band with probability 5e-5
 NEIGHBOURS = 8  # rows ahead that a row is compared with in its band at first
-BLOCK, BLOCK_MEMBERS = 512, 1 << 22  # rows, and set members, in a block of a large band
+BLOCK, BLOCK_MEMBERS = 512, 1 << 19  # rows, and set members, in a block of a large band
 SLACK = 0.13  # 3.7 standard errors of the similarity that 128 coordinates estimate
 NO_ID = -(1 << 63)
 
@@ -112,6 +112,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 SKETCH = "node binary, doc_id bigint, sig binary, keys array<bigint>"
 
 
+@lean
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, ends in blocks(batch.column("text")):
@@ -129,6 +130,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["node", "doc_id", "sig", "keys"])
 
 
+@lean
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares each sorted row with the next NEIGHBOURS of its band; keeps that many rows between batches."""
     names, kind = ["a", "b", "alike"], pa.schema([("a", pa.binary()), ("b", pa.binary()), ("alike", pa.float32())])
@@ -154,6 +156,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([], x.type) for x in kind], names)
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's weighted set as distinct 32-bit hashes: occurrence m of a shingle is an element of its own."""
     for batch in batches:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.textblocks import lean
 from tidemark.llm.tokens import encoder
 from tidemark.session import pin
 
@@ -105,6 +106,7 @@ def _tokens(docs: DataFrame, definition: str, kind: str, end_id: int) -> DataFra
     """Ids of each row, its task, and the ids of the same source before it in the task."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # the tokenizer's file
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, task, sofar = encoder(shared.value, kind), TaskContext.get().partitionId(), {}
         end = np.array([end_id], tool.dtype).tobytes()
@@ -158,6 +160,7 @@ def pack(docs: DataFrame, definition: str, kind: str = "plain", end_id: int = EN
     bases = sums.select("task", "source", "queue", F.coalesce(earlier, F.lit(0).cast("long")).alias("base"))
     placed = tokens.join(bases, ["task", "source"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "doc_tokens", "ids")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, last = rule.value, rule.value.total // length
         rest = rules.total - last * length

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textblocks import blocks
+from tidemark.llm.textblocks import blocks, lean
 from tidemark.session import pin, unpin
 
 KINDS = ("email", "ip", "card", "phone")
@@ -137,6 +137,7 @@ SCAN = ("doc_id bigint, h bigint, base array<struct<start:int,kind:int,end:int>>
         "seen array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>")
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     seen_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
@@ -244,6 +245,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     marked = _joined(marked, "_tm_h", found_spans(scanned, discovered(scanned))).select(*docs.columns, "_tm_more")
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, more = batch.column("text").to_pylist(), batch.column("_tm_more").to_pylist()

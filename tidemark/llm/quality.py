@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import fold
-from tidemark.llm.textblocks import blocks, gram_counts, lowered, shingles, unit, words
+from tidemark.llm.textblocks import blocks, gram_counts, lean, lowered, shingles, unit, words
 
 SAMPLE = 4096  # labelled texts at most; 64 floats each are broadcast
 BUCKETS = 1024  # of each kind of n-gram
@@ -130,10 +130,12 @@ def scores(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFram
         out = [shared.value.score(terms(data, ends)) for _, _, data, ends in blocks(column, docs=BLOCK)]
         return np.concatenate(out) if out else np.zeros(0)
 
+    @lean
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(rated(batch.column("text")) >= ACCEPT))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = rated(batch.column("text"))
