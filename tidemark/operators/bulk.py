@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.operators.batches import Mutation, log_rows
 from tidemark.operators.feed import entity_next
 from tidemark.operators.generate import check_new_keys, generate, new_keys
-from tidemark.operators.ranking import index_by_integer
+from tidemark.operators.ranking import index_unique
 from tidemark.operators.skew import fits_broadcast, join_unique
 from tidemark.operators.validation import (
     first_failure, request_size, validate,
@@ -24,17 +24,24 @@ class InvalidBatch(ValueError):
     """A bulk request was refused as a whole."""
 
 
+def check_positions(requests: DataFrame) -> None:
+    """Refuses a request whose positions do not order it: one is null, or given twice."""
+    bad = requests.groupBy("row_pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR row_pos IS NULL").orderBy("row_pos").first()
+    if bad and bad["row_pos"] is None:
+        raise InvalidBatch(f"missing_position: {bad['n']} rows have none")
+    if bad:
+        raise InvalidBatch(f"repeated_position: rows[{bad['row_pos']}] is given {bad['n']} times")
+
+
 def read_batch(payloads: DataFrame, table: Table, rows: DataFrame, parents=None,
                row_limit: int | None = None) -> tuple[DataFrame, int]:
     """The payloads of a good batch as stored typed fields, and how many they are. A batch that is too large,
-    repeats a position or holds a bad row is refused as a whole."""
+    repeats or lacks a position, or holds a bad row is refused as a whole."""
     read = pin(validate(payloads, table, parents, given=True), "payloads")  # parsed once, read from here on
     size = request_size(read, rows.count() if table.max_rows is not None else 0, table.max_rows, row_limit).first()
     if size["status"] != "ok":
         raise InvalidBatch(f"{size['status']}: {size['rows_after']} rows")
-    again = read.groupBy("row_pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR row_pos IS NULL").first()
-    if again:
-        raise InvalidBatch(f"repeated_position: rows[{again['row_pos']}] is given {again['n']} times")
+    check_positions(read)
     worst = first_failure(read).first()
     if worst["n_bad"]:
         raise InvalidBatch(f"{worst['error_code']}: {worst['message']}")
@@ -51,7 +58,7 @@ def create_rows(spark: SparkSession, table: Table, rows: DataFrame, log: DataFra
     read, n = read_batch(payloads, table, rows, parents, row_limit)
     first = entity_next(rows, log, table.name)
     check_new_keys(new_keys(spark, table, n, seed), rows, table.pk, n)
-    placed = index_by_integer(read.drop("payload", "error_code", "error_field", "message"), "row_pos")
+    placed = index_unique(read.drop("payload", "error_code", "error_field", "message"), "row_pos")
     numbered = placed.withColumn("i", F.col("idx") - 1).drop("row_pos", "idx")
     made = generate(spark, table, n, seed, batch_ts, parents, numbers=numbered)
     given = {f.name for f in table.writable}
@@ -91,21 +98,26 @@ def update_outcomes(requests: DataFrame, table: Table, rows: DataFrame, parents=
 
 
 def _beside(rows: DataFrame, last: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows' changes, at most one for each stored request: broadcast if those are few."""
-    return F.broadcast(last) if fits_broadcast(rows, judged.count()) else last
+    """The rows' changes, at most one for each stored request: broadcast if those are few and small. What a change
+    carries came in its request's key and payload, so their bytes bound it."""
+    carried = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("key", "payload") if c in judged.columns]
+    n, size = judged.agg(F.count(F.lit(1)), F.sum(sum(carried, F.lit(0)))).first()
+    return F.broadcast(last) if fits_broadcast(rows, n, size or 0) else last
 
 
 def update_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFrame, batch_ts: Column,
                 parents=None) -> tuple[Mutation, DataFrame]:
     """Apply partial payloads to live rows: only the given fields change.
 
-    Every accepted request takes one version and one log entry, in ``row_pos`` order. When
+    Every accepted request takes one version and one log entry, in ``row_pos`` order; the positions may be any
+    integers, but a null or a repeated one refuses the whole request. When
     several requests name one row, each field ends at its last given value: a max_by per
     field, combined map-side, so a row updated by a third of the requests is no hot spot.
     """
-    judged = pin(update_outcomes(requests, table, rows, parents), "judged")  # read three times
+    judged = pin(update_outcomes(requests, table, rows, parents), "judged")  # read from here on
+    check_positions(judged)
     base = entity_next(rows, log, table.name) - 1
-    accepted = index_by_integer(judged.filter(F.col("error_code").isNull()).drop("error_code"), "row_pos")
+    accepted = index_unique(judged.filter(F.col("error_code").isNull()).drop("error_code"), "row_pos")
     accepted = accepted.withColumn("version", F.col("idx") + F.lit(base))
     last = accepted.groupBy("key").agg(
         F.max("version").alias("_version"),
@@ -135,12 +147,13 @@ def update_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFra
 def delete_rows(table: Table, rows: DataFrame, log: DataFrame, requests: DataFrame,
                 batch_ts: Column) -> tuple[Mutation, DataFrame]:
     """Soft-delete rows by key. The row must exist but may be deleted already: a second delete
-    succeeds and is logged again."""
+    succeeds and is logged again. Positions as for updates."""
     if not table.soft_delete:
         raise ValueError(f"not_supported: '{table.name}' has no soft-delete field")
-    judged = pin(outcomes(requests, table, rows, live_only=False), "judged")  # read three times
+    judged = pin(outcomes(requests, table, rows, live_only=False), "judged")  # read from here on
+    check_positions(judged)
     base = entity_next(rows, log, table.name) - 1
-    accepted = index_by_integer(judged.filter(F.col("error_code").isNull()), "row_pos")
+    accepted = index_unique(judged.filter(F.col("error_code").isNull()), "row_pos")
     accepted = accepted.withColumn("version", F.col("idx") + F.lit(base))
     last = accepted.groupBy("key").agg(F.max("version").alias("_version"))
     hit = F.col("_version").isNotNull()

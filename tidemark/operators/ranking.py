@@ -37,10 +37,11 @@ def index_by_integer(df: DataFrame, key: str, by=(), out: str = "idx", bits: int
     """1-based index in the order of an integer ``key``, unique inside each ``by`` group.
 
     A bucket spans ``2**bits`` key values and so holds at most that many rows, however
-    many of the rows belong to one group. For sparse keys raise ``bits`` until the key
-    span shifted by it is a few million buckets.
+    many of the rows belong to one group. For sparse keys use ``index_unique``. A null key
+    fails the job: it has no place in the order.
     """
-    bucket = F.shiftright(F.col(key).cast("bigint"), bits)
+    known = F.coalesce(F.col(key).cast("bigint"), F.raise_error(F.lit(f"{key} is null")).cast("bigint"))
+    bucket = F.shiftright(known, bits)
     return _two_level(df, list(by), bucket, [key], out)
 
 
@@ -73,6 +74,19 @@ def index_sorted(df: DataFrame, order: list[str], out: str = "idx", partitions:
     )
 
 
+def index_unique(df: DataFrame, key: str, out: str = "idx", bits: int = 20) -> DataFrame:
+    """1-based index in the order of a unique integer ``key``, dense or sparse.
+
+    Dense keys go by value range. Where that would make more buckets than a thousandth of the rows (random 64-bit
+    ids make one a row), one range sort places them; the result is the same.
+    """
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    buckets = 0 if low is None else (high >> bits) - (low >> bits) + 1
+    if buckets <= max(4096, n // 1000):
+        return index_by_integer(df, key, out=out, bits=bits)
+    return index_sorted(df, [key], out=out)
+
+
 def chunked(indexed: DataFrame, size: int, idx: str = "idx", out: str = "chunk") -> DataFrame:
     """Zero-based chunk number of each indexed row."""
     return indexed.withColumn(out, F.floor((F.col(idx) - 1) / size).cast("bigint"))

@@ -22,9 +22,10 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(digits) * units.get(unit, 1)
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Do ``rows`` rows of a key and a few numbers stay under the session's broadcast threshold?"""
-    return rows * KEY_BYTES <= broadcast_limit(df)
+def fits_broadcast(df: DataFrame, rows: int, more: int = 0) -> bool:
+    """Do ``rows`` rows of a key and a few numbers, and ``more`` bytes of other values, stay under the session's
+    broadcast threshold?"""
+    return rows * KEY_BYTES + more <= broadcast_limit(df)
 
 
 def hot_share(df: DataFrame) -> float:

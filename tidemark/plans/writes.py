@@ -501,6 +501,24 @@ def _(t):
     return _updated(t)[1].select("row_pos", "key", "error_code")
 
 
+def _refusal(t: Roles, requests, write):
+    """The code a bulk request is refused with, and its size."""
+    try:
+        write(requests)
+        error = None
+    except bulk.InvalidBatch as exc:
+        error = str(exc).split(":")[0]
+    return t.spark.createDataFrame([(error, requests.count())], "error string, n_requests bigint")
+
+
+@query("i18_repeated_position", "SELECT 'repeated_position' AS error, count(*) + 1 AS n_requests FROM events")
+def _(t):
+    """One update's position given twice: which one is last is not defined, so the whole request is refused."""
+    requests = _requests(t)
+    twice = requests.unionByName(requests.orderBy("row_pos").limit(1))
+    return _refusal(t, twice, lambda r: bulk.update_rows(ORDERS, t.orders, t.log, r, t.ts, _all_customers(t)))
+
+
 _GONE = f"""{LOG}, {CUST}, req AS (SELECT event_id AS row_pos, CAST(user_id AS VARCHAR) AS key FROM events),
 good AS (SELECT row_pos, key, {CUST_BASE} + row_number() OVER (ORDER BY row_pos) AS version
          FROM req JOIN cust ON customer_id = key)"""
@@ -531,3 +549,11 @@ WITH {_GONE} SELECT row_pos, key, CASE WHEN customer_id IS NULL THEN 'not_found'
 FROM req LEFT JOIN cust ON customer_id = key""")
 def _(t):
     return _deleted(t)[1]
+
+
+@query("i19_null_position", "SELECT 'missing_position' AS error, count(*) AS n_requests FROM events")
+def _(t):
+    """A delete without a position: the whole request is refused."""
+    wanted = t.tab("events").select(
+        F.expr("nullif(event_id, 0)").alias("row_pos"), F.col("user_id").cast("string").alias("key"))
+    return _refusal(t, wanted, lambda r: bulk.delete_rows(CUSTOMERS, t.customers, t.log, r, t.ts))
