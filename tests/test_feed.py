@@ -182,3 +182,62 @@ def test_chains_close_in_few_rounds(spark, monkeypatch):
     assert len(got) == 4097 and got["3999"] == 3999 and got["4096"] == 96 and rounds.count("found") <= 16
     mixed = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("a", "d")], "child string, parent string")
     assert {r.node: r.steps for r in graph.closure(mixed, seeds.limit(0).union(spark.createDataFrame([("a",)], "n string"))).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+
+
+def ladder(spark, n):
+    """Each node needs the one below it and the one two below it."""
+    ids = spark.range(1, n + 1).select(F.col("id").cast("int").alias("child"))
+    return ids.select("child", F.explode(F.array(F.col("child") - 1, F.col("child") - 2)).alias("parent")).where("parent >= 0")
+
+
+def test_deep_trees_settle_in_few_rounds(spark, monkeypatch):
+    from tidemark.operators import graph
+
+    rounds = []
+    stored = graph.pin
+    monkeypatch.setattr(graph, "pin", lambda df, label: rounds.append(label) or stored(df, label))
+    ids = spark.range(1, 1025).select(F.col("id").cast("int").alias("child"))
+    edges = ids.select("child", (F.col("child") - 1).alias("parent")).union(ids.select(F.col("child") + 5000, "child"))  # a leaf at each
+    nodes = edges.select(F.col("child").alias("node")).union(spark.createDataFrame([(0,), (9999,)], "node int"))
+    got = {r.node: r.level for r in graph.levels(nodes, edges).collect()}
+    assert got == {**{i: i for i in range(1025)}, **{5000 + i: i + 1 for i in range(1, 1025)}, 9999: 0} and rounds.count("edges") <= 13
+    rounds.clear()
+    got = {r.node: r.steps for r in graph.closure(edges, nodes.where("node = 0")).collect()}
+    assert len(got) == 2049 and got[1024] == 1024 and got[6024] == 1025 and rounds.count("found") + rounds.count("frontier") <= 20
+
+
+def test_deep_graphs_beyond_the_budget(spark, monkeypatch):
+    from tidemark.operators import graph
+
+    monkeypatch.setattr(graph, "LEAST_BUDGET", 0)
+    edges = ladder(spark, 12)
+    nodes = spark.range(13).select(F.col("id").cast("int").alias("node"))
+    assert {r.node: r.level for r in graph.levels(nodes, edges).collect()} == {i: i for i in range(13)}
+    assert {r.node: r.steps for r in graph.closure(edges, nodes.where("node = 0")).collect()} == {i: (i + 1) // 2 for i in range(13)}
+
+
+def test_cycles_and_what_leads_to_them(spark):
+    from random import Random
+
+    from tidemark.operators import graph
+
+    draw = Random(1)
+    pairs = sorted({(draw.randrange(14), draw.randrange(14)) for _ in range(12)} | {(40 + i, 40 + (i + 1) % 12) for i in range(12)} | {(3, 40), (45, 2)})
+    up = {}
+    for child, parent in pairs:
+        up.setdefault(child, set()).add(parent)
+
+    def above(node):
+        seen, left = set(), [node]
+        while left:
+            fresh = up.get(left.pop(), set()) - seen
+            seen |= fresh
+            left += fresh
+        return seen
+
+    reach = {n: above(n) for n in range(80)}
+    cycle = {n: min(m for m in reach[n] if n in reach[m]) for n in reach if n in reach[n]}
+    stuck = {n for n in reach if n in cycle or reach[n] & cycle.keys()}
+    edges = spark.createDataFrame([*pairs, (3, None), (None, 3)], "child int, parent int")
+    got = {(r.child, r.parent): r.cycle for r in graph.stuck_parts(edges).collect()}
+    assert got == {(c, p): cycle.get(c) if cycle.get(c) == cycle.get(p) else None for c, p in pairs if p in stuck}

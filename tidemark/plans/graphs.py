@@ -151,6 +151,48 @@ def _(t):
     return graph.stuck_edges(_pointers(t)[1])
 
 
+@query("g6_stuck_parts", f"""
+WITH RECURSIVE {_WALK}, circles AS (
+  SELECT start, min(node) AS cycle FROM up
+  WHERE start IN (SELECT start FROM up WHERE steps > 0 AND node = start) GROUP BY 1)
+SELECT DISTINCT child, parent, CASE WHEN c.cycle = p.cycle THEN c.cycle END AS cycle
+FROM edges JOIN depth ON start = child LEFT JOIN circles c ON c.start = child LEFT JOIN circles p ON p.start = parent
+WHERE steps >= 60""")
+def _(t):
+    return graph.stuck_parts(_pointers(t)[1])
+
+
+# Orders as a deep tree: seven of eight keys need the key before, the eighth the one of half its key.
+TREE = """edges AS (
+  SELECT o_orderkey AS child, CASE WHEN o_orderkey % 8 > 0 THEN o_orderkey - 1 ELSE o_orderkey // 2 END AS parent
+  FROM orders WHERE o_orderkey > 0)"""
+
+
+def _tree(t: Roles):
+    key = F.col("o_orderkey")
+    return t.tab("orders").where("o_orderkey > 0").select(
+        key.alias("child"), F.when(key % 8 > 0, key - 1).otherwise(F.floor(key / 2)).cast("long").alias("parent"))
+
+
+@query("g5_deep_levels", f"""
+WITH RECURSIVE {TREE}, walk AS (
+  SELECT parent AS node, 0 AS level FROM edges WHERE parent NOT IN (SELECT child FROM edges)
+  UNION SELECT child, level + 1 FROM edges JOIN walk ON parent = node)
+SELECT o_orderkey AS node, coalesce(max(level), 0) AS level FROM orders LEFT JOIN walk ON node = o_orderkey GROUP BY 1""")
+def _(t):
+    return graph.levels(t.tab("orders").select(F.col("o_orderkey").alias("node")), _tree(t))
+
+
+@query("g3_deep_closure", f"""
+WITH RECURSIVE {TREE}, reached AS (
+  SELECT 0::BIGINT AS node, 0 AS steps
+  UNION SELECT child, steps + 1 FROM edges JOIN reached ON parent = node)
+SELECT node, min(steps) AS steps FROM reached GROUP BY 1""")
+def _(t):
+    """All that hangs on the first order, by the least number of steps."""
+    return graph.closure(_tree(t), t.tab("orders").where("o_orderkey = 0").select(F.col("o_orderkey").alias("node")))
+
+
 @query("g6_dangling_edges", f"""
 WITH {ROW_EDGES}, {SOLVENT} SELECT child, parent FROM edges WHERE parent LIKE 'customer:%'
   AND substr(parent, 10) NOT IN (SELECT customer_id FROM cust)""")
