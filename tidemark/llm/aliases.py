@@ -1,8 +1,8 @@
 """URL filters with redirect equivalence.
 
 A page is judged by the longest rule that fits its URL. Pages without a rule take the verdict of their aliases:
-URLs are joined by redirects (a table, if given), ``meta refresh`` targets and ``link rel=canonical`` targets, and
-a connected component with a blocked URL blocks its members, unless one of its URLs is explicitly allowed. A page's
+URLs are joined by redirects (a table, if given), all ``meta refresh`` targets and all ``link rel=canonical`` targets
+of a page, and a connected component with a blocked URL blocks its members, unless one of its URLs is explicitly allowed. A page's
 own rule always decides for the page itself. Without any of these a page is allowed.
 
 DataFrame functions only. Components never leave the executors; only components that are blocked are joined back.
@@ -17,14 +17,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.divergence import let
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-_CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+BLANK = r"\x20\x09-\x0D"
+TAG = rf"(?i)<(?:link|meta)[{BLANK}/][^<>]*>"
+BASE = rf"(?i)<base[{BLANK}/][^<>]*>"
+CANONICAL = rf"(?i)(?:^|[{BLANK}])canonical(?:[{BLANK}/]|\z)"
+REFRESH = rf"(?i)^[{BLANK}]*refresh[{BLANK}/]*\z"
+DELAYED = rf"(?i)^[{BLANK}]*[0-9.]*[{BLANK}]*[;,]?[{BLANK}]*(?:url[{BLANK}]*=[{BLANK}]*)?[\"']?([^\"']*)"  # content of a refresh
+EDGE = "\"' \t\n\v\f\r"  # what may enclose a value
+AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def attribute(name: str) -> str:
+    """The pattern of an attribute of a tag; its value, quoted or not, is the group."""
+    return rf"(?i)[{BLANK}\"'/]{name}[{BLANK}]*=[{BLANK}]*(\"[^\"]*\"|'[^']*'|[^{BLANK}\"'>]+)"
 
 
 def _rest(url: Column) -> Column:
@@ -44,9 +55,11 @@ def path_of(url: Column) -> Column:
 def key_of(url: Column) -> Column:
     """What two spellings of one URL share: host, path and query without scheme, fragment and campaign parameters.
     Null for what is no URL."""
-    query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), "^&", "")
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    def spelt(x: Column) -> Column:
+        query = F.regexp_replace(F.regexp_replace(x["query"], r"(^|&)utm_[^&]*", ""), "^&", "")
+        return let(query, lambda q: F.when(x["host"] != "", F.concat(x["host"], x["path"], F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))))
+
+    return let(let(url, lambda u: F.struct(host_of(u).alias("host"), path_of(u).alias("path"), F.regexp_extract(_rest(u), r"^[^?#]*\?([^#]*)", 1).alias("query"))), spelt)
 
 
 def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] = RULES) -> Column:
@@ -57,14 +70,48 @@ def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] =
     return F.array_max(fits)
 
 
+def _value(tag: Column, name: str) -> Column:
+    return F.regexp_replace(F.btrim(F.regexp_extract(tag, attribute(name), 1), F.lit(EDGE)), AMPERSAND, "&")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    segments = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(^|/)(\.\.?)\z", "$1$2/"), "/")
+    return F.aggregate(segments, F.lit(""), lambda sofar, x: F.when(x == "..", F.regexp_replace(sofar, r"/[^/]*\z", "")).when(x == ".", sofar).otherwise(
+        F.concat(sofar, F.lit("/"), x)))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The URL that ``to`` names on the page ``url``: absolute, or relative to its host or folder. Null if that has no host."""
+    def joined(x: Column) -> Column:
+        folder = F.regexp_extract(x["path"], r"^([\s\S]*/)", 1)
+        path = F.when(x["place"] == "", x["path"]).when(x["place"].startswith("/"), x["place"]).otherwise(
+            F.concat(F.when(folder == "", "/").otherwise(folder), x["place"]))
+        plain = let(path, lambda p: F.when(F.instr(p, "/.") > 0, _without_dots(p)).otherwise(p))
+        return F.concat(F.lit("http://"), x["host"], plain, F.substring(x["to"], F.length(x["place"]) + 1, F.length(x["to"])))
+
+    parts = let(F.struct(url.alias("url"), to.alias("to")), lambda x: F.struct(
+        x["url"].alias("url"), x["to"].alias("to"), host_of(x["url"]).alias("host"), path_of(x["url"]).alias("path"), F.regexp_extract(x["to"], "^[^?#]*", 0).alias("place")))
+    return let(parts, lambda x: F.when(x["to"].rlike(SCHEME), x["to"]).when(x["to"].startswith("//"), F.concat(F.lit("http:"), x["to"])).when(
+        x["to"].startswith("#"), x["url"]).when(x["host"] != "", joined(x)))
+
+
 def edges_of(pages: DataFrame) -> DataFrame:
-    """(a, b): keys of a page and of the URL that it names as its canonical or next one. Relative targets stay on the host."""
+    """(a, b): keys of a page and of every URL that its html names as canonical or next.
+
+    Relative targets are resolved on the page's URL, or on its first ``base``; ampersands may be written as entities.
+    A tag ends at the first ``>``; one with ``<`` inside is none, so that reading takes time linear in the html.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    targets = pages.select(F.col("url").cast("string").alias("url"), F.explode(F.array(
-        F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1))).alias("to")).where("to != ''")
-    full = F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(
-        F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("to")))
-    return targets.select(key_of(F.col("url")).alias("a"), key_of(full).alias("b")).where("a is not null and b is not null and a != b").distinct()
+    tags = pages.select(F.col("url").cast("string").alias("url"), F.regexp_extract(html, BASE, 0).alias("base"), F.explode(F.regexp_extract_all(html, F.lit(TAG), F.lit(0))).alias("tag"))
+    is_link, content = F.substring("tag", 2, 1).isin("l", "L"), _value(F.col("tag"), "content")
+    delayed = F.btrim(F.regexp_extract(content, DELAYED, 1), F.lit(EDGE))
+    target = F.when(is_link & _value(F.col("tag"), "rel").rlike(CANONICAL), _value(F.col("tag"), "href")).when(
+        ~is_link & _value(F.col("tag"), "http-equiv").rlike(REFRESH), delayed)
+    targets = tags.select("url", _value(F.col("base"), "href").alias("base"), target.alias("to")).where("to != ''")
+    full = targets.select("url", F.when(F.col("base") == "", F.col("url")).otherwise(resolved(F.col("url"), F.col("base"))).alias("base"), "to")
+    ends = full.select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("base"), F.col("to"))).alias("b"))
+    return ends.where("a is not null and b is not null and a != b").distinct()
 
 
 def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -76,6 +123,7 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, redi
     """
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("key"))
+    rows = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("/"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))  # no key begins with a slash
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     edges = edges_of(pages)
     if redirects is not None:

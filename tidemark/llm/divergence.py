@@ -3,9 +3,9 @@
 Two histograms of a text are compared with references of its language by Jensen-Shannon distance (square root of
 the divergence in bits, 0 to 1): character classes, and the language's common words with one bin for all others.
 References are sums over all documents of the language; a word is common if it is COMMON of the language's words
-or more, so a language has at most 1 / COMMON of them. Languages with less than LEAST of all words, and texts
-without a language, are compared with the whole corpus. A histogram of few items is noise, so each comparison has
-a least number of items and passes without it.
+or more, so a language has at most 1 / COMMON of them. Texts without a language are compared with the whole corpus.
+A histogram of few items is noise: a text's own and its language's have least numbers of items, and a comparison
+passes without them. These are counts, not shares, so what else the corpus holds changes no verdict of a language.
 
 DataFrame functions only. Arrays of words are handled within the row; only word counts are shuffled.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import pin
 
-COMMON, LEAST = 0.01, 0.001
+COMMON, LEAST = 0.01, 5000  # share of a common word, words of a language that has a reference
+NARROW = 4096  # most references that are broadcast, of 1 / COMMON words each
 WINDOW = 5
 LEAST_WORDS, REPEATED = 10, 20  # base rule: words, per cent of words in repeated windows
 WORDS_GUARD, CHARS_GUARD = 50, 250  # least items of a histogram that is judged
@@ -88,7 +89,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """(ref, common, of_words, of_chars) of each language with LEAST of all words, and of the whole corpus.
+    """(ref, common, of_words, of_chars) of each language with LEAST words, and of the whole corpus.
 
     Both kinds of sums come from one table of distinct words with their counts.
     """
@@ -98,15 +99,16 @@ def references(docs: DataFrame) -> DataFrame:
     per_word = words.select("lang", "n", classes("word", symbols_in("word")).alias("c"))
     chars = pin(per_word.groupBy("lang").agg(F.sum("n").alias("total"), *[F.sum(F.col("n") * F.col("c")[i]).alias(f"c{i}") for i in range(CLASSES)]), "chars")
     total = chars.agg(F.sum("total")).first()[0] or 0
-    kept = chars.where((F.col("total") >= LEAST * total) & (F.col("lang") != "")).select(F.col("lang").alias("ref"), "total")  # at most 1 / LEAST
-    of_lang = words.withColumnRenamed("lang", "ref").join(F.broadcast(kept), "ref")
+    kept = chars.where((F.col("total") >= LEAST) & (F.col("lang") != "")).select(F.col("lang").alias("ref"), "total")
+    beside = F.broadcast(kept) if kept.count() <= NARROW else kept
+    of_lang = words.withColumnRenamed("lang", "ref").join(beside, "ref")
     of_all = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("ref"), "word", "n", F.lit(total).cast("long").alias("total"))
     share = F.col("n") / F.col("total")
     common = (of_lang.select("ref", "word", "n", "total").unionByName(of_all).where(share >= COMMON)
               .groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("word", share.alias("share")))).alias("w")))
     sums = F.array(*[F.col(f"c{i}") for i in range(CLASSES)])
     whole = chars.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CLASSES)]).select(F.lit(ALL).alias("ref"), sums.alias("c"))
-    per_class = chars.select(F.col("lang").alias("ref"), sums.alias("c")).where("ref != ''").join(F.broadcast(kept.select("ref")), "ref", "left_semi").unionByName(whole)
+    per_class = chars.select(F.col("lang").alias("ref"), sums.alias("c")).where("ref != ''").join(beside.select("ref"), "ref", "left_semi").unionByName(whole)
     unit = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
     empty = F.array().cast("array<struct<word:string,share:double>>")
     got = per_class.join(common, "ref", "left").select("ref", unit(F.col("c")).alias("of_chars"), F.coalesce("w", empty).alias("w"))
@@ -125,13 +127,12 @@ def distance(p: Column, q: Column) -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed, kept, and the distances (null below their guards) of each row.
 
-    Null and empty texts have zero counts and fail the base rule. Equal rows get equal results; columns other than
+    Null and empty texts have zero counts and fail the base rule. Texts of a language with less than LEAST words pass both distances. Equal rows get equal results; columns other than
     doc_id, text and lang are not read. An empty table gives no row.
     """
-    refs = pin(references(docs), "references")  # at most 1 / LEAST + 1 rows of 1 / COMMON words
-    known = [r.ref for r in refs.select("ref").collect() if r.ref != ALL]
-    rows = counts(docs).withColumn("ref", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(ALL) if known else F.lit(ALL))
-    rows = rows.join(F.broadcast(refs), "ref")
+    refs = pin(references(docs), "references")
+    beside = F.broadcast(refs) if refs.count() <= NARROW else refs
+    rows = counts(docs).withColumnRenamed("lang", "ref").join(beside, "ref", "left")  # an empty lang meets the whole corpus
     spread = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))  # every word has blanks of its own
     tally = let(spread, lambda s: F.transform("common", lambda w: (
         (F.octet_length(s) - F.octet_length(F.replace(s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2))))
@@ -139,7 +140,7 @@ def judged(docs: DataFrame) -> DataFrame:
     of_text = lambda a, n: F.transform(a, lambda x: x / n)
     n_chars = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
     far_words = F.when((F.col("n_words") >= WORDS_GUARD) & (F.size("common") > 0), distance(of_text(bins, F.col("n_words")), F.col("of_words")))
-    far_chars = F.when(n_chars >= CHARS_GUARD, distance(of_text(F.col("chars"), n_chars), F.col("of_chars")))
+    far_chars = F.when((n_chars >= CHARS_GUARD) & F.col("of_chars").isNotNull(), distance(of_text(F.col("chars"), n_chars), F.col("of_chars")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     out = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                       far_words.alias("word_distance"), far_chars.alias("char_distance"))

@@ -39,7 +39,7 @@ b AS (SELECT doc_id, lang, words, array_to_string(words, '') AS joined, len(word
 c AS (SELECT *, {classes} AS chars, {s} AS n_symbols FROM b),
 w AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM t) GROUP BY ALL),
 totals AS (SELECT lang AS ref, sum(n) AS total FROM w GROUP BY 1),
-kept AS (SELECT ref, total FROM totals WHERE ref <> '' AND total >= {d.LEAST} * (SELECT sum(total) FROM totals)
+kept AS (SELECT ref, total FROM totals WHERE ref <> '' AND total >= {d.LEAST}
          UNION ALL SELECT '', sum(total) FROM totals),
 shares AS (SELECT ref, word, sum(n)::DOUBLE / any_value(total) AS share FROM kept JOIN w ON ref = lang OR ref = '' GROUP BY ref, word),
 common AS (SELECT ref, list(word ORDER BY word) AS words, list(share ORDER BY word) AS shares FROM shares WHERE share >= {d.COMMON} GROUP BY 1),
@@ -48,10 +48,10 @@ sums AS (SELECT ref, list_transform(range(1, {d.CLASSES + 1}), lambda i: list_su
 refs AS (SELECT k.ref, coalesce(words, []) AS common, list_append(coalesce(shares, []), greatest(1 - coalesce(list_sum(shares), 0), 0.0)) AS of_words,
                 list_transform(c, lambda x: x / list_sum(c)) AS of_chars FROM kept k LEFT JOIN common USING (ref) JOIN sums USING (ref)),
 j AS (SELECT c.*, r.common, r.of_words, r.of_chars, list_transform(r.common, lambda x: len(list_filter(c.words, lambda y: y = x))::DOUBLE) AS tally
-      FROM c JOIN refs r ON r.ref = CASE WHEN lang IN (SELECT ref FROM kept) THEN lang ELSE '' END),
+      FROM c LEFT JOIN refs r ON r.ref = lang),
 h AS (SELECT *, list_transform(list_append(tally, n_words - coalesce(list_sum(tally), 0)), lambda x: x / n_words) AS pw, list_transform(chars, lambda x: x::DOUBLE / list_sum(chars)) AS pc FROM j),
 dist AS (SELECT *, CASE WHEN n_words >= {d.WORDS_GUARD} AND len(common) > 0 THEN {js('pw', 'of_words')} END AS dw,
-                CASE WHEN list_sum(chars) >= {d.CHARS_GUARD} THEN {js('pc', 'of_chars')} END AS dc,
+                CASE WHEN list_sum(chars) >= {d.CHARS_GUARD} AND of_chars IS NOT NULL THEN {js('pc', 'of_chars')} END AS dc,
                 n_words < {d.LEAST_WORDS} OR 100 * n_repeat > {d.REPEATED} * n_words AS failed FROM h)
 SELECT doc_id, n_words::BIGINT AS n_words, length(joined)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
        failed AS base_failed, NOT failed AND coalesce(dw, 0) <= {d.WORD_LIMIT} AND coalesce(dc, 0) <= {d.CHAR_LIMIT} AS kept FROM dist"""
@@ -123,10 +123,20 @@ def _url_sql(url: str) -> dict[str, str]:
 
 def _aliases_sql() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in aliases.RULES)
-    page, to, named = _url_sql("url"), _url_sql("full_to"), _url_sql("'http://' || node")
-    href, target = "(?i)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)", "(?i)\\burl\\s*=\\s*[\"'']?([^\"''\\s>]+)"
-    canonical = "(?i)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>"
-    refresh = "(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*>"
+    page, to, named, base = _url_sql("url"), _url_sql("full_to"), _url_sql("'http://' || node"), _url_sql("base")
+    text = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    value = lambda tag, name: (f"regexp_replace(trim(regexp_extract({tag}, {text(aliases.attribute(name))}, 1), {text(aliases.EDGE)}), "
+                               f"{text(aliases.AMPERSAND)}, '&', 'g')")
+
+    def resolved(url: str, host: str, path: str, to: str) -> str:
+        place, folder = f"regexp_extract({to}, '^[^?#]*')", f"regexp_extract({path}, '^([\\s\\S]*/)', 1)"
+        full = f"(CASE WHEN {place} = '' THEN {path} WHEN starts_with({place}, '/') THEN {place} ELSE CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {place} END)"
+        parts = f"string_split(regexp_replace(substr({full}, 2), '(^|/)(\\.\\.?)\\z', '\\1\\2/'), '/')"
+        plain = (f"CASE WHEN strpos({full}, '/.') > 0 THEN list_reduce([''] || {parts}, lambda s, x: CASE x WHEN '..' THEN regexp_replace(s, '/[^/]*\\z', '') "
+                 f"WHEN '.' THEN s ELSE s || '/' || x END) ELSE {full} END")
+        return (f"CASE WHEN regexp_matches({to}, {text(aliases.SCHEME)}) THEN {to} WHEN starts_with({to}, '//') THEN 'http:' || {to} WHEN starts_with({to}, '#') THEN {url} "
+                f"WHEN {host} <> '' THEN 'http://' || {host} || {plain} || substr({to}, length({place}) + 1) END")
+
     best = "arg_max(struct_pack(v := v, name := h || p), length(h || p) * 2 + CASE WHEN v = 'allow' THEN 1 ELSE 0 END)"
     fits = "(x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p)"
     return f"""
@@ -134,10 +144,14 @@ WITH RECURSIVE rules(v, h, p) AS (VALUES {rules}),
 x AS (SELECT page_id, url, coalesce(html, '') AS html, {page['host']} AS host, {page['path']} AS path, {page['key']} AS key FROM pages),
 hosts AS (SELECT DISTINCT host, path FROM x),
 ruled AS (SELECT x.host, x.path, {best} AS r FROM hosts x JOIN rules ON {fits} GROUP BY 1, 2),
-named AS (SELECT url, host, key, unnest([regexp_extract(regexp_extract(html, '{canonical}'), '{href}', 1),
-                                         regexp_extract(regexp_extract(html, '{refresh}'), '{target}', 1)]) AS t FROM x),
-links AS (SELECT key AS a, CASE WHEN strpos(t, '://') > 0 THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-                                WHEN starts_with(t, '/') THEN 'http://' || host || t END AS full_to FROM named WHERE t <> ''),
+tags AS (SELECT url, host, path, key, regexp_extract(html, {text(aliases.BASE)}) AS base_tag, unnest(regexp_extract_all(html, {text(aliases.TAG)})) AS tag FROM x),
+named AS (SELECT url, host, path, key, {value('base_tag', 'href')} AS base_to,
+                 CASE WHEN lower(tag[2]) = 'l' AND regexp_matches({value('tag', 'rel')}, {text(aliases.CANONICAL)}) THEN {value('tag', 'href')}
+                      WHEN lower(tag[2]) = 'm' AND regexp_matches({value('tag', 'http-equiv')}, {text(aliases.REFRESH)})
+                      THEN trim(regexp_extract({value('tag', 'content')}, {text(aliases.DELAYED)}, 1), {text(aliases.EDGE)}) END AS t FROM tags),
+based AS (SELECT key, t, CASE WHEN base_to = '' THEN url ELSE {resolved('url', 'host', 'path', 'base_to')} END AS base FROM named WHERE t <> ''),
+placed AS (SELECT key, t, base, {base['host']} AS host, {base['path']} AS path FROM based),
+links AS (SELECT key AS a, {resolved('base', 'host', 'path', 't')} AS full_to FROM placed),
 edges AS (SELECT a, {to['key']} AS b FROM links WHERE full_to IS NOT NULL),
 both_ways AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 reach(a, node) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.node = both_ways.a),
@@ -196,7 +210,8 @@ def op13_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_SQL["op13_jaccard_components"] = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                                      '[ 	-]+'), lambda x: x <> '') AS words FROM documents),
+                                                                      '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= {jaccard.SHINGLE} THEN list_transform(range(1, len(words) - {jaccard.SHINGLE - 2}), lambda i: array_to_string(words[i : i + {jaccard.SHINGLE - 1}], ' '))
                                           WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
