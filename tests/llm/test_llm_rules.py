@@ -86,9 +86,10 @@ def test_other_languages_change_no_verdict(spark):
 
 def test_divergence_sql_on_hostile_rows(hostile_docs):
     named = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
-    got = divergence.judged(hostile_docs).select(named).toPandas()
+    docs = hostile_docs.where("text is null or length(text) < 10000")  # the SQL is quadratic in a text
+    got = divergence.judged(docs).select(named).toPandas()
     with duckdb.connect() as db:
-        db.register("documents", hostile_docs.select("doc_id", "text", "lang").toArrow())
+        db.register("documents", docs.select("doc_id", "text", "lang").toArrow())
         want = db.execute(LLM_SQL["op5_divergence"]).df()[named]
     # rows without a doc_id share their repeated words in the SQL; they are compared in the tests of the counts
     order = lambda t: sorted(map(str, t[t.doc_id.notna() & ~t.doc_id.isin([1, 5])].astype({"doc_id": int}).values.tolist()))
