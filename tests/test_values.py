@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import draws, text
@@ -116,3 +117,45 @@ def test_registered_labels_are_drawn(spark, ts):
         assert {r.hull for r in generate(spark, table, 200, 1, ts()).collect()} == {"barge", "cutter", "ketch"}
     finally:
         del LABELS["hull"]
+
+
+def test_alias_tables_hold_the_weights():
+    from fractions import Fraction
+
+    from tidemark.functions.draws import alias_table
+
+    for weights in ([1], [0, 1], [1, 1, 1], [6, 3, 0.5, 0], [10 ** 9, 1], [0.1] * 7 + [5], list(range(1, 150))):
+        limits, others = alias_table(weights)
+        n, got = len(weights), [Fraction(0)] * len(weights)
+        for slot, (limit, other) in enumerate(zip(limits, others)):
+            got[slot] += Fraction(limit, n << 30)
+            got[other] += Fraction((1 << 30) - limit, n << 30)
+        total = sum(map(Fraction, weights))
+        assert sum(got) == 1 and all(abs(g - Fraction(w) / total) <= Fraction(1, 1 << 30) for g, w in zip(got, weights))
+        assert all(g == 0 for g, w in zip(got, weights) if w == 0)
+
+
+def test_options_of_labels(spark, ts):
+    from tidemark.functions.draws import field_value
+    from tidemark.schema import declare
+
+    def boats(**spec):
+        return declare({"entity": "boats", "fields": {"id": {"type": "uuid", "primary_key": True}, "x": {"type": "string", **spec}}})
+
+    def drawn(n, **spec):
+        field = boats(**spec).schema["x"]
+        return [r.x for r in spark.range(n).select(field_value(field, 3, "boats", F.col("id"), F.lit(None)).alias("x")).collect()]
+
+    weighted = drawn(20_000, key_label="job_title", ik_options={"values": {"a": 7, "b": 2, "c": 1, "d": 0}})
+    for text, share in (("a", 0.7), ("b", 0.2), ("c", 0.1), ("d", 0)):
+        assert abs(weighted.count(text) / 20_000 - share) < 0.02 * (share > 0) + 1e-9
+    mails = drawn(50, key_label="email_address", ik_options={"domains": ["a.test"], "first": ["Zoe"]})
+    assert all(m.startswith("zoe.") and m.endswith("@a.test") for m in mails)
+    mails = drawn(10_000, key_label="email_address", ik_options={"domains": {"a.test": 1, "b.test": 3}})
+    assert abs(sum(m.endswith("@a.test") for m in mails) / 10_000 - 0.25) < 0.02
+    assert drawn(50, key_label="full_name", ik_options={}) == drawn(50, key_label="full_name")
+    for bad in ({"ik_options": {"values": ["a"]}}, {"key_label": "job_title", "ik_options": {"pool": ["a"]}}, {"key_label": "job_title", "ik_options": {"values": []}},
+                {"key_label": "job_title", "ik_options": {"values": {"a": -1}}}, {"key_label": "job_title", "ik_options": {"values": {"a": 0}}},
+                {"key_label": "job_title", "ik_options": {"values": {"a": float("nan")}}}, {"key_label": "job_title", "ik_options": ["a"]}):
+        with pytest.raises(ValueError, match="invalid_config"):
+            boats(**bad)

@@ -6,6 +6,9 @@ different cluster size gives the same table. Everything stays in built-in functi
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StructField
 
@@ -78,39 +81,88 @@ def pick(h: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (h % len(values) + 1).cast("int"))
 
 
+def alias_table(weights) -> tuple[list[int], list[int]]:
+    """(limits, others) for a draw in constant time: a slot is kept if 30 uniform bits are below its
+    limit, and gives way to its other one if not."""
+    n = len(weights)
+    exact = [Fraction(w) for w in weights]
+    share = [w * n / sum(exact) for w in exact]
+    others = list(range(n))
+    low, high = [i for i in range(n) if share[i] < 1], [i for i in range(n) if share[i] > 1]
+    while low and high:
+        short, full = low.pop(), high[-1]
+        others[short] = full
+        share[full] -= 1 - share[short]  # what the short slot lacks
+        if share[full] <= 1:
+            high.pop()
+            if share[full] < 1:
+                low.append(full)
+    return [int(x * (1 << 30)) for x in share], others
+
+
+def pick_weighted(h: Column, weights: dict[str, float]) -> Column:
+    """A text with the frequency of its weight, from a draw of 60 bits. Low bits of the draw choose the slot, high bits settle it."""
+    limits, others = alias_table(list(weights.values()))
+    slot = (h.bitwiseAND(F.lit((1 << 30) - 1)) % len(weights) + 1).cast("int")
+    of_slot = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), slot)
+    texts = list(weights)
+    return F.when(F.shiftright(h, 30) < of_slot(limits), of_slot(texts)).otherwise(of_slot([texts[i] for i in others]))
+
+
+def pick_from(h: Column, pool) -> Column:
+    """One of a list of texts, or of a mapping of texts to weights."""
+    return pick_weighted(h, pool) if isinstance(pool, dict) else pick(h, list(pool))
+
+
+def is_pool(pool) -> bool:
+    if isinstance(pool, dict):
+        weights = list(pool.values())
+        return (all(isinstance(t, str) for t in pool) and any(weights)
+                and all(isinstance(w, (int, float)) and not isinstance(w, bool) and math.isfinite(w) and w >= 0 for w in weights))
+    return isinstance(pool, list) and len(pool) > 0 and all(isinstance(t, str) for t in pool)
+
+
 def coin(h: Column) -> Column:
     return h % 2 == 0
 
 
-def _full_name(seed, table, field, row):
+def _full_name(seed, table, field, row, first=FIRST_NAMES, last=LAST_NAMES):
     return F.concat_ws(
         " ",
-        pick(draw(seed, table, field + ".first", row), FIRST_NAMES),
-        pick(draw(seed, table, field + ".last", row), LAST_NAMES),
+        pick_from(draw(seed, table, field + ".first", row), first),
+        pick_from(draw(seed, table, field + ".last", row), last),
     )
 
 
-def _email(seed, table, field, row):
-    first = pick(draw(seed, table, field + ".first", row), FIRST_NAMES)
-    last = pick(draw(seed, table, field + ".last", row), LAST_NAMES)
+def _email(seed, table, field, row, first=FIRST_NAMES, last=LAST_NAMES, domains=MAIL_DOMAINS):
     tail = draw(seed, table, field + ".tail", row)
+    # a weighted draw takes all bits of a number
+    host = draw(seed, table, field + ".domain", row) if isinstance(domains, dict) else F.shiftright(tail, 16)
     return F.concat(
-        F.lower(first), F.lit("."), F.lower(last), (tail % 10000).cast("string"), F.lit("@"),
-        pick(F.shiftright(tail, 16), MAIL_DOMAINS),
+        F.lower(pick_from(draw(seed, table, field + ".first", row), first)), F.lit("."),
+        F.lower(pick_from(draw(seed, table, field + ".last", row), last)),
+        (tail % 10000).cast("string"), F.lit("@"), pick_from(host, domains),
     )
 
 
-def _job_title(seed, table, field, row):
-    return pick(draw(seed, table, field, row), JOB_TITLES)
+def _job_title(seed, table, field, row, values=JOB_TITLES):
+    return pick_from(draw(seed, table, field, row), values)
 
 
 LABELS = {"full_name": _full_name, "email_address": _email, "job_title": _job_title}
+# The pools that ``ik_options`` of a label may replace: lists of texts, or texts with weights.
+LABEL_OPTIONS = {"full_name": {"first", "last"}, "email_address": {"first", "last", "domains"}, "job_title": {"values"}}
 
 
-def register_label(name: str, values) -> None:
-    """Make ``key_label: name`` known: ``values`` is a list of texts to draw from, or a function
-    (seed, table, field, row) that gives a column."""
-    LABELS[name] = values if callable(values) else lambda seed, table, field, row: pick(draw(seed, table, field, row), list(values))
+def register_label(name: str, values, options=()) -> None:
+    """Make ``key_label: name`` known: ``values`` is a pool (a list of texts, or texts with weights), or a function
+    (seed, table, field, row) that gives a column and takes the pools named in ``options`` as keywords."""
+    if callable(values):
+        LABELS[name], LABEL_OPTIONS[name] = values, set(options)
+        return
+    pool = values if isinstance(values, dict) else list(values)
+    LABELS[name] = lambda seed, table, field, row, values=pool: pick_from(draw(seed, table, field, row), values)
+    LABEL_OPTIONS[name] = {"values"}
 
 
 def percent_of(n: Column, pct) -> Column:
@@ -125,7 +177,7 @@ def field_value(field: StructField, seed, table: str, row: Column, batch_ts: Col
     if label:
         if label not in LABELS:
             raise ValueError(f"invalid_config: unknown key_label '{label}'")
-        return LABELS[label](seed, table, field.name, row)
+        return LABELS[label](seed, table, field.name, row, **meta.get("ik_options", {}))
     kind = meta["type"]
     if kind == "uuid":
         return uuid_text(digest(seed, table, field.name, row))

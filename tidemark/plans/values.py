@@ -8,6 +8,8 @@ from tidemark.functions import draws, text
 from tidemark.plans.catalog import (
     BATCH_TS, TS, Roles, draw_sql, email_sql, job_sql, letters_sql, name_sql, pick_sql, query, uuid_sql,
 )
+from tidemark.schema import declare
+
 
 def K():
     return F.col("o_orderkey")
@@ -75,6 +77,30 @@ def _(t):
         label["job_title"](7, "people", "job", K()).alias("job_title"))
 
 
+# Labels with options: weighted and replaced pools, as a declared table draws them.
+_MOODS = {"calm": 6, "brisk": 3, "stormy": 0.5, "never": 0}
+_CREW = {"entity": "crew", "fields": {
+    "crew_id": {"type": "uuid", "primary_key": True},
+    "mood": {"type": "string", "key_label": "job_title", "ik_options": {"values": _MOODS}},
+    "mate": {"type": "string", "key_label": "full_name", "ik_options": {"first": ["Ann", "Bo", "Cy"]}}}}
+
+
+def _mood_sql(h: str) -> str:
+    limits, others = draws.alias_table(list(_MOODS.values()))
+    names, slot = list(_MOODS), f"({h} & {(1 << 30) - 1}) % {len(_MOODS)} + 1"
+    return f"CASE WHEN {h} >> 30 < {limits}[{slot}] THEN {names}[{slot}] ELSE {[names[i] for i in others]}[{slot}] END"
+
+
+@query("h8_label_options", f"""
+SELECT o_orderkey, {_mood_sql(f"({draw_sql(7, 'crew', 'mood', 'o_orderkey')})")} AS mood,
+       {pick_sql(draw_sql(7, 'crew', 'mate.first', 'o_orderkey'), ['Ann', 'Bo', 'Cy'])} || ' ' ||
+       {pick_sql(draw_sql(7, 'crew', 'mate.last', 'o_orderkey'), draws.LAST_NAMES)} AS mate FROM orders""")
+def _(t):
+    fields = declare(_CREW).schema
+    return _orders(t).select("o_orderkey", *[
+        draws.field_value(fields[c], 7, "crew", K(), BATCH_TS).alias(c) for c in ("mood", "mate")])
+
+
 @query("h9_iso_text", """
 SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') ||
        CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END AS ts_text,

@@ -9,7 +9,7 @@ from pyspark.sql.types import (
     BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
-from tidemark.functions.draws import LABELS
+from tidemark.functions.draws import LABEL_OPTIONS, LABELS, is_pool
 from tidemark.functions.text import (
     FIELD_NAME_PATTERN, RESERVED_TABLE_NAMES, TABLE_NAME_PATTERN,
 )
@@ -128,8 +128,14 @@ def _field(name: str, spec: dict, table: str, siblings, limits: dict) -> StructF
     _check(low is None or high is None or low <= high, f"{where}: min is above max")
     label = spec.get("key_label")
     _check(label is None or label in LABELS, f"{where}: unknown key_label '{label}'")
-    _check(spec.get("ik_options") is None, f"{where}: labels take no ik_options here")
-    kept = {k: v for k, v in spec.items() if v is not None and k != "ik_options"}
+    options = spec.get("ik_options")
+    _check(options is None or label is not None, f"{where}: ik_options needs a key_label")
+    _check(options is None or isinstance(options, dict), f"{where}: ik_options is a mapping")
+    unknown = set(options or {}) - LABEL_OPTIONS.get(label, set())
+    _check(not unknown, f"{where}: label '{label}' has no options {sorted(map(str, unknown))}")
+    for option, pool in (options or {}).items():
+        _check(is_pool(pool), f"{where}: option '{option}' is a list of texts, or texts with weights")
+    kept = {k: v for k, v in spec.items() if v is not None}
     nullable = bool(spec.get("nullable")) or auto == "soft_delete"
     return StructField(name, COLUMN_TYPES[kind], nullable, metadata={**kept, "nullable": nullable})
 
