@@ -40,6 +40,35 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def publish(folder: str, made: dict[str, DataFrame]) -> str:
+    """Write several frames (the rows and the log of a batch) as one: all of them show, or none does.
+
+    Each publication is a folder of its own under ``folder``; a one-row marker that names it is written after all
+    of its frames, and readers see only what the newest marker names. A writer that is lost in between leaves the
+    last publication as it was. One writer at a time, as for every log here. Returns the folder published.
+    """
+    if not made:
+        raise ValueError("nothing to publish")
+    spark = next(iter(made.values())).sparkSession
+    turn = (published(spark, folder) or (0, None))[0] + 1
+    path = f"{folder.rstrip('/')}/data/{turn:012d}-{uuid.uuid4().hex}"
+    for name, df in made.items():
+        df.write.parquet(f"{path}/{name}")
+    row = spark.createDataFrame([(turn, path)], "turn bigint, path string").coalesce(1)
+    row.write.mode("append").parquet(f"{folder.rstrip('/')}/markers")
+    return path
+
+
+def published(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """(turn, path) of the newest complete publication; None before the first."""
+    markers = f"{folder.rstrip('/')}/markers"
+    place = spark._jvm.org.apache.hadoop.fs.Path(markers)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    newest = spark.read.schema("turn bigint, path string").parquet(markers).orderBy("turn", ascending=False).first()
+    return (newest.turn, newest.path) if newest else None
+
+
 def use_scratch(spark: SparkSession, folder: str | None = None) -> SparkSession:
     """Names the scratch folder where the session has none: ``folder``, or, for a session within this
     process only, a new folder of this machine. On a cluster the folder must be a shared one. Python workers
