@@ -125,6 +125,60 @@ def test_probabilities_of_next_bytes_sum_to_one():
         assert abs((2.0 ** -model.cost(gram)).sum() - 1) < 1e-3
 
 
+def bit_counts(texts):
+    counts = np.zeros((2, sum(mixing_lm.SLOTS)), np.int32)
+    for t in texts:
+        for _, at, bit in mixing_lm.slots(mixing_lm.grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))):
+            for value in (0, 1):
+                np.add.at(counts[value], at[bit == value], 1)
+    return counts
+
+
+def test_mixing_learns_from_every_training_text(spark):
+    """Scores are those of a model that one process learns from all training texts: many, long, empty, repeated."""
+    rng = np.random.default_rng(4)
+    short = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 12)) for _ in range(400)]
+    long = [" ".join(str(x) for x in rng.integers(0, 10**6, 2500)) for _ in range(8)]
+    rows = list(enumerate([*short, *long, "", None, short[0], short[0]]))
+    train = [(t or "").encode() for i, t in rows if crc(i) % 5 != 1]
+    assert len(train) > 320 and any(len(t) > 8192 for t in train) and any(len(t or "") > 8192 for i, t in rows if crc(i) % 5 == 1)
+    model = mixing_lm.Model(*bit_counts(train), train)
+    got = mixing_lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        data = np.frombuffer((rows[r.doc_id][1] or "").encode(), np.uint8)
+        cost = model.cost(mixing_lm.grams(data, np.array([0, len(data)]))).sum()
+        assert abs(r.score + cost * math.log10(2)) < 1e-5 * abs(r.score)
+
+
+def test_mixing_weights_cost_least():
+    """Bit after bit, every one as often as it comes: no other weights near cost the texts less."""
+    texts = [b"abc abd abe " * 20, b"the cat sat on the mat, the dog on the log; 1 2 3 4", b"abc abd abe " * 20, b""]
+    counts = bit_counts(texts)
+    model = mixing_lm.Model(*counts, texts)
+    inputs, gates, bits = [], [], []
+    for t in texts:
+        for place, at, bit in mixing_lm.slots(mixing_lm.grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))):
+            for spots, y in zip(at, bit):
+                pairs = [(int(counts[0, s]) - (y == 0), int(counts[1, s]) - (y == 1)) for s in spots]
+                odds = [math.log((o + 0.05) / (z + 0.05)) for z, o in pairs]
+                inputs.append(odds + [a * min(math.log2(z + o + 1) / 10, 1) for a, (z, o) in zip(odds, pairs)] + [0.3])
+                gates.append(max([k + 1 for k, (z, o) in enumerate(pairs) if z + o > 0], default=0) * 8 + place)
+                bits.append(y)
+    inputs, gates, sign = np.array(inputs), np.array(gates), np.where(np.array(bits) == 1, -1, 1)
+
+    def cost(weight):
+        start = np.array([0.25] * 5 + [0] * 6)
+        return np.logaddexp(0, sign * (inputs * weight[gates]).sum(axis=1)).sum() + mixing_lm.PRIOR / 2 * ((weight - start) ** 2).sum()
+
+    rng, least = np.random.default_rng(5), cost(model.weight)
+    assert least < cost(np.tile([0.25] * 5 + [0.0] * 6, (mixing_lm.GATES, 1)))
+    for gate in np.unique(gates):
+        away = np.zeros_like(model.weight)
+        away[gate] = rng.normal(size=away.shape[1])
+        assert cost(model.weight + 0.05 * away) > least and cost(model.weight - 0.05 * away) > least
+
+
 def test_mixing_of_hostile_rows(spark, hostile_docs, no_docs):
     got = mixing_lm.scored(hostile_docs).collect()
     assert len(got) == len(hostile.rows())

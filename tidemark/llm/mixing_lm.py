@@ -4,14 +4,19 @@ The model predicts a text byte by byte and each byte bit by bit. For every order
 bits so far are hashed to a slot with two counts, of zeros and ones, over all training documents. The orders'
 log-odds, plain and scaled by their evidence, are mixed by a logistic unit whose weights are chosen by a gate (the
 highest order that has been seen, and the bit's place); the mix is then refined by an adaptive map of (byte before,
-probability) to probability. Weights and map are learnt online, bit after bit, over a bounded stream of training
-texts in which every bit's own count is left out; then they are frozen, so a text's score depends on nothing but
-the text and the model. A text's cost in bits includes an end byte.
+probability) to probability. Weights and map are learnt from every bit of every training text, its own count left
+out; then they are frozen, so a text's score depends on nothing but the text and the model. A text's cost in bits
+includes an end byte.
 
 Counting is distributed: tasks reduce their documents to distinct six-byte grams and word hashes with counts, which
 Spark sums. Slots are bounded (SLOTS), so the model can be broadcast; words are not, so those beyond the FREQUENT
 most frequent meet their counts in a join.
 
+So is learning. All that the mixer sees of a bit follows from the gram it ends in, so sums over the distinct grams,
+each as often as it occurs, are sums over all bits of all training texts. A gate's weights are those of least cost,
+found in Newton rounds: tasks add up cost, gradient and curvature over their grams, Spark adds up the tasks, the
+driver solves for the next weights. The map is the least-squares fit to the mixed bits, from one more such pass.
+
 Words are told apart by 64-bit hashes; among V distinct ones two share a hash with probability V * V / 2**65.
 """
 
@@ -19,26 +24,30 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.sampling import fold, text_sample
+from tidemark.llm.sampling import fold
 from tidemark.llm.textblocks import _powers, blocks, lean, mix
 from tidemark.session import pin
 
 ORDERS = 5
 SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 22, 1 << 22)  # per order
-STREAM_TEXTS, STREAM_CHARS = 320, 8192  # texts of the online stream, and the longest that it takes
 FREQUENT = 1 << 18  # most words whose counts are broadcast, 16 bytes each
-STEP = 64  # bits an online update takes together
 GATES = (ORDERS + 1) * 8
+INPUTS = 2 * ORDERS + 1  # of the logistic unit
+PRIOR = 4.0  # how firmly weights and map are held where they start: as by so many bits
+SETTLED = 1e-6  # nats a bit: a gate whose next step saves no more has its weights
 CELLS = 33  # of the adaptive map, over log-odds -8 to 8
 HELD = 1 << 19  # distinct keys a task holds before it passes counts on
 MEMORY = 1 << 21  # grams whose cost a worker remembers
+CHUNK = 1 << 15  # grams whose bits are held at a time
 
 _OFFSET = np.concatenate([[0], np.cumsum(SLOTS)])[:-1]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -166,80 +175,176 @@ def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted(*map(np.concatenate, zip(*held)))
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
 
 
+def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(0.05)) / (zeros + np.float32(0.05)))
+
+
+def _evidence(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(n + np.float32(1)) / 10, 1)
+
+
+def _inputs(place: int, odds: np.ndarray, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    seen = (evidence > 0) * np.arange(1, ORDERS + 1)
+    return np.hstack([odds, odds * evidence, np.full((len(odds), 1), 0.3)]), seen.max(axis=1) * 8 + place
+
+
+def _cells(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of the map that each log-odds falls into, and the share of the next one."""
+    spot = (np.clip(mixed, -7.999, 7.999) + 8) * (CELLS - 1) / 16
+    cell = spot.astype(np.int64)
+    return cell, spot - cell
+
+
+def _others(counts: np.ndarray, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, gate, bit) of the bits of the last byte: what the counts say without the bit's own."""
+    for place, at, bit in slots(gram):
+        pair = counts[at]
+        z = np.maximum(pair[:, :, 0] - (bit == 0)[:, None], 0).astype(np.float32)
+        o = np.maximum(pair[:, :, 1] - (bit == 1)[:, None], 0).astype(np.float32)
+        yield *_inputs(place, _odds(z, o), _evidence(z + o)), bit
+
+
+def _mixing_sums(weight: np.ndarray, counts: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per gate: bits, their cost in nats with these weights, its gradient and its curvature."""
+    out = np.zeros((GATES, 2 + INPUTS + INPUTS * INPUTS))
+    for inputs, gates, bit in _others(counts, gram):
+        for gate in np.unique(gates):
+            rows = gates == gate
+            x, y, times = inputs[rows], bit[rows], n[rows]
+            mixed = x @ weight[gate]
+            p = 1 / (1 + np.exp(-np.clip(mixed, -40, 40)))
+            out[gate, 0] += times.sum()
+            out[gate, 1] += times @ np.logaddexp(0, np.where(y == 1, -mixed, mixed))
+            out[gate, 2 : 2 + INPUTS] += (times * (p - y)) @ x
+            out[gate, 2 + INPUTS :] += ((x * (times * p * (1 - p))[:, None]).T @ x).ravel()
+    return out
+
+
+def _map_sums(weight: np.ndarray, counts: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per byte before and cell, over the bits mixed with these weights: squared shares, products with the share of
+    the next cell, and shares of ones."""
+    out = np.zeros((3, 256 * CELLS))
+    for inputs, gates, bit in _others(counts, gram):
+        cell, share = _cells(np.clip((weight[gates] * inputs).sum(axis=1), -12, 12))
+        spot = ((gram >> 8) & 0xFF) * CELLS + cell
+        for to, part in ((spot, 1 - share), (spot + 1, share)):
+            out[0] += np.bincount(to, n * part * part, 256 * CELLS)
+            out[2] += np.bincount(to, n * part * bit, 256 * CELLS)
+        out[1] += np.bincount(spot, n * share * (1 - share), 256 * CELLS)
+    return out
+
+
+Sums = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # of counts, grams, and how often each occurs
+Totals = Callable[[Sums, tuple[int, ...]], np.ndarray]  # such sums, of this shape, over all that is learnt from
+
+
+def _mixing_weights(totals: Totals) -> np.ndarray:
+    """Of least cost, gate by gate: Newton steps, halved where the cost did not fall."""
+    start = np.zeros((GATES, INPUTS))
+    start[:, :ORDERS] = 0.25
+    best, step, least, gain = start.copy(), np.zeros_like(start), np.full(GATES, np.inf), np.full(GATES, np.inf)
+    while True:
+        weight = best + step
+        sums = totals(partial(_mixing_sums, weight), (GATES, 2 + INPUTS + INPUTS * INPUTS))
+        cost = sums[:, 1] + PRIOR / 2 * ((weight - start) ** 2).sum(axis=1)
+        gradient = sums[:, 2 : 2 + INPUTS] + PRIOR * (weight - start)
+        newton = -np.linalg.solve(sums[:, 2 + INPUTS :].reshape(GATES, INPUTS, INPUTS) + PRIOR * np.eye(INPUTS), gradient[:, :, None])[:, :, 0]
+        fell = cost < least
+        best[fell], least[fell] = weight[fell], cost[fell]
+        step = np.where(fell[:, None], newton, step / 2)
+        gain = np.where(fell, -(gradient * newton).sum(axis=1) / 2, gain / 2)
+        if (gain <= SETTLED * (sums[:, 0] + 1)).all():
+            return np.round(best, 6)  # so that the order in which tasks are added up seldom shows
+
+
+def _fitted_map(squares: np.ndarray, products: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Probabilities per byte before and cell, read by interpolation, that miss the bits by the least squares."""
+    at = np.arange(CELLS)
+    system = np.zeros((256, CELLS, CELLS))
+    system[:, at, at] = squares.reshape(256, CELLS) + PRIOR
+    system[:, at[:-1], at[1:]] = system[:, at[1:], at[:-1]] = products.reshape(256, CELLS)[:, :-1]
+    right = ones.reshape(256, CELLS) + PRIOR * _squash(np.linspace(-8, 8, CELLS))
+    return np.clip(np.round(np.linalg.solve(system, right[:, :, None])[:, :, 0], 9), 1e-4, 1 - 1e-4)
+
+
+def _added(work: Sums, counts: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return sum(work(counts, gram[lo : lo + CHUNK], n[lo : lo + CHUNK].astype(np.float64)) for lo in range(0, len(gram), CHUNK))
+
+
+class _Counts:
+    """Counts of zeros and ones per slot. Most are small, so they travel, and lie on the executors' disks, deflated."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.counts, 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.counts = np.frombuffer(zlib.decompress(state), np.int32).reshape(-1, 2)
+
+
+def _totals(rows: DataFrame, told: Broadcast) -> Totals:
+    """Over a table of distinct grams (key) and how often each occurs (n)."""
+
+    def totals(work: Sums, shape: tuple[int, ...]) -> np.ndarray:
+        @lean
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, held, size = np.zeros(shape), [], 0
+            for batch in batches:
+                held.append((batch.column("key").to_numpy(), batch.column("n").to_numpy()))
+                size += batch.num_rows
+                if size >= CHUNK:
+                    out += _added(work, told.value.counts, *map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+            if size:
+                out += _added(work, told.value.counts, *map(np.concatenate, zip(*held)))
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out.ravel()[at])], ["at", "value"])
+
+        got = rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()  # at most the shape's
+        out = np.zeros(shape)
+        out.ravel()[got["at"].to_numpy()] = got["value"].to_numpy()
+        return out
+
+    return totals
+
+
 class Model:
-    """Log-odds and evidence per slot, mixing weights per gate, and the adaptive map."""
+    """Log-odds and evidence per slot, mixing weights per gate, and the adaptive map.
+
+    Learns from all that ``totals`` adds up, or without it from texts at hand.
+    """
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, stream: list[bytes]):
+    def __init__(self, zeros: np.ndarray, ones: np.ndarray, texts: Sequence[bytes] = (), totals: Totals | None = None):
         self.key = uuid.uuid4().hex
-        self.weight = np.zeros((GATES, 2 * ORDERS + 1), np.float64)
-        self.weight[:, :ORDERS] = 0.25
-        middle = _squash(np.linspace(-8, 8, CELLS))
-        self.map = np.tile(middle, (256, 1))
-        self._learn(zeros, ones, stream)
+        if totals is None:
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+            gram, n = np.unique(grams(np.frombuffer(b"".join(texts), np.uint8), ends), return_counts=True)
+            counts = np.stack([zeros, ones], axis=1)
+            totals = lambda work, shape: np.zeros(shape) + _added(work, counts, gram, n)
+        self.weight = _mixing_weights(totals)
+        self.map = _fitted_map(*totals(partial(_map_sums, self.weight), (3, 256 * CELLS)))
         self.odds, self.evidence = np.empty(len(zeros), np.float16), np.empty(len(zeros), np.float16)
         for lo in range(0, len(zeros), 1 << 20):
             z, o = zeros[lo : lo + (1 << 20)].astype(np.float32), ones[lo : lo + (1 << 20)].astype(np.float32)
-            self.odds[lo : lo + (1 << 20)], self.evidence[lo : lo + (1 << 20)] = self._odds(z, o), self._evidence(z + o)
-
-    @staticmethod
-    def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        return np.log((ones + np.float32(0.05)) / (zeros + np.float32(0.05)))
-
-    @staticmethod
-    def _evidence(n: np.ndarray) -> np.ndarray:
-        return np.minimum(np.log2(n + np.float32(1)) / 10, 1)
-
-    @staticmethod
-    def _inputs(place: int, odds: np.ndarray, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = (evidence > 0) * np.arange(1, ORDERS + 1)
-        return np.hstack([odds, odds * evidence, np.full((len(odds), 1), 0.3)]), seen.max(axis=1) * 8 + place
-
-    def _refine(self, mixed: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        spot = (np.clip(mixed, -7.999, 7.999) + 8) * (CELLS - 1) / 16
-        cell = spot.astype(np.int64)
-        share = spot - cell
-        refined = self.map[before, cell] * (1 - share) + self.map[before, cell + 1] * share
-        return (_squash(mixed) + refined) / 2, refined, cell, share
-
-    def _learn(self, zeros: np.ndarray, ones: np.ndarray, stream: list[bytes]) -> None:
-        """Online over the stream: each bit is predicted without its own count, then weights and map move."""
-        for turn, text in enumerate(stream):
-            data = np.frombuffer(text, np.uint8)
-            gram = grams(data, np.array([0, len(data)]))
-            x, gate, bits, before = [], [], [], []
-            for place, at, bit in slots(gram):
-                z, o = zeros[at].astype(np.float32), ones[at].astype(np.float32)
-                z, o = np.maximum(z - (bit == 0)[:, None], 0), np.maximum(o - (bit == 1)[:, None], 0)
-                inputs, gates = self._inputs(place, self._odds(z, o), self._evidence(z + o))
-                x.append(inputs), gate.append(gates), bits.append(bit), before.append((gram >> 8) & 0xFF)
-            # in the order of the text: bit after bit of byte after byte
-            x, gate, bits, before = (np.stack(v, axis=1).reshape(len(gram) * 8, *v[0].shape[1:]) for v in (x, gate, bits, before))
-            rate = 0.002 / (1 + turn / 48)
-            for lo in range(0, len(bits), STEP):
-                hi = lo + STEP
-                xs, gs, ys, bs = x[lo:hi], gate[lo:hi], bits[lo:hi], before[lo:hi]
-                mixed = np.clip((self.weight[gs] * xs).sum(axis=1), -12, 12)
-                np.add.at(self.weight, gs, rate * (ys - _squash(mixed))[:, None] * xs)
-                _, refined, cell, share = self._refine(mixed, bs)
-                for c, s in ((cell, 1 - share), (cell + 1, share)):
-                    np.add.at(self.map, (bs, c), 0.02 * s * (ys - refined))
-        self.map = np.clip(self.map, 1e-4, 1 - 1e-4)
+            self.odds[lo : lo + (1 << 20)], self.evidence[lo : lo + (1 << 20)] = _odds(z, o), _evidence(z + o)
+
+    def _refine(self, mixed: np.ndarray, before: np.ndarray) -> np.ndarray:
+        cell, share = _cells(mixed)
+        return (_squash(mixed) + self.map[before, cell] * (1 - share) + self.map[before, cell + 1] * share) / 2
 
     def cost(self, gram: np.ndarray) -> np.ndarray:
         """Bits that the last byte of each gram costs."""
         out = np.zeros(len(gram))
         before = (gram >> 8) & 0xFF
         for place, at, bit in slots(gram):
-            x, gate = self._inputs(place, self.odds[at].astype(np.float64), self.evidence[at].astype(np.float64))
-            p = self._refine(np.clip((self.weight[gate] * x).sum(axis=1), -12, 12), before)[0]
+            x, gate = _inputs(place, self.odds[at].astype(np.float64), self.evidence[at].astype(np.float64))
+            p = self._refine(np.clip((self.weight[gate] * x).sum(axis=1), -12, 12), before)
             out -= np.log2(np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1))
         return out
 
@@ -271,15 +376,6 @@ class _Costs:
         return out
 
 
-def _stream(train: DataFrame) -> list[bytes]:
-    """Distinct texts for the online stream: of lowest hash among those of STREAM_CHARS or less, or else the shortest."""
-    short = train.where((F.length("text") <= STREAM_CHARS) & (F.length("text") > 0)).select(F.lit(0).alias("all"), "text")
-    some = [r.text.encode() for r in text_sample(short, "all", STREAM_TEXTS).collect()]
-    if not some:
-        some = [r.text.encode() for r in train.orderBy(F.length("text"), F.xxhash64("text")).limit(1).collect()]
-    return sorted(some, key=zlib.crc32)  # any order but that of the rows
-
-
 def _least_count(words: DataFrame) -> float:
     """The lowest count (a power of 2 ** 0.25) that at most FREQUENT words reach. A count of counts, no sort."""
     step = F.floor(F.log2("n") * 4).cast("int")
@@ -307,13 +403,17 @@ def scored(docs: DataFrame, parts: int = 5, held_out: int = 1) -> DataFrame:
     total, distinct = word_sums.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (total or 0) + n_train, distinct + (n_train > 0)
 
-    bit_sums = (sums.where("what = 0").select("key", "n").mapInArrow(_bit_counts, "slot int, zeros bigint, ones bigint").groupBy("slot")
+    gram_sums = sums.where("what = 0").select("key", "n")
+    bit_sums = (gram_sums.mapInArrow(_bit_counts, "slot int, zeros bigint, ones bigint").groupBy("slot")
                 .agg(*[F.least(F.sum(c), F.lit((1 << 31) - 1)).cast("int").alias(c) for c in ("zeros", "ones")]).toArrow())
-    zeros, ones = np.zeros(sum(SLOTS), np.int32), np.zeros(sum(SLOTS), np.int32)
+    counts = np.zeros((sum(SLOTS), 2), np.int32)
     at = bit_sums["slot"].to_numpy()
-    zeros[at], ones[at] = bit_sums["zeros"].to_numpy(), bit_sums["ones"].to_numpy()
-    del bit_sums
-    model = Model(zeros, ones, _stream(train))
+    counts[at, 0], counts[at, 1] = bit_sums["zeros"].to_numpy(), bit_sums["ones"].to_numpy()
+    del bit_sums, at
+    told = spark.sparkContext.broadcast(_Counts(counts))  # SLOTS * 8 bytes in a worker
+    model = Model(counts[:, 0], counts[:, 1], totals=_totals(gram_sums, told))
+    told.destroy()
+    del counts
     top = word_sums.where(F.col("n") >= _least_count(word_sums)).toArrow()
     order = np.argsort(top["key"].to_numpy())
     common = (top["key"].to_numpy()[order], top["n"].to_numpy()[order])
